@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+
+
+def _modules():
+    from cairnstore.plans import coherence, content, cost, garbage, namespace, packing
+
+    return content, packing, namespace, garbage, coherence, cost
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
