@@ -64,8 +64,8 @@ OP1_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols
   FROM d
 ), g AS (
@@ -77,7 +77,7 @@ WITH d AS (
   FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM c WHERE n > 1) GROUP BY r
 ), m AS (
   SELECT d.r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) LEFT JOIN p USING (r)
 ), f AS (
