@@ -128,18 +128,19 @@ def parse(data: bytes | None) -> Stream:
     out, at = Stream(), 0
     out.tags, at = _tags(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= at + 128 else len(data)
-    offsets, lengths, lost = [], [], False
+    offsets, lengths, lost, kind = [], [], False, None
     raw = np.frombuffer(data, np.uint8)
     while at < end:
         h = header(data, at)
-        if h is None or at + h.length > end or lost and not (at + h.length == end or header(data, at + h.length)):
+        known = h is not None and not lost and kind == (data[at + 1], data[at + 2] & 0x0C)
+        if h is None or at + h.length > end or not (known or at + h.length == end or header(data, at + h.length)):
             at = data.find(b"\xff", at + 1, end)
             out.resyncs += not lost
             lost = True
             if at < 0:
                 break
             continue
-        lost = False
+        lost, kind = False, (data[at + 1], data[at + 2] & 0x0C)
         if not offsets and out.table is None and (table := _table(data, at, h)):
             out.table, at = table, at + h.length
             continue
