@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,13 +47,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cs_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`staged` that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._cs_path
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
+    """``docs`` with each row's place in the scan.
+
+    The number is the same whenever the same files are read with the same settings, so ``docs`` must
+    be a stored table, as the pipeline's stages are (else pass ``staged(docs, ...)``).
+    """
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for each node of ``edges``; root is the smallest node that it reaches.
 
@@ -66,6 +92,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     mark = _checksum(current)
     while mark[0]:
+        previous = current
         both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
@@ -75,6 +102,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e")
         )
         current = staged(small.select("e.x", "e.y").where("x <> y").distinct(), "edges")
+        discard(previous)
         now = _checksum(current)
         if now == mark:
             break

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import SEPARATORS, staged, text_or_empty
+from cairnstore.llm.common import SEPARATORS, numbered, staged, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: A host is rejected when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.6
 SALTS = 16
+FEW_HOSTS = 50_000
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -119,12 +120,16 @@ def beta_prior(n: int, f: int, hosts: int, s2: float) -> tuple[float, float]:
 
 
 def join_verdicts(measured: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """Adds the host columns.  A hot host's rows spread over ``SALTS`` copies of its verdict."""
+    """Adds the host columns.
+
+    A table of at most ``FEW_HOSTS`` hosts, which is counted, is broadcast, and the texts stay where
+    they are.  Beyond that a hot host's rows spread over ``SALTS`` copies of its verdict.
+    """
+    left = measured.withColumn("_cs_host", F.coalesce(F.col(host), F.lit("")))
+    if hosts.count() <= FEW_HOSTS:
+        return left.join(F.broadcast(hosts), "_cs_host").drop("_cs_host")
     salted = hosts.withColumn("_cs_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = measured.withColumns({
-        "_cs_host": F.coalesce(F.col(host), F.lit("")),
-        "_cs_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"),
-    })
+    left = left.withColumn("_cs_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return left.join(salted, ["_cs_host", "_cs_salt"]).drop("_cs_host", "_cs_salt")
 
 
@@ -133,14 +138,17 @@ def assess(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOS
     measured = staged(
         measure(docs.select("doc_id", "text", F.col(host).alias("host"))).select("doc_id", "host", *METRICS, "base_failed"), "quality"
     )
-    hosts = host_verdicts(measured, "host", "base_failed", max_host_rate)
+    hosts = staged(host_verdicts(measured, "host", "base_failed", max_host_rate), "hosts")
     judged = join_verdicts(measured, hosts, "host")
     return judged.select("doc_id", *METRICS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    measured = staged(measure(docs, "_cs_").select(*docs.columns, "_cs_base_failed"), "quality-docs")
-    hosts = host_verdicts(measured, host, "_cs_base_failed", max_host_rate).select("_cs_host", "host_ok")
-    judged = join_verdicts(measured.where(~F.col("_cs_base_failed")), hosts.withColumnRenamed("host_ok", "_cs_ok"), host)
-    return judged.where("_cs_ok").select(*docs.columns)
+    """The rows of ``docs``, a stored table, that are kept, with their own columns."""
+    rows = numbered(docs, "_cs_row")
+    flags = measure(rows.select("_cs_row", "doc_id", "text", F.col(host).alias("_cs_source")), "_cs_")
+    # Written before it is filtered: a filter pushed below the measures would evaluate them anew for every word.
+    flags = staged(flags.select("_cs_row", "doc_id", "_cs_source", "_cs_base_failed"), "quality")
+    hosts = staged(host_verdicts(flags, "_cs_source", "_cs_base_failed", max_host_rate).select("_cs_host", F.col("host_ok").alias("_cs_ok")), "hosts")
+    stay = join_verdicts(flags.where(~F.col("_cs_base_failed")), hosts, "_cs_source").where("_cs_ok").select("_cs_row")
+    return rows.join(stay, "_cs_row", "left_semi").select(*docs.columns)

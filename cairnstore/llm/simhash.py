@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import connected_components, staged, text_or_empty
+from cairnstore.llm.common import connected_components, discard, numbered, staged, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (first bit, number of bits, radius of the ball)
@@ -185,6 +185,7 @@ def components(marked: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("_cs_first").alias("component_id"))
     named = staged(rooted.join(smallest, "root").select("fp", "component_id"), "components")
+    discard(classes)
     return marked.join(named, "fp")
 
 
@@ -199,10 +200,9 @@ def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> Dat
     """The rows of ``docs`` that are the first of their component: one of each group of near copies.
 
     First is the smallest doc_id and, among rows with one doc_id, the smallest row number of the scan.
-    A row with a null doc_id is kept, since it can't be told apart from others.
+    ``docs`` must be a stored table.  A row with a null doc_id is kept, since it can't be told apart from others.
     """
-    rows = docs.withColumn("_cs_row", F.monotonically_increasing_id())
-    rows = staged(rows, "docs")
+    rows = numbered(docs, "_cs_row")
     marked = staged(fingerprints(rows.select("doc_id", "_cs_row", "text"), ["doc_id", "_cs_row"], words), "fingerprints")
     found = components(marked, max_bits)
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("_cs_row").alias("_cs_row"))

@@ -29,7 +29,6 @@ extra columns are not read, or kept as they are by :func:`remove`; an empty tabl
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -38,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import staged
+from cairnstore.llm.common import discard, numbered, release, staged
 
 LENGTH, GRAM = 400, 96
 SEGMENT = 1 << 20
@@ -113,8 +112,7 @@ def fingerprints(data: bytes, length: int = LENGTH) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """uid, doc_id and text; uid is the row's place in the scan, the same whenever the same files are read."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    return numbered(docs.select(F.col("doc_id").cast("long"), "text"))
 
 
 def _bytes(text) -> bytes:
@@ -245,21 +243,15 @@ def _comparer(keep: str):
     return run
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT) -> DataFrame:
+def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT) -> DataFrame:
     """uid and ``spans`` (array of [a, b) in bytes, sorted, apart) of each row with bytes to remove."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    spark = numbered.sparkSession
-    every = staged(_runs_table(numbered, length, gram), "runs")
+    spark = rows.sparkSession
+    every = staged(_runs_table(rows, length, gram), "runs")
     files = every.groupBy("file").agg(F.sum(F.when(F.col("recurs"), 2).otherwise(1)).alias("n")).where("n > 1").select("file")
     found = staged(every.join(files, "file"), "candidates")
-    _release(spark)
+    release(spark)
     contexts = found.groupBy("file", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.max("size").alias("size"), F.max("recurs").alias("recurs")
     )
@@ -268,12 +260,12 @@ def repeated(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM, keep:
     needs = contexts.join(several.select("file", (F.col("contexts") > hot).alias("hot")), "file")
     needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "hot", F.col("first.start").alias("start"), "size")).alias("needs"))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = numbered.join(needs, "uid").mapInArrow(
+    dealt = rows.join(needs, "uid").mapInArrow(
         _dealer(length, parts), "part int, context array<long>, doc_id array<long>, uid array<long>, start array<long>, size array<int>, prints binary, places binary"
     )
     compared = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_comparer(keep), "context long, a int, b int")
     compared = staged(compared, "compared")
-    _release(spark)
+    release(spark)
     own = compared.groupBy("context").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     settled = contexts.join(own, "context", "left").where("n > 1 OR own IS NOT NULL").select("file", "context", "n", "first", "own")
     placed = found.join(settled, ["file", "context"])
@@ -282,7 +274,10 @@ def repeated(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM, keep:
     spans = F.when(copy, whole).otherwise(F.coalesce("own", F.array().cast("array<struct<a:int,b:int>>")))
     spans = F.transform(spans, lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] + (length - 1)).alias("b")))
     listed = placed.select("uid", spans.alias("spans")).where(F.size("spans") > 0).groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return staged(listed, "spans")
+    listed = staged(listed, "spans")
+    discard(every, found, contexts, compared)
+    release(spark)
+    return listed
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -305,8 +300,8 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    numbered = _numbered(docs)
-    found = repeated(numbered, length, gram, keep, hot)
+    rows = _numbered(docs)
+    found = repeated(rows, length, gram, keep, hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -319,7 +314,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
-    joined = numbered.join(found, "uid", "left").select("doc_id", "text", "spans")
+    joined = rows.join(found, "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -333,10 +328,12 @@ def _to_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first") -> DataFrame:
-    """``docs`` without the repeated bytes, whole characters only; n_chars, if there, as it is then."""
-    rows = staged(docs.withColumn("_cs_uid", F.monotonically_increasing_id()), "docs")
-    numbered = rows.select(F.col("_cs_uid").alias("uid"), F.col("doc_id").cast("long"), "text")
-    found = repeated(numbered, length, gram, keep).withColumnRenamed("uid", "_cs_uid").withColumnRenamed("spans", "_cs_spans")
+    """``docs`` without the repeated bytes, whole characters only; n_chars, if there, as it is then.
+
+    ``docs`` must be a stored table.
+    """
+    rows = numbered(docs, "_cs_uid")
+    found = repeated(rows.select(F.col("_cs_uid").alias("uid"), F.col("doc_id").cast("long"), "text"), length, gram, keep).withColumnRenamed("uid", "_cs_uid").withColumnRenamed("spans", "_cs_spans")
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
