@@ -41,8 +41,8 @@ from cairnstore.llm.common import discard, numbered, release, staged
 
 LENGTH, GRAM = 400, 96
 SEGMENT = 1 << 20
-#: Contexts in a file beyond which it is dealt by string.
-HOT = 256
+#: Contexts in a file beyond which it is dealt by string, one way for every ``DEAL`` times as many.
+HOT, DEAL = 256, 16
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -174,9 +174,10 @@ def _dealt(held: list[tuple], parts: int) -> pa.RecordBatch:
     sizes = np.array([len(h[5]) for h in held])
     prints, owner = np.concatenate([h[5] for h in held]), np.repeat(np.arange(len(held)), sizes)
     place = np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hot = np.array([h[4] for h in held])[owner]
+    hot = np.array([h[4] for h in held], np.int64)[owner]
     files = np.array([h[3] for h in held], np.int64).view(_U)[owner]
-    part = (_mix(np.where(hot, prints, files) + _U(0x632BE59BD9B4E019)) % _U(parts)).astype(np.int64) * 2 + hot
+    way = prints % np.maximum(hot, 1).astype(_U)  # a large file's strings go several ways, any other file one
+    part = (_mix(files + way * _U(0x632BE59BD9B4E019)) % _U(parts)).astype(np.int64) * 2 + (hot > 0)
     order = np.argsort(part, kind="stable")
     prints, owner, place, part = prints[order], owner[order], place[order].astype("<u4"), part[order]
     begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -257,9 +258,10 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     )
     contexts = staged(contexts, "contexts")
     several = contexts.groupBy("file").agg(F.count(F.lit(1)).alias("contexts"), F.max("recurs").alias("_r")).where("contexts > 1 OR _r")
-    needs = contexts.join(several.select("file", (F.col("contexts") > hot).alias("hot")), "file")
+    ways = F.when(F.col("contexts") > hot, F.ceil(F.col("contexts") / (DEAL * hot))).otherwise(0).cast("long")
+    needs = contexts.join(several.select("file", ways.alias("hot")), "file")
     needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "hot", F.col("first.start").alias("start"), "size")).alias("needs"))
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.join(needs, "uid").mapInArrow(
         _dealer(length, parts), "part int, context array<long>, doc_id array<long>, uid array<long>, start array<long>, size array<int>, prints binary, places binary"
     )
