@@ -97,6 +97,19 @@ def not_monotonic(log: DataFrame) -> DataFrame:
     return seen.withColumn("before", before).where("version < before").select("seq", "holder", "object", "version", "before")
 
 
+def revalidate(log: DataFrame, buckets: int) -> DataFrame:
+    """Specified: per holder and directory, the directory's version and the holder's inodes seen at an older version than now.
+
+    An object's versions and sightings are counted before any join; directories are sums over objects.
+    """
+    seen = versions(log)
+    now = seen.groupBy("object").agg(F.max("version").alias("version")).withColumn("dir", F.pmod("object", F.lit(buckets)))
+    folders = now.groupBy("dir").agg(F.sum("version").alias("dirver"))
+    held = seen.where("op = 'lookup'").groupBy("holder", "object").agg(F.max("version").alias("seen")).join(now, "object")
+    stale = F.array_sort(F.collect_list(F.when(F.col("seen") < F.col("version"), F.col("object"))))
+    return held.groupBy("holder", "dir").agg(stale.alias("stale")).join(folders, "dir").select("holder", "dir", "dirver", "stale")
+
+
 def class_parameters(spark) -> DataFrame:
     return spark.createDataFrame(CLASSES, "class string, lease long, recall boolean, kernel_ttl long")
 

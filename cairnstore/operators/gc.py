@@ -28,6 +28,19 @@ def live_chunks(pieces: DataFrame, graveyard: DataFrame, pinned: DataFrame, cuto
     return pieces.join(expired, "inode", "left_anti").select("chunk_id").distinct()
 
 
+def live_with_snapshots(pieces: DataFrame, graveyard: DataFrame, pinned: DataFrame, cutoff: int, snapshots: DataFrame) -> DataFrame:
+    """Specified: a snapshot's inodes are roots too, so that their chunks stay live without copying a byte."""
+    kept = pieces.join(snapshots.select("inode"), "inode", "left_semi").select("chunk_id")
+    return live_chunks(pieces, graveyard, pinned, cutoff).unionByName(kept).distinct()
+
+
+def fence(commits: DataFrame, uploads: DataFrame, limit: int = T_WRITE_MAX) -> DataFrame:
+    """Specified: commits that refer to a chunk uploaded more than ``limit`` before are refused; the chunk may be swept."""
+    found = commits.join(uploads, "commit_id")
+    each = found.groupBy("commit_id").agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.col("at") - F.col("uploaded_at") > limit).alias("stale_refs"))
+    return each.withColumn("verdict", F.when(F.col("stale_refs") > 0, "ESTALE").otherwise("ok"))
+
+
 def sweep(pieces: DataFrame, graveyard: DataFrame, pinned: DataFrame, cutoff: int, grace: int = GRACE) -> DataFrame:
     """Distinct chunks that only expired inodes hold."""
     check_grace(grace)

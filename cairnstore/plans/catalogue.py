@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from cairnstore.plans import coherence, content, cost, garbage, namespace, packing
+    from cairnstore.plans import coherence, content, cost, design, garbage, namespace, packing
 
-    return content, packing, namespace, garbage, coherence, cost
+    return content, packing, namespace, garbage, coherence, cost, design
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,7 @@ from cairnstore.operators import caches
 from cairnstore.operators import coherence as H
 from cairnstore.operators.gc import HOUR
 from cairnstore.plans.registry import registry
-from cairnstore.sources.views import MUTATIONS_SQL, mutations, table
+from cairnstore.sources.views import MUTATIONS_SQL, OPERATIONS, mutations, table
 from cairnstore.streaming import leases
 
 QUERIES, SQL, query = registry()
@@ -107,16 +107,29 @@ def lru_materializer(spark, sf_dir):
     return caches.lru(_reads(spark, sf_dir), 20_000)
 
 
-@query()
-def stream_lease_state(spark, sf_dir):
-    """The log as a stream, keyed state for each holder and object; the same as ``lease_trusted`` finds in batch."""
+def _stream(spark, sf_dir, name, states):
+    """What ``states`` makes of the event log as a stream, read to its end."""
     spark.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
-    name = f"cs_leases_{uuid.uuid4().hex[:8]}"
+    name = f"cs_{name}_{uuid.uuid4().hex[:8]}"
     raw = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet*")
-    log = stream.select(F.col("user_id").alias("holder"), F.get_json_object("props", "$.k").cast("long").alias("object"),
-        F.when(F.col("event_type") == "view", "lookup").when(F.col("event_type") == "click", "grant").otherwise("other").alias("op"),
+    op = F.create_map(*[F.lit(x) for kv in OPERATIONS.items() for x in kv])[F.col("event_type")]
+    log = stream.select(F.col("user_id").alias("holder"), F.get_json_object("props", "$.k").cast("long").alias("object"), op.alias("op"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
-    run = leases.lease_state(log, WEEK).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run = states(log).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+@query()
+def stream_lease_state(spark, sf_dir):
+    """The log as a stream, keyed state for each holder and object; the same as ``lease_trusted`` finds in batch."""
+    return _stream(spark, sf_dir, "leases", lambda log: leases.lease_state(log, WEEK))
+
+
+@query(SQL["recall_outcome"])
+def stream_recall(spark, sf_dir):
+    """Recalls of a stream, keyed state for each object; the same as ``recall_outcome`` finds in batch."""
+    told = _stream(spark, sf_dir, "recalls", lambda log: leases.recall_state(log, WEEK, 24 * HOUR))
+    acked, started = F.count_if("acked"), F.count_if(~F.col("acked"))
+    return told.groupBy("m_seq").agg(acked.alias("acked"), (started - acked).alias("timed_out"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cairnstore.operators.coherence import BUMPS
+
 OUT = "holder long, object long, seq long, trusted boolean"
+RECALLS = "object long, m_seq long, holder long, acked boolean"
 
 
 def _trust(lease: int):
@@ -30,3 +34,38 @@ def _trust(lease: int):
 def lease_state(log: DataFrame, lease: int) -> DataFrame:
     """For each lookup of a stream (holder, object, op, at, seq): whether the holder's last grant still holds."""
     return log.groupBy("holder", "object").applyInPandasWithState(_trust(lease), OUT, "granted long", "append", "NoTimeout")
+
+
+def _recalls(lease: int, deadline: int):
+    """State of an object, as JSON: each holder's lease, and the recalls that wait for an answer."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        leases, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
+        log, rows = pd.concat(list(frames)), []
+        log["later"] = log["op"] != "grant"  # a grant of the same moment is recalled too
+        for r in log.sort_values(["at", "later", "seq"]).itertuples():
+            holder, at = int(r.holder), int(r.at)
+            waiting = [w for w in waiting if w[2] + deadline >= at]  # a later answer counts for nothing
+            if r.op == "grant":
+                leases[str(holder)] = at + lease
+            elif r.op == "lookup":
+                rows += [(key[0], w[0], holder, True) for w in waiting if w[1] == holder and at > w[2]]
+                waiting = [w for w in waiting if w[1] != holder or at <= w[2]]
+            elif r.op in BUMPS:
+                leases = {h: expiry for h, expiry in leases.items() if expiry >= at}
+                recalled = [int(h) for h in leases if int(h) != holder]
+                waiting += [[int(r.seq), h, at] for h in recalled]
+                rows += [(key[0], int(r.seq), h, False) for h in recalled]
+        state.update((json.dumps([leases, waiting]),))
+        yield pd.DataFrame(rows, columns=["object", "m_seq", "holder", "acked"])
+
+    return run
+
+
+def recall_state(log: DataFrame, lease: int, deadline: int) -> DataFrame:
+    """The recalls that a stream's mutations start (acked false), and their answers in time (acked true).
+
+    A recall without an answer has timed out once the deadline has passed.  An object's state holds
+    unexpired leases and open recalls only.
+    """
+    return log.groupBy("object").applyInPandasWithState(_recalls(lease, deadline), RECALLS, "held string", "append", "NoTimeout")

@@ -37,6 +37,52 @@ def test_stream_equals_batch(spark):
     assert stream == rows(catalogue.queries()["lease_trusted"](spark, SF).select("holder", "object", "seq", "trusted").collect())
 
 
+def test_rehoming_reaches_144_safe_states(spark):
+    found = catalogue.queries()["rehoming_states"](spark, SF)
+    assert found.count() == 144 and found.where("NOT safe").isEmpty()
+
+
+def test_an_unsafe_state_is_seen(spark, monkeypatch):
+    from cairnstore.operators import models
+
+    for homes, accepted, safe in ((0, 1, True), (0, 4, False), (1, 4, True), (0, 2, False)):
+        state = spark.createDataFrame([(3, 0, False, False, False, homes, accepted)], models.REHOMING)
+        monkeypatch.setattr(models, "reachable", lambda *_: state)
+        assert models.rehoming_states(spark).first().safe is safe
+
+
+def test_content_defined_chunks(spark):
+    from hashlib import sha256
+
+    from cairnstore.operators import chunking
+
+    data = bytes((i * i * 31 + i // 7) % 251 for i in range(40_000))
+    shifted = b"xyz" + data
+    cut = chunking.cuts(data)
+    assert cut[-1] == len(data) and all(0 < b - a <= chunking.MOST for a, b in zip([0, *cut], cut))
+    assert len({c + 3 for c in cut} & set(chunking.cuts(shifted))) > len(cut) / 2
+    assert chunking.cuts(b"") == [] and chunking.cuts(b"a") == [1]
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(shifted)), ("c", bytearray()), ("d", None)], "path string, content binary")
+    got = {(r.path, r.idx): (r.chunk_id, r.length) for r in chunking.content_defined(files).collect()}
+    assert {p for p, _ in got} == {"a", "b"}
+    for path, text in (("a", data), ("b", shifted)):
+        begins = [0, *chunking.cuts(text)]
+        assert [got[path, n] for n in range(len(begins) - 1)] == [(sha256(text[a:b]).hexdigest(), b - a) for a, b in zip(begins, begins[1:])]
+
+
+def test_dedup_analyze_against_brute_force(spark, oracle):
+    from hashlib import sha256
+
+    from cairnstore.operators import chunking
+
+    texts = [t.encode() for (t,) in oracle.sql("SELECT text FROM documents").fetchall()]
+    pieces = [t[a:b] for t in texts for a, b in zip([0, *chunking.cuts(t)], chunking.cuts(t))]
+    got = {r.kind: r for r in catalogue.queries()["dedup_analyze"](spark, SF).collect()}
+    assert {r.logical_bytes for r in got.values()} == {sum(map(len, texts))}
+    assert got["content-defined"].physical_bytes == sum({sha256(p).digest(): len(p) for p in pieces}.values())
+    assert got["whole"].physical_bytes == sum(map(len, set(texts)))
+
+
 def test_fifo_replay(spark):
     from cairnstore.operators import caches
 
