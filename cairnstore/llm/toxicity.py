@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm.common import text_or_empty
@@ -111,19 +112,27 @@ class Chain:
         sizes = np.array([len(r) for r in rows], np.int64)
         return np.array([i for r in rows for i in r], np.int64), np.cumsum(sizes) - sizes
 
-    def fit(self, counts: list[Counter], toxic: np.ndarray) -> None:
-        groups = copies(counts)
-        size = Counter(groups)
-        weight = np.array([1 / size[g] for g in groups])
-        spread: dict[bytes, set] = {}
-        for c, g in zip(counts, groups):
-            for w in c:
-                spread.setdefault(w, set()).add(g)
-        self.vocabulary = {w: i for i, w in enumerate(sorted(w for w, s in spread.items() if len(s) >= LEAST))}
-        marks = marking_words(counts, toxic * weight, (1 - toxic) * weight, list(self.vocabulary))
-        hits = [[c[w] for w in marks if w in c] for c in counts]
-        labels = np.stack([toxic * np.array([len(h) > 0 for h in hits]), toxic * np.array([sum(h) > 1 for h in hits]), toxic], axis=1)
-        ids, begin = self.matrix(counts)
+    def fit(self, words_: list[bytes], word: np.ndarray, count: np.ndarray, sizes: np.ndarray, groups: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit on texts that are given as flat arrays: each text's words, as places in ``words_``, and how often they occur."""
+        weight = 1 / np.bincount(groups)[groups]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pairs = np.unique(word.astype(np.int64) * (groups.max() + 1) + groups[row])
+        common = np.flatnonzero(np.bincount(pairs // (groups.max() + 1), minlength=len(words_)) >= LEAST).tolist()
+        del pairs
+        common.sort(key=words_.__getitem__)
+        self.vocabulary = {words_[w]: i for i, w in enumerate(common)}
+        number = np.full(len(words_), -1, np.int64)
+        number[common] = np.arange(len(common))
+        ids = number[word]
+        known = ids >= 0
+        ids, row, count = ids[known], row[known], count[known]
+        order = np.lexsort((ids, row))
+        ids, row, count = ids[order], row[order], count[order]
+        begin = np.searchsorted(row, np.arange(len(sizes)))
+        marks = marking_words(ids, row, len(common), toxic * weight, (1 - toxic) * weight)
+        hits = np.bincount(row, marks[ids] * count, len(sizes))
+        labels = np.stack([toxic * (hits > 0), toxic * (hits > 1), toxic], axis=1)
+        counts = range(len(sizes))
         sizes = np.diff(np.append(begin, len(ids)))
         fold = np.arange(len(counts)) % FOLDS
         earlier = np.zeros((len(counts), 0))
@@ -152,21 +161,16 @@ def _pick(ids, begin, sizes, rows):
     return ids[np.repeat(begin[rows] - start, n) + np.arange(n.sum())], start
 
 
-def copies(counts: list[Counter]) -> list[tuple]:
-    """A name for each text that near copies share: its longer words with the smallest checksums."""
-    return [tuple(heapq.nsmallest(3, (zlib.crc32(w) for w in c if len(w) > 3 and w[-1:] != b"-"))) for c in counts]
+def copies(counts: Counter) -> list[int]:
+    """A name that a text shares with its near copies: its longer words with the smallest checksums."""
+    return heapq.nsmallest(3, (zlib.crc32(w) for w in counts if len(w) > 3 and w[-1:] != b"-"))
 
 
-def marking_words(counts: list[Counter], inside: np.ndarray, outside: np.ndarray, vocabulary: list[bytes], odds: float = 3.0) -> list[bytes]:
-    """Words whose log-odds in toxic texts are high; near copies weigh as one text."""
-    found = {w: [0.0, 0.0] for w in vocabulary}
-    for c, a, b in zip(counts, inside, outside):
-        for w in c:
-            if w in found:
-                found[w][0] += a
-                found[w][1] += b
+def marking_words(ids: np.ndarray, row: np.ndarray, n_words: int, inside: np.ndarray, outside: np.ndarray, odds: float = 3.0) -> np.ndarray:
+    """Whether each word's log-odds in toxic texts are high; near copies weigh as one text."""
+    a, b = np.bincount(ids, inside[row], n_words), np.bincount(ids, outside[row], n_words)
     n, m = inside.sum() + 1, outside.sum() + 1
-    return [w for w, (a, b) in found.items() if a >= LEAST and np.log((a + 0.5) / n) - np.log((b + 0.5) / m) >= odds]
+    return (a >= LEAST) & (np.log((a + 0.5) / n) - np.log((b + 0.5) / m) >= odds)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -179,16 +183,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             found = [words(t.as_py()) for t in batch.column("_cs_text")]
             words_ = pa.array([list(c.keys()) for c in found], pa.list_(pa.binary()))
             numbers = pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), words_, numbers], names=["doc_id", "label", "words", "counts"])
+            groups = pa.array([",".join(map(str, copies(c))) for c in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), groups, words_, numbers], names=["doc_id", "label", "near", "words", "counts"])
 
     # The sample's rows are bounded by ``sample``, so this side may be broadcast.
     picked = docs.select("doc_id", text_or_empty().alias("_cs_text")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.mapInArrow(run, "doc_id long, label int, words array<binary>, counts array<int>").limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"], len(r["words"])))
-    y = np.array([r["label"] for r in rows], np.float64)
+    rows = picked.mapInArrow(run, "doc_id long, label int, near string, words array<binary>, counts array<int>").limit(2 * sample).toArrow()
+    sizes = pc.list_value_length(rows["words"]).to_numpy()
+    # Words are numbered column by column, so that the driver holds arrays and not an object a word.
+    encoded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+    count = pc.list_flatten(rows["counts"]).to_numpy()
+    groups = rows["near"].combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((sizes, rows["label"].to_numpy(), rows["doc_id"].to_numpy()))
+    y = rows["label"].to_numpy()[order].astype(np.float64)
+    del rows
     chain = Chain((y.sum() + 1) / (len(y) + 2))
     if 0 < y.sum() < len(y):
-        chain.fit([Counter(dict(zip(map(bytes, r["words"]), r["counts"]))) for r in rows], y)
+        at = np.cumsum(sizes) - sizes
+        flat = np.repeat((at[order] - (np.cumsum(sizes[order]) - sizes[order])), sizes[order]) + np.arange(sizes.sum())
+        chain.fit(encoded.dictionary.to_pylist(), encoded.indices.to_numpy()[flat], count[flat], sizes[order], groups[order], y)
     return chain
 
 
