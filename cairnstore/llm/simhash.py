@@ -37,19 +37,22 @@ BLOCK = 2048
 _PLACES = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' hashes; 0 for a text without words."""
+def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of ``words`` words, in order; of all words if there are no more; none without words."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space alone
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([hashed(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    if len(parts) > words:
-        pairs = zip(starts[: len(parts) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())
-        hashes = np.array([hashed(joined[a:b], SEED) for a, b in pairs], np.uint64)
-    else:
-        hashes = np.array([hashed(joined, SEED)], np.uint64)
+    pairs = zip(starts[: len(parts) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())
+    return np.array([hashed(joined[a:b], SEED) for a, b in pairs], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,6 +60,11 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int((np.uint64(1) << _PLACES)[counts * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' hashes; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, keys: list[str], words: int = SHINGLE) -> DataFrame:
     """``keys`` and fp (the fingerprint's bits as a long) of each row's whole text."""
 

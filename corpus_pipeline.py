@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnstore.llm import packing, pii, quality_rules, simhash, suffix_dedup
+from cairnstore.llm import near_copies, packing, pii, quality_rules, suffix_dedup
 from cairnstore.llm.common import documents, staged
 
-#: Near copies are found on shingles of this many words.
-SHINGLE = 5
+#: Near copies have this Jaccard similarity or more, on shingles of this many words.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.keep_first(docs, words=SHINGLE)
+    return near_copies.keep_first(docs, SHINGLE, SIMILARITY)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
