@@ -25,16 +25,23 @@ Defined results: a null text is an empty text (and stays null in :func:`remove`)
 than ``length`` are left alone; repeated rows remove each other's bytes, or the later ones; "first" is
 the smallest doc_id (null before all), then the row's place in the table, then the place in the text;
 extra columns are not read, or kept as they are by :func:`remove`; an empty table gives none.
+
+With ``unit="words"`` ``length`` and ``gram`` count words, and positions are words.  A word is what stands
+between ASCII white space, without the ASCII punctuation around it (unless it has nothing else).  Strings are
+still equal byte for byte, from the first byte of their first word to the last of their last: a text is the
+words and the gaps between them in turn, so ``length`` words are 2 * length - 1 symbols.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm.common import discard, numbered, release, staged
@@ -60,22 +67,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
+_WORD = re.compile(rb"[^ \t-\r]+")
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def word_bounds(data: bytes) -> np.ndarray:
+    """The first byte of each word and the one after its last, in two rows."""
+    bounds = []
+    for m in _WORD.finditer(data):
+        a, b = m.span()
+        left, core = len(m[0].lstrip(_MARKS)), m[0].strip(_MARKS)
+        bounds.append((b - left, b - left + len(core)) if core else (a, b))
+    return np.array(bounds, np.int64).reshape(-1, 2).T
+
+
+def symbols(data: bytes, unit: str) -> np.ndarray:
+    """A number for each byte, or for each word and each gap between two words in turn."""
+    if unit == "bytes":
+        return _TABLE[np.frombuffer(data, np.uint8)]
+    cuts = word_bounds(data).T.ravel().tolist()
+    return np.array([xxhash.xxh64_intdigest(data[a:b]) | 1 for a, b in zip(cuts, cuts[1:])], _U)
+
+
 class Segment:
-    """Hashes of all substrings of up to a segment of bytes."""
+    """Hashes of all substrings of up to a segment of symbols; ``step`` symbols make a position."""
 
-    def __init__(self, data: np.ndarray, length: int):
-        self.up, down = _powers(SEGMENT + length)
+    def __init__(self, data: np.ndarray, length: int, step: int):
+        self.step = step
+        self.up, down = _powers(step * (SEGMENT + length))
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_TABLE[data] * down[: len(data)], out=self.sums[1:])
+        np.cumsum(data * down[: len(data)], out=self.sums[1:])
 
     def windows(self, size: int) -> np.ndarray:
+        size = self.step * (size - 1) + 1
         n = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:n]) * self.up[:n])
+        return _mix((self.sums[size:] - self.sums[:n]) * self.up[:n])[:: self.step]
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = self.step * a, self.step * (b - 1) + 1
         return _mix((self.sums[b] - self.sums[a]) * self.up[a] + (b - a).astype(_U) * _U(0x94D049BB133111EB))
 
 
+def _segments(data: bytes, length: int, unit: str) -> Iterator[tuple[int, Segment]]:
+    """(first position, hashes) of the overlapping segments of a text; none if it is shorter than ``length``."""
+    raw, step = symbols(data, unit), 2 if unit == "words" else 1
+    for at in range(0, (len(raw) + step - 1) // step - length + 1, SEGMENT):
+        yield at, Segment(raw[step * at : step * (at + SEGMENT + length - 2) + 1], length, step)
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
     padded = np.full(-(-n // width) * width, np.iinfo(_U).max, _U)
@@ -86,12 +125,10 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(data: bytes, length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> Iterator[tuple[np.ndarray, ...]]:
     """(start, number of positions, file, context's hash, whether the file's substring recurs in it) of the runs."""
-    raw, width = np.frombuffer(data, np.uint8), length - gram + 1
-    for at in range(0, len(raw) - length + 1, SEGMENT):
-        part = raw[at : at + SEGMENT + length - 1]
-        segment = Segment(part, length)
+    width = length - gram + 1
+    for at, segment in _segments(data, length, unit):
         grams = segment.windows(gram)
         files = sliding_minimum(grams, width)
         first = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]]))
@@ -104,10 +141,9 @@ def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[
         yield first + at, sizes, files[first], segment.spans(first, first + sizes + length - 1), recurs
 
 
-def fingerprints(data: bytes, length: int = LENGTH) -> np.ndarray:
+def fingerprints(data: bytes, length: int = LENGTH, unit: str = "bytes") -> np.ndarray:
     """The fingerprint of the string at each position."""
-    raw = np.frombuffer(data, np.uint8)
-    parts = [Segment(raw[at : at + SEGMENT + length - 1], length).windows(length) for at in range(0, len(raw) - length + 1, SEGMENT)]
+    parts = [segment.windows(length) for _, segment in _segments(data, length, unit)]
     return np.concatenate(parts) if parts else np.empty(0, _U)
 
 
@@ -119,7 +155,7 @@ def _bytes(text) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs_table(docs: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["uid", "doc_id", "start", "size", "file", "context", "recurs"]
         for batch in batches:
@@ -128,7 +164,7 @@ def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns: list[list] = [[] for _ in range(5)]
                 owners: list[int] = []
                 for n in range(a, min(a + 256, len(uids))):
-                    for found in runs(_bytes(batch.column("text")[n]), length, gram):
+                    for found in runs(_bytes(batch.column("text")[n]), length, gram, unit):
                         owners += [n] * len(found[0])
                         for column, values in zip(columns, found):
                             column.append(values)
@@ -141,7 +177,7 @@ def _runs_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "uid long, doc_id long, start long, size int, file long, context long, recurs boolean")
 
 
-def _dealer(length: int, parts: int):
+def _dealer(length: int, parts: int, unit: str):
     """Rows of fingerprints, by part, from texts with the runs that must be compared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +185,7 @@ def _dealer(length: int, parts: int):
         size = 0
         for batch in batches:
             for n in range(batch.num_rows):
-                prints = fingerprints(_bytes(batch.column("text")[n]), length)
+                prints = fingerprints(_bytes(batch.column("text")[n]), length, unit)
                 uid, doc_id = batch.column("uid")[n].as_py(), batch.column("doc_id")[n].as_py()
                 for r in batch.column("needs")[n].as_py():
                     held.append((r["context"], doc_id, uid, r["file"], r["hot"], prints[r["start"] : r["start"] + r["size"]], r["start"]))
@@ -244,12 +280,12 @@ def _comparer(keep: str):
     return run
 
 
-def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT) -> DataFrame:
-    """uid and ``spans`` (array of [a, b) in bytes, sorted, apart) of each row with bytes to remove."""
+def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT, unit: str = "bytes") -> DataFrame:
+    """uid and ``spans`` (array of [a, b) in units, sorted) of each row with bytes to remove."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     spark = rows.sparkSession
-    every = staged(_runs_table(rows, length, gram), "runs")
+    every = staged(_runs_table(rows, length, gram, unit), "runs")
     files = every.groupBy("file").agg(F.sum(F.when(F.col("recurs"), 2).otherwise(1)).alias("n")).where("n > 1").select("file")
     found = staged(every.join(files, "file"), "candidates")
     release(spark)
@@ -263,7 +299,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "hot", F.col("first.start").alias("start"), "size")).alias("needs"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.join(needs, "uid").mapInArrow(
-        _dealer(length, parts), "part int, context array<long>, doc_id array<long>, uid array<long>, start array<long>, size array<int>, prints binary, places binary"
+        _dealer(length, parts, unit), "part int, context array<long>, doc_id array<long>, uid array<long>, start array<long>, size array<int>, prints binary, places binary"
     )
     compared = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_comparer(keep), "context long, a int, b int")
     compared = staged(compared, "compared")
@@ -292,6 +328,13 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def in_bytes(data: bytes, spans: list[dict], unit: str) -> list[dict]:
+    if unit == "bytes":
+        return spans
+    first, end = word_bounds(data)
+    return [{"a": a, "b": b} for a, b in zip(first[[s["a"] for s in spans]].tolist(), end[[s["b"] - 1 for s in spans]].tolist())]
+
+
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
@@ -329,13 +372,13 @@ def _to_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first") -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", unit: str = "bytes") -> DataFrame:
     """``docs`` without the repeated bytes, whole characters only; n_chars, if there, as it is then.
 
     ``docs`` must be a stored table.
     """
     rows = numbered(docs, "_cs_uid")
-    found = repeated(rows.select(F.col("_cs_uid").alias("uid"), F.col("doc_id").cast("long"), "text"), length, gram, keep).withColumnRenamed("uid", "_cs_uid").withColumnRenamed("spans", "_cs_spans")
+    found = repeated(rows.select(F.col("_cs_uid").alias("uid"), F.col("doc_id").cast("long"), "text"), length, gram, keep, unit=unit).withColumnRenamed("uid", "_cs_uid").withColumnRenamed("spans", "_cs_spans")
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +387,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
             for text, spans in zip(batch.column(place), batch.column(batch.num_columns - 1)):
                 if spans.as_py():
                     data = _bytes(text)
-                    texts.append(without(data, [_to_characters(data, a, b) for a, b in merged(spans.as_py())]).decode("utf-8", "surrogatepass"))
+                    gone = merged(in_bytes(data, spans.as_py(), unit))
+                    texts.append(without(data, [_to_characters(data, a, b) for a, b in gone]).decode("utf-8", "surrogatepass"))
                 else:
                     texts.append(text.as_py())
             field = batch.schema.field(place)

@@ -1,6 +1,8 @@
 """The pipeline's stages against brute force."""
 
 import random
+import re
+import string
 
 import corpus_pipeline
 import pytest
@@ -76,3 +78,37 @@ def test_near_copies_edges(spark):
     docs = staged(spark.createDataFrame(rows, SCHEMA).coalesce(1), "odd")
     assert sorted(str(r.doc_id) for r in near_copies.keep_first(docs).collect()) == ["1", "4", "5", "None"]
     assert near_copies.keep_first(staged(docs.where("false"), "none")).count() == 0
+
+
+def _without_repeats(texts):
+    """The texts without later copies of byte-equal runs of 51 words, punctuation around words aside."""
+    seen, out = set(), {}
+    for i, text in texts:
+        data, words = text.encode(), []
+        for m in re.finditer(rb"[^ \t-\r]+", data):
+            marks = string.punctuation.encode()
+            core = m[0].strip(marks)
+            at = m.start() + (len(m[0]) - len(m[0].lstrip(marks)) if core else 0)
+            words.append((at, at + len(core or m[0])))
+        gone = bytearray(len(data))
+        for n in range(len(words) - 50):
+            a, b = words[n][0], words[n + 50][1]
+            if data[a:b] in seen:
+                gone[a:b] = b"\1" * (b - a)
+            seen.add(data[a:b])
+        out[i] = bytes(x for x, g in zip(data, gone) if not g).decode()
+    return out
+
+
+def test_repeated_passages_of_51_words_go(spark):
+    rng = random.Random(6)
+    passage = lambda n: " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    shared = [passage(n) for n in (50, 51, 51, 55, 90, 140)] + [" ".join("ab"[rng.random() < 0.5] for _ in range(51))]
+    texts = []
+    for i in range(1, 61):
+        parts = [p for _ in range(3) for p in (" ".join(_words(rng, rng.randint(0, 60))), rng.choice(["{}", "({})", '"{},"', "- {}\n\n"]).format(rng.choice(shared)))]
+        texts.append((i, " ".join(parts)))
+    texts += [(61, ""), (62, "a b"), (63, texts[0][1]), (64, "x y z " * 60)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, _stored(spark, texts), "").collect()}
+    assert got == _without_repeats(texts)
+    assert sum(t.count(shared[1]) for t in got.values()) == 1 and sum(t.count(shared[0]) for t in got.values()) > 1
