@@ -132,6 +132,8 @@ def parse(data: bytes | None) -> Stream:
     raw = np.frombuffer(data, np.uint8)
     while at < end:
         h = header(data, at)
+        if h is not None and not lost and at + h.length == len(data):
+            end = len(data)  # a frame covers what looked like an ID3v1 tag
         known = h is not None and not lost and kind == (data[at + 1], data[at + 2] & 0x0C)
         if h is None or at + h.length > end or not (known or at + h.length == end or header(data, at + h.length)):
             at = data.find(b"\xff", at + 1, end)
