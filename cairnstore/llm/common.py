@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The separators of words: space and the ASCII controls from tab to carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -25,10 +25,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
+    Only where it is unset on one machine (tests) a temporary folder takes its place; a cluster must
+    name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cairnstore-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -70,13 +73,29 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Stored tables of more files than this are numbered by a join that isn't broadcast.
+FEW_FILES = 100_000
+#: Bits of a row's number that count rows within a file; the others number the files.
+ROW_BITS = 40
+
+
 def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
-    """``docs`` with each row's place in the scan.
+    """``docs`` with a number for each row that doesn't depend on how the table is read.
 
-    The number is the same whenever the same files are read with the same settings, so ``docs`` must
-    be a stored table, as the pipeline's stages are (else pass ``staged(docs, ...)``).
+    A row of a stored table is named by its file's place among the sorted file names and its place in
+    that file, so every scan gives the same numbers, whatever the split sizes and whichever executors
+    are there.  Anything else is written to the shared folder first, together with its numbers.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or not plan.relation().toString().lower().startswith("parquet"):
+        return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    meta = docs.metadataColumn("_metadata")
+    paths = docs.select(meta["file_path"].alias("_cs_file")).distinct()
+    files = staged(paths.select("_cs_file", (F.row_number().over(Window.orderBy("_cs_file")) - 1).cast("long").alias("_cs_place")), "files")
+    placed = docs.select("*", meta["file_path"].alias("_cs_file"), meta["row_index"].alias("_cs_index"))
+    small = files.count() <= FEW_FILES
+    placed = placed.join(F.broadcast(files) if small else files, "_cs_file")
+    return placed.withColumn(name, F.shiftleft("_cs_place", ROW_BITS).bitwiseOR(F.col("_cs_index"))).drop("_cs_file", "_cs_place", "_cs_index")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

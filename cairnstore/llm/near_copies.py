@@ -174,8 +174,8 @@ def _pairs(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their group: one of each group of near copies.
 
-    First is the smallest doc_id and, among rows with one doc_id, the smallest row number of the scan.
-    ``docs`` must be a stored table.  A row with a null doc_id is kept, since it can't be told apart from
+    First is the smallest doc_id and, among rows with one doc_id, the smallest row number.
+    A row with a null doc_id is kept, since it can't be told apart from
     others.  Texts without words are copies of each other.  The bands are made for a ``similarity`` of 0.8 or more.
     """
     rows = numbered(docs, "_cs_row")

@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_B
 def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: one of each group of near copies.
 
-    First is the smallest doc_id and, among rows with one doc_id, the smallest row number of the scan.
-    ``docs`` must be a stored table.  A row with a null doc_id is kept, since it can't be told apart from others.
+    First is the smallest doc_id and, among rows with one doc_id, the smallest row number.
+    A row with a null doc_id is kept, since it can't be told apart from others.
     """
     rows = numbered(docs, "_cs_row")
     marked = staged(fingerprints(rows.select("doc_id", "_cs_row", "text"), ["doc_id", "_cs_row"], words), "fingerprints")

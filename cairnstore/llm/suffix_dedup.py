@@ -148,7 +148,7 @@ def fingerprints(data: bytes, length: int = LENGTH, unit: str = "bytes") -> np.n
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    return numbered(docs).select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _bytes(text) -> bytes:
@@ -375,7 +375,6 @@ def _to_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", unit: str = "bytes") -> DataFrame:
     """``docs`` without the repeated bytes, whole characters only; n_chars, if there, as it is then.
 
-    ``docs`` must be a stored table.
     """
     rows = numbered(docs, "_cs_uid")
     found = repeated(rows.select(F.col("_cs_uid").alias("uid"), F.col("doc_id").cast("long"), "text"), length, gram, keep, unit=unit).withColumnRenamed("uid", "_cs_uid").withColumnRenamed("spans", "_cs_spans")
