@@ -1,23 +1,24 @@
-"""Byte-pair encoding of whole texts: a cache of encoded pieces, and reuse of content-defined chunks.
+"""Byte-pair encoding of whole texts: remembered words, and content-defined chunks that a corpus encodes once.
 
 Two layers, both exact:
 
-* :class:`PieceEncoder` cuts a text before each space that follows a character which isn't white
+* :class:`PieceEncoder` cuts texts at line feeds and at spaces that follow a character which isn't white
   space.  A byte-level pre-tokenizer never joins characters across such a place, so the pieces can
-  be encoded one by one and remembered; a text of common words then costs a dictionary lookup a word.
-  A new piece is split by the byte-level pre-tokenizer's published pattern; a new pre-token goes to
-  the tokenizers library's model.
-* :class:`ChunkEncoder` cuts texts where a rolling hash of the last 32 characters says so.  Copies,
-  near copies and shared passages are cut at the same places, so a chunk that many texts share is
-  encoded and decoded once in a task.  Where two chunks meet, the text around the join is encoded
-  anew, and the window is widened until its tokens agree with those of both chunks.
+  be encoded one by one and remembered.  New pieces are split by the byte-level pre-tokenizer's published
+  pattern, and new pre-tokens go to the tokenizers library's model, many in a call.
+* :func:`round_trip` cuts texts where a rolling hash of the last 32 characters says so.  Copies, near
+  copies and shared passages are cut at the same places.  A chunk that occurs more than once in the corpus
+  is encoded once, and its ids are joined to the texts that hold it; all other chunks are encoded where
+  they are.  Where two chunks meet, the text around the join is encoded anew, and its tokens must agree
+  with those of both chunks beside it; else the text is encoded in one.
 
-Both caches are emptied when they reach a number of entries: memory is bounded and results don't
-depend on it.  They live as long as the Python worker; nothing is shuffled.
+The table of pieces is emptied when it reaches a number of entries: memory is bounded and results don't
+depend on it.  A shared chunk is told by 128 bits of hash.
 
 Defined results: a null text is an empty text and has no tokens; repeated rows give repeated rows; a
-text that holds a special token's string is encoded whole by the library; rows without texts give an
-empty table; extra columns are not read.
+text that holds a special token's string is encoded whole by the library; a text of any length is read
+whole, and a batch's texts are encoded some megabytes at a time; rows without texts give an empty table;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,18 +32,25 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import text_or_empty
+from cairnstore.llm.common import discard, numbered, release, staged, text_or_empty
 
-MAX_PIECES = 500_000
-MAX_CHUNKS = 20_000
+MAX_PIECES = 1_000_000
+#: Bytes of text that are encoded in one go.
+SLICE = 16 << 20
+#: Texts to which a shared chunk goes in one way, and copies of a shared chunk's name.
+WAY, SALTS = 4096, 8
 #: Characters in a chunk: least, most, and (as a mask of the rolling hash) on average above the least.
 CHUNK_LEAST, CHUNK_MOST, CHUNK_MASK = 512, 16_384, 0x7FF
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: Marks that often end a word; a run of them after a letter or a digit is a pre-token of its own.
+_STOPS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -62,89 +70,175 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_BYTE_TABLE = dict(enumerate(_BYTE_CHARS))
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 class PieceEncoder:
-    """Encodes texts; the value of a piece is made by ``value(ids, decoded)``."""
+    """Encodes batches of texts by their pieces; what a piece's ids are is remembered.
+
+    A table holds all remembered ids in one array, and a piece is a row of the table, so a batch is cut,
+    looked up and put together column by column; only pieces that are new in the batch cost Python a step.
+    """
 
-    def __init__(self, path: str, value, decode: bool = False):
+    def __init__(self, path: str, most: int = MAX_PIECES):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else re.compile("(?!)")
-        self.value, self.decode = value, decode
-        self.merge = self.tokenizer.model.tokenize
-        self.words: dict[str, tuple[int, ...]] = {}  # by pre-token
-        self.inner: dict[str, object] = {}  # by the piece after a space
-        self.first: dict[str, object] = {}  # by a text's first piece
-
-    def _learn(self, cache: dict, piece: str, text: str):
-        if len(cache) >= MAX_PIECES:
-            cache.clear()
-        ids = []
-        for word in _PRE_TOKEN.findall(text):
-            known = self.words.get(word)
-            if known is None:
-                if len(self.words) >= MAX_PIECES:
-                    self.words.clear()
-                known = self.words[word] = tuple([t.id for t in self.merge("".join([_BYTE_CHARS[b] for b in word.encode()]))])
-            ids += known
-        value = cache[piece] = self.value(ids, text if not self.decode else self.tokenizer.decode(ids, skip_special_tokens=False))
-        return value
-
-    def whole(self, text: str):
-        """The value of a text that the library encodes in one."""
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.value(ids, self.tokenizer.decode(ids, skip_special_tokens=False) if self.decode else "")
-
-    def encode(self, text: str) -> list:
-        """The values of the text's pieces, in order."""
-        if not text:
-            return []
-        if self.special.search(text):
-            return [self.whole(text)]
-        head, *rest = text.split(" ")
-        found = list(map(self.inner.get, rest))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge, self.most = self.tokenizer.model.tokenize, most
+        # Merges alone, for many pre-tokens in a call: they stand between NULs, which are no part of them.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = Split(_BYTE_CHARS[0], "isolated")
+        self.nul = self.tokenizer.token_to_id(_BYTE_CHARS[0])
+        self._reset()
+
+    def _reset(self) -> None:
+        self.rows: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by what stands before the piece and by the piece
+        self.sizes, self.open, self.lead, self.ids = array("i"), array("b"), array("b"), array("I")
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after the other, and how many each has; NUL may not be in them."""
+        text = "\0".join(words).encode().decode("latin-1").translate(_BYTE_TABLE)
+        ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.nul)
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        return np.delete(ids, cuts), sizes
+
+    def _learn(self, before: str, pieces: list[str]) -> None:
+        """Rows for new pieces; ``open`` and ``lead`` are set for those that end, or begin, in white space."""
+        for a in range(0, len(pieces), 1 << 16):
+            some, words, counts = pieces[a : a + (1 << 16)], [], []
+            for piece in some:
+                if piece.isalpha():
+                    words.append(before + piece)
+                    counts.append(1)
+                else:
+                    found = _PRE_TOKEN.findall(before + piece)
+                    words += found
+                    counts.append(len(found))
+            odd = [n for n, w in enumerate(words) if "\0" in w]
+            plain = [w.replace("\0", "") for w in words] if odd else words
+            ids, sizes = self._merged(plain) if plain else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            if odd:
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                every = [ids[at[n] : at[n + 1]] for n in range(len(words))]
+                for n in odd:
+                    every[n] = np.array([t.id for t in self.merge("".join([_BYTE_CHARS[b] for b in words[n].encode()]))], np.uint32)
+                ids, sizes = np.concatenate(every), np.array([len(x) for x in every])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            self.rows[before].update(zip(some, range(len(self.sizes), len(self.sizes) + len(some))))
+            self.ids.frombytes(ids.astype(np.uint32).tobytes())
+            self.sizes.frombytes(np.diff(ends).astype(np.int32).tobytes())
+            self.open.extend([p[-1:].isspace() for p in some])
+            self.lead.extend([p[:1].isspace() for p in some])
+
+    def _rows(self, pieces: list[str], before: str = "") -> np.ndarray:
+        known = self.rows[before]
+        found = list(map(known.get, pieces))
         if None in found:
-            # A piece that is empty or ends in white space isn't cut off at a safe place, so it is never remembered.
-            tail = rest.pop()
-            if not head or head[-1].isspace() or any(v is None and (not p or p[-1].isspace()) for p, v in zip(rest, found)):
-                return self._careful(text)
-            if not tail or tail[-1].isspace():
-                return [self._head(head), *map(self._get, rest), self.whole(" " + tail)]
-            found = [self._get(p) if v is None else v for p, v in zip([*rest, tail], found)]
-        elif not head or head[-1].isspace():
-            return self._careful(text)
-        return [self._head(head), *found]
-
-    def _head(self, piece: str):
-        value = self.first.get(piece)
-        return self._learn(self.first, piece, piece) if value is None else value
-
-    def _get(self, piece: str):
-        value = self.inner.get(piece)
-        return self._learn(self.inner, piece, " " + piece) if value is None else value
-
-    def _careful(self, text: str) -> list:
-        return [self._head(p) for p in _SAFE.split(text) if p]
-
-
-def _id_bytes(ids: list[int], _decoded: str) -> bytes:
-    return array("I", ids).tobytes()
+            self._learn(before, list(dict.fromkeys([p for p, r in zip(pieces, found) if r is None])))
+            found = map(known.__getitem__, pieces)
+        return np.fromiter(found, np.int32, len(pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's begin (with the end of all)."""
+        every, counts = [np.empty(0, np.uint32)], [np.zeros(0, np.int64)]
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE)))
+            ids, n = self._encode(texts[a:b])
+            every.append(ids)
+            counts.append(n)
+            a = b
+        return np.concatenate(every), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.sizes) > self.most:
+            self._reset()
+        self._empty, special = self._rows([""])[0], {}
+        if self.added:
+            held = pc.match_substring(texts, self.added[0])
+            for token in self.added[1:]:
+                held = pc.or_(held, pc.match_substring(texts, token))
+            special = {n: self.tokenizer.encode(texts[n].as_py(), add_special_tokens=False).ids for n in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist()}
+            if special:
+                texts = pc.if_else(held, "", texts)
+        lines = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+        line_bounds = lines.offsets.to_numpy().astype(np.int64)
+        cut = pc.split_pattern(lines.flatten(), " ")
+        bounds, pieces = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+        coded = pieces.dictionary_encode()
+        # Marks that end a word are a row of their own, so that a word is learned once whatever follows it.
+        cores = pc.utf8_rtrim(coded.dictionary, _STOPS)
+        ended = pc.match_substring_regex(cores, r"[\pL\pN]$")
+        cores = pc.if_else(ended, cores, coded.dictionary)
+        words = cores.dictionary_encode()
+        first = self._rows(_strings(words.dictionary), " ")[words.indices.to_numpy()]
+        second = np.full(len(first), -1, np.int32)
+        more = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(coded.dictionary)).to_numpy(zero_copy_only=False))
+        if len(more):
+            places = pa.array(more)
+            long, short = _strings(coded.dictionary.take(places)), pc.utf8_length(cores.take(places)).to_pylist()
+            second[more] = self._rows([p[n:] for p, n in zip(long, short)])
+        code, heads, lasts = coded.indices.to_numpy(), bounds[:-1], bounds[1:] - 1
+        rows = np.full((len(code), 3), -1, np.int32)
+        rows[:, 0], rows[:, 1] = first[code], second[code]
+        rows[heads, 0], rows[heads, 1] = self._rows(_strings(pieces.take(pa.array(heads)))), -1
+        ends_text = np.zeros(len(heads), bool)
+        ends_text[line_bounds[1:] - 1] = True
+        rows[lasts[~ends_text], 2] = self._rows(["\n"])[0]
+        # Texts in which a run of white space isn't one space or one or two line feeds are cut with care instead.
+        open_, lead = np.frombuffer(self.open, np.int8) > 0, np.frombuffer(self.lead, np.int8) > 0
+        wrong = open_[rows[:, 0]]
+        wrong[lasts[ends_text & (np.diff(bounds) == 1)]] = False  # at a text's end there is nothing to run on to
+        wrong = np.logical_or.reduceat(wrong, heads)
+        empty = (np.diff(bounds) == 1) & (self._empty == rows[heads, 0])
+        wrong |= lead[rows[heads, 0]] | (np.diff(bounds) > 1) & (self._empty == rows[heads, 0])
+        wrong[1:] |= empty[1:] & empty[:-1]
+        wrong = np.flatnonzero(np.logical_or.reduceat(wrong, line_bounds[:-1])).tolist()
+        bounds = bounds[line_bounds]
+        if wrong:
+            parts, lengths, at = [], np.diff(bounds), 0
+            for n in wrong:
+                own = self._rows([p for p in _SAFE.split(texts[n].as_py()) if p])
+                parts += [rows[at : bounds[n]], np.stack([own, *[np.full(len(own), -1, np.int32)] * 2], axis=1)]
+                lengths[n], at = len(own), bounds[n + 1]
+            rows = np.concatenate([*parts, rows[at:]])
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+        rows, bounds = rows.ravel(), bounds * 3
+        sizes = np.append(np.frombuffer(self.sizes, np.int32), np.int32(0))  # row -1 has no ids
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        took = sizes[rows]
+        ends = np.cumsum(took, dtype=np.int32)
+        places = np.repeat(begins[rows] - ends + took, took)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = np.frombuffer(self.ids, np.uint32)[places] if len(self.ids) else np.empty(0, np.uint32)
+        sums = np.concatenate([[0], ends])
+        counts = (sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.int64)
+        if special:
+            at = np.concatenate([[0], np.cumsum(counts)])
+            every = [np.asarray(special.get(n, ids[at[n] : at[n + 1]]), np.uint32) for n in range(len(counts))]
+            ids, counts = np.concatenate(every), np.array([len(x) for x in every], np.int64)
+        return ids, counts
 
 
 @lru_cache(1)
-def id_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, _id_bytes)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
-def encode_bytes(text: str, path: str) -> bytes:
-    """All ids of a text, as little-endian unsigned 32-bit integers."""
-    return b"".join(id_encoder(path).encode(text))
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts (unsigned 32-bit), one text after the other, and where each text's begin."""
+    return encoder(path).encode(texts)
 
 
 def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str | None = None) -> DataFrame:
@@ -153,8 +247,8 @@ def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str | None = None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [len(encode_bytes(t.as_py(), path)) // 4 for t in batch.column("_cs_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(counts, pa.int64())], names=[*keys, "n_tokens"])
+            begins = encode_texts(batch.column("_cs_text"), path)[1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(np.diff(begins))], names=[*keys, "n_tokens"])
 
     picked = docs.select(*keys, text_or_empty().alias("_cs_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
@@ -189,85 +283,185 @@ def rolling_cuts(text: str, least: int = CHUNK_LEAST, most: int = CHUNK_MOST, ma
     return cuts
 
 
-class ChunkEncoder:
-    """Encodes and decodes texts by way of shared chunks: (number of ids, ids as text, decoded text)."""
+class Joiner:
+    """Encodes and decodes texts by way of chunks, some of whose ids are given."""
 
     def __init__(self, path: str, least: int = CHUNK_LEAST, most: int = CHUNK_MOST, mask: int = CHUNK_MASK):
-        self.pieces = PieceEncoder(path, lambda ids, decoded: (len(ids), ",".join(map(str, ids)), decoded), decode=True)
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.bounds = least, most, mask
-        self.reused = 0
-
-    def _once(self, text: str) -> tuple[int, str, str]:
-        found = self.chunks.get(text)
-        if found is None:
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            found = self.chunks[text] = _joined(self.pieces.encode(text))
-        else:
-            self.reused += 1
-        return found
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        if self.pieces.special.search(text):
-            return self.pieces.whole(text)
-        cuts, out, done = rolling_cuts(text, *self.bounds), [], 0
-        for at, following in zip(cuts, cuts[1:]):
-            join = self._agree(text, done, at, following) if at > done else None
-            if join:
-                out += [self._once(text[done : join[0]]), self._once(text[join[0] : join[1]])]
-                done = join[1]
-        if done < len(text):
-            out.append(self._once(text[done:]))
-        return _joined(out)
-
-    def _agree(self, text: str, low: int, at: int, high: int) -> tuple[int, int] | None:
-        """The window around ``at`` to encode anew; None if the chunks beside it must stay one text.
-
-        The window agrees if the tokens of a wider one are those of the window and of the chunks'
-        text on either side of it, one after the other.
+        self.encoder, self.bounds = encoder(path), (least, most, mask)
+        tokenizer = self.encoder.tokenizer
+        self.stored = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        written = [f"{n}," for n in range(max(tokenizer.get_vocab().values()) + 1)]
+        self.digits = np.array(written, "S").view(np.uint8).reshape(len(written), -1)
+        self.n_digits = np.array([len(w) for w in written])
+        self.repaired = 0
+
+    def cuts(self, text: str) -> list[int]:
+        """Ends of a text's chunks; a text that holds a special token's string is one chunk."""
+        return [len(text)] if any(t in text for t in self.encoder.added) else rolling_cuts(text, *self.bounds)
+
+    def encode(self, texts: list[str], given: list[dict[int, bytes]]) -> list[np.ndarray]:
+        """The ids of each text; ``given`` holds, by number, the ids of chunks that were encoded elsewhere.
+
+        Where two chunks meet, the text between the last safe place of the one and the first of the
+        other is encoded anew; the chunks' own ends are encoded too and must agree with the ids that they
+        replace.  A text without such places, or whose windows overlap, is encoded in one.
         """
-        reach = 16
-        while True:
+        ends = [self.cuts(t) for t in texts]
+        own = [(n, k) for n, cut in enumerate(ends) for k in range(len(cut)) if k not in given[n]]
+        ids, at = self._ids([texts[n][ends[n][k - 1] if k else 0 : ends[n][k]] for n, k in own])
+        found = {key: ids[at[m] : at[m + 1]] for m, key in enumerate(own)}
+        found |= {(n, k): np.frombuffer(v, self.stored) for n, some in enumerate(given) for k, v in some.items()}
+        windows, wanted, whole = [], [], []
+        for n, cut in enumerate(ends):
+            places = _windows(texts[n], cut)
+            if places is None:
+                whole.append(n)
+                continue
+            for k, (low, high) in enumerate(places):
+                windows.append((n, k))
+                wanted += [texts[n][low:high], texts[n][low : cut[k]], texts[n][cut[k] : high]]
+        ids, at = self._ids(wanted)
+        parts = [[found[n, k] for k in range(len(cut))] for n, cut in enumerate(ends)]
+        for m, (n, k) in enumerate(windows):
+            both, left, right = (ids[at[3 * m + i] : at[3 * m + i + 1]] for i in range(3))
+            before, after = parts[n][2 * k], parts[n][2 * k + 1]
+            if n not in whole and np.array_equal(before[len(before) - len(left) :], left) and np.array_equal(after[: len(right)], right):
+                parts[n][2 * k : 2 * k + 2] = [before[: len(before) - len(left)], both, after[len(right) :]]
+                self.repaired += 1
+            else:  # keeps the places of what follows
+                parts[n][2 * k : 2 * k + 2] = [before, both, after]
+                whole.append(n)
+        out = [np.concatenate(x) if x else np.empty(0, np.uint32) for x in parts]
+        whole = sorted(set(whole))
+        ids, at = self._ids([texts[n] for n in whole])
+        for m, n in enumerate(whole):
+            out[n] = ids[at[m] : at[m + 1]]
+        return out
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encoder.encode(pa.array(texts, pa.string()))
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.encoder.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+    def written(self, ids: list[np.ndarray]) -> Iterator[bytes]:
+        """The ids of each text as decimal numbers between commas."""
+        for x in ids:
+            rows = self.digits[x]
+            yield rows[np.arange(rows.shape[1]) < self.n_digits[x][:, None]].tobytes()[:-1]
+
+
+def _windows(text: str, cuts: list[int]) -> list[tuple[int, int]] | None:
+    """For each place where chunks meet, the nearest safe places in the chunks beside it; None if one has none."""
+    out, done, low = [], 0, 0
+    for at, high in zip(cuts, cuts[1:]):
+        left = right = None
+        reach = 32
+        while left is None or right is None:
             start, end = max(low, at - reach), min(high, at + reach)
-            left = [start + m.start() for m in _SAFE.finditer(text[start : at + 1]) if m.start()]
-            right = [at + m.start() for m in _SAFE.finditer(text[at : end + 1]) if m.start()]
-            if len(left) > 1 and len(right) > 1:
-                a, b, c, d = left[-2], left[-1], right[0], right[1]
-                wide, *parts = self.pieces.tokenizer.encode_batch([text[a:d], text[a:b], text[b:c], text[c:d]], add_special_tokens=False)
-                if wide.ids == [i for x in parts for i in x.ids]:
-                    return b, c
+            left = max((start + m.start() for m in _SAFE.finditer(text[start:at]) if m.start()), default=None)
+            right = next((at + m.start() for m in _SAFE.finditer(text[at : end + 1]) if 0 < m.start() < end - at), None)
             if start == low and end == high:
-                return None
+                break
             reach *= 4
+        if left is None or right is None or left < done:
+            return None
+        out.append((left, right))
+        done, low = right, at
+    return out
 
 
-def _joined(values: list) -> tuple[int, str, str]:
-    return sum(v[0] for v in values), ",".join([v[1] for v in values if v[0]]), "".join([v[2] for v in values])
+@lru_cache(1)
+def joiner(path: str) -> Joiner:
+    return Joiner(path)
 
 
-@lru_cache(1)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def _name(chunk: str) -> tuple[int, int]:
+    """128 bits that name a chunk, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(chunk.encode())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+def _chunk_names(rows: DataFrame, path: str) -> DataFrame:
+    """uid, place and name (h, g) of each chunk."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
+                text, low = text.as_py(), 0
+                for k, high in enumerate(joiner(path).cuts(text)):
+                    found.append((uid, k, *_name(text[low:high])))
+                    low = high
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["uid", "place", "h", "g"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, place int, h long, g long")
+
+
+def _encoded_chunks(rows: DataFrame, owned: DataFrame, path: str) -> DataFrame:
+    """h, g and ids of the chunks that ``owned`` (uid, places) names, each encoded once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = joiner(path)
+        for batch in batches:
+            names, chunks = [], []
+            for text, places in zip(batch.column("text"), batch.column("places")):
+                text = text.as_py()
+                cuts = own.cuts(text)
+                for p in places.as_py():
+                    chunks.append(text[cuts[p["place"] - 1] if p["place"] else 0 : cuts[p["place"]]])
+                    names.append((p["h"], p["g"]))
+            ids, at = own._ids(chunks)
+            stored = [ids[a:b].astype(own.stored).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            h, g = zip(*names) if names else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(stored, pa.binary())], names=["h", "g", "ids"])
+
+    return rows.join(owned, "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
+
+
+def shared_chunks(rows: DataFrame, path: str) -> DataFrame:
+    """uid and ``given`` (place and ids) of the chunks that occur more than once in the corpus.
+
+    Names of chunks are shuffled, not texts; each shared chunk is encoded once, where it comes first, and
+    its ids go to the texts that hold it.  A chunk that very many texts hold goes out several ways.
+    """
+    names = staged(_chunk_names(rows, path), "chunks")
+    shared = names.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
+    shared = staged(shared.select("h", "g", F.ceil(F.col("n") / WAY).cast("int").alias("ways"), "first.uid", "first.place"), "shared")
+    owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
+    encoded = staged(_encoded_chunks(rows, owned, path), "encoded")
+    salted = shared.select("h", "g", "ways", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
+    uses = uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way"))
+    spread = encoded.join(shared.select("h", "g", "ways"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    given = uses.join(spread, ["h", "g", "way"]).groupBy("uid").agg(F.collect_list(F.struct("place", "ids")).alias("given"))
+    given = staged(given, "given")
+    discard(names, shared, encoded)
+    release(rows.sparkSession)
+    return given
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, the ids' and the decoded text's SHA-256 for each row's whole text."""
     path = tokenizer or default_tokenizer()
+    rows = numbered(docs).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    given = shared_chunks(rows, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch.column("_cs_text"):
-                n, written, back = encoder.encode(text.as_py())
-                counts.append(n)
-                ids.append(sha256(written.encode()).hexdigest())
-                decoded.append(sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_cs_text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        own = joiner(path)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                known = [{g["place"]: g["ids"] for g in row or ()} for row in batch.column("given").to_pylist()]
+                ids = own.encode(batch.column("text").to_pylist(), known)
+                written = [sha256(w).hexdigest() for w in own.written(ids)]
+                decoded = [sha256(t.encode()).hexdigest() for t in own.decode(ids)]
+                counts = [len(x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    joined = rows.join(given, "uid", "left").select("doc_id", "text", "given")
+    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

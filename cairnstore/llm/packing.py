@@ -11,7 +11,8 @@ rest is packed like a document.  A cluster is the set of texts with equal words,
 
 Defined results: a null text is an empty text (one token); a null and an empty source are one source;
 repeated rows are packed each, in different bins; an empty table gives none; extra columns are not
-read.  Sources share 64 bits by hash: two that fall on one bit are kept apart like one.
+read; a text longer than a bin fills several.  Bitmaps have a bit for each source of the shard and for
+each cluster of several documents, so different sources are never taken for one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.bpe import default_tokenizer, encode_bytes
-from cairnstore.llm.common import staged, text_or_empty
+from cairnstore.llm.bpe import default_tokenizer, encode_texts
+from cairnstore.llm.common import numbered, staged, text_or_empty
 
 CAPACITY, SHARD = 4096, 8192
 
@@ -91,23 +92,26 @@ def pack_rows(lengths: list[int], sources: list[int], clusters: list[int], capac
     return out
 
 
+def source_bits(sources: Iterable[str]) -> list[int]:
+    """A bit of its own for each source, however many there are."""
+    bits: dict[str, int] = {}
+    return [1 << bits.setdefault(s, len(bits)) for s in sources]
+
+
 def measured(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, uid, source bit, cluster and length of each row's whole text."""
+    """doc_id, uid, source, cluster and length of each row's whole text."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, clusters, bits = [], [], []
-            for text, source in zip(batch.column("_cs_text"), batch.column("source")):
-                text = text.as_py()
-                lengths.append(len(encode_bytes(text, path)) // 4 + 1)
-                clusters.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())) - (1 << 63))
-                bits.append(xxhash.xxh64_intdigest((source.as_py() or "").encode()) % 64)
-            columns = [batch.column("doc_id"), batch.column("uid"), pa.array(bits, pa.int32()), pa.array(clusters, pa.int64()), pa.array(lengths, pa.int64())]
+            texts = batch.column("_cs_text")
+            lengths = np.diff(encode_texts(texts, path)[1]) + 1
+            clusters = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts.to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("uid"), batch.column("source"), pa.array(clusters, pa.int64()), pa.array(lengths)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "source", "cluster", "length"])
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.col("source").cast("string").alias("source"), text_or_empty().alias("_cs_text"))
-    return picked.mapInArrow(run, "doc_id long, uid long, source int, cluster long, length long")
+    picked = numbered(docs).select(F.col("doc_id").cast("long"), "uid", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty().alias("_cs_text"))
+    return picked.mapInArrow(run, "doc_id long, uid long, source string, cluster long, length long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:
@@ -117,13 +121,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, tokenize
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "uid"], ignore_index=True)
-        found = pack_rows(frame["length"].tolist(), [1 << s for s in frame["source"]], frame["cluster"].tolist(), capacity)
+        found = pack_rows(frame["length"].tolist(), source_bits(frame["source"]), frame["cluster"].tolist(), capacity)
         row, piece, number, offset, length = np.array(found, np.int64).T
         return pd.DataFrame({
             "doc_id": frame["doc_id"].astype("Int64").iloc[row].array, "piece": piece, "bin_id": (int(frame["shard"].iloc[0]) << 32) + number, "bin_offset": offset, "piece_tokens": length,
-            "source_bit": frame["source"].iloc[row].array, "cluster": frame["cluster"].iloc[row].array,
+            "source": frame["source"].iloc[row].array, "cluster": frame["cluster"].iloc[row].array,
         })
 
     # xxhash64 spreads the row numbers, so shards have nearly the same size whatever the partitions.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece long, bin_id long, bin_offset long, piece_tokens long, source_bit int, cluster long")
+    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece long, bin_id long, bin_offset long, piece_tokens long, source string, cluster long")

@@ -9,9 +9,9 @@ metadata, and whole reads run by stripe.
 A document's start in the corpus is its start in the part plus the sum of the parts before it; the
 running sum is over one row per part, not per document.
 
-Defined results: a null text is an empty text, which has the end id alone; rows with equal ids stand
-in the order of their texts; rows with a null id come first; an empty table gives no rows; extra
-columns are not read.
+Defined results: a null text is an empty text, which has the end id alone; rows with equal ids, or
+with none, stand in the order of their texts' hashes and may lie in several parts; rows with a null id come first; an empty table gives no rows; a text
+of any length is one row; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cairnstore.llm.bpe import default_tokenizer, encode_bytes
+from cairnstore.llm.bpe import default_tokenizer, encode_texts
 from cairnstore.llm.common import fresh_path, text_or_empty
 
 END_ID = 2
@@ -45,24 +45,24 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("_cs_text")
-            for a in range(0, len(texts), 256):
-                ids = [encode_bytes(t.as_py(), tokens) + end for t in texts.slice(a, 256)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            ids, at = encode_texts(batch.column("_cs_text"), tokens)
+            ids = np.insert(ids, at[1:], end_id).view(np.int32)
+            offsets = at + np.arange(len(at))
+            for a in range(0, batch.num_rows, 256):
+                own = offsets[a : a + 257]
+                n = len(own) - 1
                 columns = [
-                    batch.column("doc_id").slice(a, 256), pa.array(np.full(len(ids), part, np.int32)),
-                    pa.array(row + np.arange(len(ids))), pa.array(start + ends - sizes), pa.array(sizes),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                    batch.column("doc_id").slice(a, 256), pa.array(np.full(n, part, np.int32)),
+                    pa.array(row + np.arange(n)), pa.array(start + own[:-1] - own[0]), pa.array(np.diff(own)),
+                    pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(ids[own[0] : own[-1]])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"])
-                row, start = row + len(ids), start + int(ends[-1])
+                row, start = row + n, start + int(own[-1] - own[0])
 
     picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_cs_text"))
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_cs_text")
+    picked = picked.withColumn("_cs_hash", F.xxhash64("_cs_text"))
+    ordered = picked.repartitionByRange("doc_id", "_cs_hash").sortWithinPartitions("doc_id", "_cs_hash", "_cs_text").drop("_cs_hash")
     ordered.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(path)
 
 

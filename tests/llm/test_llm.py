@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cairnstore.llm import bpe, mpeg_audio, packing, pii, quality_fm, quality_rules, simhash, suffix_dedup, token_orc, toxicity
-from cairnstore.llm.common import documents, labels, staged
+from cairnstore.llm.common import documents, labels, numbered, staged
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp long, uid long"
@@ -59,16 +61,49 @@ def _library():
     return Tokenizer.from_file(bpe.default_tokenizer())
 
 
-def test_chunks_and_pieces_encode_like_the_library():
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_chunks_and_pieces_encode_like_the_library(most):
     random.seed(1)
-    library, chunked, pieces = _library(), bpe.ChunkEncoder(bpe.default_tokenizer(), 8, 64, 7), bpe.id_encoder(bpe.default_tokenizer())
-    parts = ["a", "b", " ", "  ", "\n", "'", "'ll", "1", "é", "　", "\xa0", "<|endoftext|>", "\t", "word ", " the", "x" * 30]
-    for _ in range(600):
-        text = "".join(random.choice(parts) for _ in range(random.randint(0, 150)))
-        ids = library.encode(text, add_special_tokens=False).ids
-        assert chunked.encode(text) == (len(ids), ",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
-        assert np.frombuffer(b"".join(pieces.encode(text)), "<u4").tolist() == ids
-    assert chunked.reused
+    library, joiner, pieces = _library(), bpe.Joiner(bpe.default_tokenizer(), 8, 64, 7), bpe.PieceEncoder(bpe.default_tokenizer(), most)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "'", "'ll", "1", "é", "　", "\xa0", "\x1c", "\0", "<|endoftext|>", "\t", "word ", " the", "word.", "x" * 30]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 150))) for _ in range(600)] + ["word the " * 100, "", "\n"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 60):
+        ids, at = pieces.encode(pa.array(texts[a : a + 60], pa.string()))
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == want[a : a + 60]
+    given = []  # every second chunk's ids are known
+    for text in texts:
+        cuts = joiner.cuts(text)
+        chunks = [text[x:y] for x, y in zip([0, *cuts], cuts)]
+        given.append({k: library.encode(c, add_special_tokens=False).ids for k, c in enumerate(chunks) if k % 2})
+    got = joiner.encode(texts, [{k: np.array(v, joiner.stored).tobytes() for k, v in g.items()} for g in given])
+    assert [x.tolist() for x in got] == want and joiner.repaired
+    assert list(joiner.written(got)) == [",".join(map(str, ids)).encode() for ids in want]
+    assert joiner.decode(got) == library.decode_batch(want, skip_special_tokens=False)
+
+
+def test_shared_chunks_are_encoded_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    common = " ".join(word() for _ in range(2000))
+    rows = [(i, word() + " " + common + " " + word()) for i in range(6)] + [(9, " ".join(word() for _ in range(900)))]
+    docs = staged(spark.createDataFrame(rows, "uid long, text string").repartition(3), "shared")
+    found = {r.uid: {g.place: bytes(g.ids) for g in r.given} for r in bpe.shared_chunks(docs, bpe.default_tokenizer()).collect()}
+    assert set(found) == set(range(6)) and all(len(found[u]) > 1 for u in range(6))
+
+
+def test_numbers_do_not_depend_on_splits(spark):
+    docs = staged(documents(spark, SF).repartition(7), "many-files")
+    numbers = numbered(docs).select("doc_id", "uid")
+    first = sorted(map(tuple, numbers.collect()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert sorted(map(tuple, numbers.collect())) == first and len({u for _, u in first}) == len(first)
+        moved = numbered(docs.where("doc_id >= 0").withColumn("n", F.lit(1)))
+        assert moved.select("uid").distinct().count() == moved.count() and moved.columns[-1] == "uid"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_round_trip_and_orc(spark, edges, empty):
