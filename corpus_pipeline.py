@@ -41,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in training sequences."""
-    return packing.pack(docs).drop("source_bit", "cluster")
+    return packing.pack(docs).drop("source", "cluster")
 
 
 STAGES = [
