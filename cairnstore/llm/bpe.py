@@ -9,7 +9,7 @@ Two layers, both exact:
 * :func:`round_trip` cuts texts where a rolling hash of the last 32 characters says so.  Copies, near
   copies and shared passages are cut at the same places.  A chunk that occurs more than once in the corpus
   is encoded once, and its ids are joined to the texts that hold it; all other chunks are encoded where
-  they are.  Where two chunks meet, the text around the join is encoded anew, and its tokens must agree
+  they are, and texts that share nothing aren't shuffled.  Where two chunks meet, the text around the join is encoded anew, and its tokens must agree
   with those of both chunks beside it; else the text is encoded in one.
 
 The table of pieces is emptied when it reaches a number of entries: memory is bounded and results don't
@@ -31,11 +31,12 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairnstore.llm.common import discard, numbered, release, staged, text_or_empty
 
@@ -44,6 +45,8 @@ MAX_PIECES = 1_000_000
 SLICE = 16 << 20
 #: Texts to which a shared chunk goes in one way, and copies of a shared chunk's name.
 WAY, SALTS = 4096, 8
+#: Bytes of the filter that tells texts with shared chunks.
+BITMAP = 8 << 20
 #: Characters in a chunk: least, most, and (as a mask of the rolling hash) on average above the least.
 CHUNK_LEAST, CHUNK_MOST, CHUNK_MASK = 512, 16_384, 0x7FF
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -420,8 +423,29 @@ def _encoded_chunks(rows: DataFrame, owned: DataFrame, path: str) -> DataFrame:
     return rows.join(owned, "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
 
 
-def shared_chunks(rows: DataFrame, path: str) -> DataFrame:
-    """uid and ``given`` (place and ids) of the chunks that occur more than once in the corpus.
+def _marker(uids: DataFrame) -> Column:
+    """A filter that is true for all of ``uids``: one of a fixed number of bits is set for each.
+
+    So most texts that share nothing are told apart without a join.  The bits are ``BITMAP`` bytes at any size;
+    where rows are so many that most bits are set, more texts take the way through the join, with the same result.
+    """
+    words = BITMAP // 8
+    h = F.xxhash64("uid")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+    rows = uids.groupBy(F.pmod(h, F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def marked(hashes: pd.Series) -> pd.Series:
+        x = hashes.to_numpy()
+        return pd.Series(bits[x % words] >> ((x.view(np.uint64) >> np.uint64(32)) & np.uint64(63)) & np.uint64(1) > 0)
+
+    return marked(h)
+
+
+def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Column]:
+    """uid and ``given`` (place and ids) of the chunks that occur more than once, the rows that may hold some, and what marks them.
 
     Names of chunks are shuffled, not texts; each shared chunk is encoded once, where it comes first, and
     its ids go to the texts that hold it.  A chunk that very many texts hold goes out several ways.
@@ -429,24 +453,26 @@ def shared_chunks(rows: DataFrame, path: str) -> DataFrame:
     names = staged(_chunk_names(rows, path), "chunks")
     shared = names.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
     shared = staged(shared.select("h", "g", F.ceil(F.col("n") / WAY).cast("int").alias("ways"), "first.uid", "first.place"), "shared")
-    owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
-    encoded = staged(_encoded_chunks(rows, owned, path), "encoded")
     salted = shared.select("h", "g", "ways", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
-    uses = uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way"))
+    uses = staged(uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way")), "uses")
+    marked = _marker(uses)
+    holders = staged(rows.where(marked), "holders")
+    owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
+    encoded = staged(_encoded_chunks(holders, owned, path), "encoded")
     spread = encoded.join(shared.select("h", "g", "ways"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
     given = uses.join(spread, ["h", "g", "way"]).groupBy("uid").agg(F.collect_list(F.struct("place", "ids")).alias("given"))
     given = staged(given, "given")
-    discard(names, shared, encoded)
+    discard(names, shared, uses, encoded)
     release(rows.sparkSession)
-    return given
+    return given, holders, marked
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, the ids' and the decoded text's SHA-256 for each row's whole text."""
     path = tokenizer or default_tokenizer()
     rows = numbered(docs).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    given = shared_chunks(rows, path)
+    given, holders, marked = shared_chunks(rows, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = joiner(path)
@@ -463,5 +489,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    joined = rows.join(given, "uid", "left").select("doc_id", "text", "given")
-    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    joined = holders.join(given, "uid", "left").select("doc_id", "text", "given")
+    alone = rows.where(~marked).select("doc_id", "text", F.lit(None).cast("array<struct<place:int,ids:binary>>").alias("given"))
+    return joined.mapInArrow(run, schema).unionByName(alone.mapInArrow(run, schema))
