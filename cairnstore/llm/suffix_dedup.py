@@ -12,14 +12,14 @@ A suffix array of the corpus doesn't fit anywhere, so it is built in parts, and
 1. Each position's string is filed under the smallest hash of its ``gram``-byte substrings.  Equal
    strings have equal files, so a file with a single occurrence holds no repeats, and most files do.
    Positions next to each other mostly share a file; such a run is one row.
-2. Runs whose whole context is equal settle each other by counting; copies of documents and passages
-   cost one row a run, not a row a byte, and one of them stands for all.
-3. What is left (the representatives of files with several contexts) is dealt by file into parts, a
-   large file by string, and each part's suffixes are put in order and compared with their neighbours.
-
-Only the order of suffixes that share their first ``length`` bytes matters, so the parts are ordered
-by a 64-bit fingerprint of those bytes and then by position, rather than by the bytes themselves; two
-different strings would have to collide in 64 bits to be taken for one.
+2. Runs whose whole context is equal (128 bits of hash) settle each other by counting; copies of documents
+   and passages cost one row a run, not a row a byte, and one of them stands for all.
+3. What is left (the representatives of files with several contexts) is dealt by file, in as many tasks as
+   its size needs.  There the suffixes of the contexts are put in the order of their bytes, by prefix
+   doubling up to ``length``, equal strings by position.  A string's previous smaller position then stands
+   right before it if its longest previous factor reaches ``length``, and its next one right behind.
+4. A file with very many contexts (a passage or a group of near copies in a large share of the corpus)
+   would not fit in a task: its strings are dealt by a 64-bit fingerprint, several ways, and ordered by it.
 
 Defined results: a null text is an empty text (and stays null in :func:`remove`); documents shorter
 than ``length`` are left alone; repeated rows remove each other's bytes, or the later ones; "first" is
@@ -34,28 +34,30 @@ words and the gaps between them in turn, so ``length`` words are 2 * length - 1
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm.common import discard, numbered, release, staged
 
 LENGTH, GRAM = 400, 96
+#: In words.
+PASSAGE, PASSAGE_GRAM = 51, 12
 SEGMENT = 1 << 20
 #: Contexts in a file beyond which it is dealt by string, one way for every ``DEAL`` times as many.
 HOT, DEAL = 256, 16
+#: Positions: in a file beyond which it is dealt by string, and (about) in a task.  Bytes that are put in order together.
+LARGE, TASK, PART = 1 << 20, 1 << 22, 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     return np.cumprod(np.full(n, _BASE, _U)), np.cumprod(np.full(n, inverse, _U))
@@ -67,34 +69,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-_WORD = re.compile(rb"[^ \t-\r]+")
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def word_bounds(data: bytes) -> np.ndarray:
     """The first byte of each word and the one after its last, in two rows."""
-    bounds = []
-    for m in _WORD.finditer(data):
-        a, b = m.span()
-        left, core = len(m[0].lstrip(_MARKS)), m[0].strip(_MARKS)
-        bounds.append((b - left, b - left + len(core)) if core else (a, b))
-    return np.array(bounds, np.int64).reshape(-1, 2).T
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edges[::2], edges[1::2]
+    core = np.flatnonzero(inside[1:-1] & ~_MARK[raw])  # bytes that aren't punctuation
+    if not len(core) or not len(first):
+        return np.array([first, end])
+    after = np.searchsorted(core, first)  # each word's first such byte, if it has one
+    before = np.searchsorted(core, end) - 1
+    some = before >= after
+    return np.array([np.where(some, core[np.minimum(after, len(core) - 1)], first), np.where(some, core[before] + 1, end)])
 
 
 def symbols(data: bytes, unit: str) -> np.ndarray:
     """A number for each byte, or for each word and each gap between two words in turn."""
+    raw = _TABLE[np.frombuffer(data, np.uint8)]
     if unit == "bytes":
-        return _TABLE[np.frombuffer(data, np.uint8)]
-    cuts = word_bounds(data).T.ravel().tolist()
-    return np.array([xxhash.xxh64_intdigest(data[a:b]) | 1 for a, b in zip(cuts, cuts[1:])], _U)
+        return raw
+    cuts = word_bounds(data).T.ravel()
+    if not len(cuts):
+        return np.empty(0, _U)
+    out = []
+    for a in range(0, len(cuts) - 1, 2 * SEGMENT):
+        some = cuts[a : a + 2 * SEGMENT + 1]
+        own = Segment(raw[some[0] : some[-1]], 1, 1, int(some[-1] - some[0]))
+        out.append(own.spans(some[:-1] - some[0], some[1:] - some[0]) | _U(1))
+    return np.concatenate(out)
 
 
 class Segment:
     """Hashes of all substrings of up to a segment of symbols; ``step`` symbols make a position."""
 
-    def __init__(self, data: np.ndarray, length: int, step: int):
+    def __init__(self, data: np.ndarray, length: int, step: int, most: int = 0):
         self.step = step
-        self.up, down = _powers(step * (SEGMENT + length))
+        self.up, down = _powers(max(step * (SEGMENT + length), 1 << most.bit_length()))
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(data * down[: len(data)], out=self.sums[1:])
 
@@ -105,7 +122,7 @@ class Segment:
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = self.step * a, self.step * (b - 1) + 1
-        return _mix((self.sums[b] - self.sums[a]) * self.up[a] + (b - a).astype(_U) * _U(0x94D049BB133111EB))
+        return _mix((self.sums[b] - self.sums[a]) * self.up[np.minimum(a, len(self.up) - 1)] + (b - a).astype(_U) * _U(0x94D049BB133111EB))
 
 
 def _segments(data: bytes, length: int, unit: str) -> Iterator[tuple[int, Segment]]:
@@ -177,83 +194,113 @@ def _runs_table(docs: DataFrame, length: int, gram: int, unit: str) -> DataFrame
     return docs.mapInArrow(run, "uid long, doc_id long, start long, size int, file long, context long, recurs boolean")
 
 
-def _dealer(length: int, parts: int, unit: str):
-    """Rows of fingerprints, by part, from texts with the runs that must be compared."""
+_DEALT = "file long, way int, context long, doc_id long, uid long, start long, size int, data binary, prints binary, places binary"
+_DEALT_ARROW = pa.schema([
+    ("file", pa.int64()), ("way", pa.int32()), ("context", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()),
+    ("data", pa.binary()), ("prints", pa.binary()), ("places", pa.binary()),
+])
+
+
+def _dealer(length: int, unit: str):
+    """The contexts that must be compared: their bytes, or those of a large file as strings' fingerprints, several ways."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for n in range(batch.num_rows):
-                prints = fingerprints(_bytes(batch.column("text")[n]), length, unit)
+                data, needs = _bytes(batch.column("text")[n]), batch.column("needs")[n].as_py()
+                bounds = word_bounds(data) if unit == "words" else None
+                prints = fingerprints(data, length, unit) if any(r["ways"] for r in needs) else None
                 uid, doc_id = batch.column("uid")[n].as_py(), batch.column("doc_id")[n].as_py()
-                for r in batch.column("needs")[n].as_py():
-                    held.append((r["context"], doc_id, uid, r["file"], r["hot"], prints[r["start"] : r["start"] + r["size"]], r["start"]))
-                    size += r["size"]
-                if size >= 1 << 20:
-                    yield _dealt(held, parts)
+                for r in needs:
+                    a, b = r["start"], r["start"] + r["size"]
+                    named = (r["context"], doc_id, uid, a, r["size"])
+                    if not r["ways"]:
+                        piece = data[a : b + length - 1] if bounds is None else data[bounds[0, a] : bounds[1, b + length - 2]]
+                        held.append((r["file"], 0, *named, piece, None, None))
+                        size += len(piece)
+                        continue
+                    own = prints[a:b]
+                    way = own % _U(r["ways"])
+                    for w in np.unique(way).tolist():
+                        places = np.flatnonzero(way == w)
+                        held.append((r["file"], w, *named, None, own[places].tobytes(), places.astype("<u4").tobytes()))
+                        size += 12 * len(places)
+                if size >= 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _DEALT_ARROW.types)], schema=_DEALT_ARROW)
                     held, size = [], 0
         if held:
-            yield _dealt(held, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _DEALT_ARROW.types)], schema=_DEALT_ARROW)
 
     return run
 
 
-_DEALT = pa.schema([
-    ("part", pa.int32()), ("context", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("uid", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())),
-    ("size", pa.list_(pa.int32())), ("prints", pa.binary()), ("places", pa.binary()),
-])
-
+def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
+    """Each place's rank in the order of the suffixes of ``text`` by their first ``length`` symbols.
 
-def _dealt(held: list[tuple], parts: int) -> pa.RecordBatch:
-    """One row per part; ``places`` is empty where runs are whole."""
-    sizes = np.array([len(h[5]) for h in held])
-    prints, owner = np.concatenate([h[5] for h in held]), np.repeat(np.arange(len(held)), sizes)
-    place = np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hot = np.array([h[4] for h in held], np.int64)[owner]
-    files = np.array([h[3] for h in held], np.int64).view(_U)[owner]
-    way = prints % np.maximum(hot, 1).astype(_U)  # a large file's strings go several ways, any other file one
-    part = (_mix(files + way * _U(0x632BE59BD9B4E019)) % _U(parts)).astype(np.int64) * 2 + (hot > 0)
-    order = np.argsort(part, kind="stable")
-    prints, owner, place, part = prints[order], owner[order], place[order].astype("<u4"), part[order]
-    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    rows = []
-    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(part)]):
-        own = owner[a:b]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        some = [held[n] for n in own[first].tolist()]
-        rows.append({
-            "part": int(part[a]) // 2, "context": [h[0] for h in some], "doc_id": [h[1] for h in some], "uid": [h[2] for h in some], "start": [h[6] for h in some],
-            "size": np.diff(np.append(first, b - a)).tolist(), "prints": prints[a:b].tobytes(), "places": place[a:b].tobytes() if part[a] % 2 else b"",
-        })
-    return pa.RecordBatch.from_pylist(rows, _DEALT)
-
-
-def _comparer(keep: str):
-    """The positions, as intervals within their runs, whose string starts elsewhere (or earlier)."""
+    Symbols are numbers above 0, in their order.  Prefixes are doubled: the order by 2k symbols follows
+    from that by k, of the place and of the place k further on.
+    """
+    ranks, k = text.astype(np.int64), 1
+    if length >= 7 and len(text) and text.max() < 512:  # seven symbols of nine bits make a number
+        padded = np.concatenate([ranks, np.zeros(6, np.int64)])
+        ranks, k = sum(padded[i : i + len(ranks)] << 9 * (6 - i) for i in range(7)), 7
+        ranks = np.unique(ranks, return_inverse=True)[1]
+    while k < length:
+        step = min(k, length - k)
+        later = np.zeros(len(ranks), np.int64)
+        later[: max(0, len(ranks) - step)] = ranks[step:] + 1
+        ranks = np.unique(ranks * (ranks.max(initial=0) + 2) + later, return_inverse=True)[1]
+        k += step
+    return ranks
+
+
+def _text(pieces: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The pieces' symbols as one text, where each piece begins, and how many symbols make a position."""
+    if unit == "bytes":
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        return np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1, np.cumsum(sizes) - sizes, 1
+    numbers: dict[bytes, int] = {}  # words and gaps by their bytes
+    every, sizes = [], []
+    for p in pieces:
+        cuts = word_bounds(p).T.ravel().tolist()
+        own = [numbers.setdefault(p[a:b], len(numbers) + 1) for a, b in zip(cuts, cuts[1:])]
+        every += own
+        sizes.append(len(own))
+    sizes = np.array(sizes, np.int64)
+    return np.array(every, np.int64), np.cumsum(sizes) - sizes, 2
+
+
+def _comparer(length: int, keep: str, unit: str):
+    """The positions, as intervals within their contexts, whose string starts elsewhere (or earlier)."""
 
     def compare(rows: list[dict]) -> pa.RecordBatch:
-        prints = np.frombuffer(b"".join(r["prints"] for r in rows), _U)
-        sizes = np.concatenate([np.array(r["size"]) for r in rows])
-        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place, at = np.arange(len(prints)) - begin, 0
-        for r in rows:
-            n = len(r["prints"]) // 8
-            if r["places"]:
-                place[at : at + n] = np.frombuffer(r["places"], "<u4")
-            at += n
-        run = np.repeat(np.arange(len(sizes)), sizes)
-        flat = lambda k: [x for r in rows for x in r[k]]
-        if keep == "first":
-            ranks = sorted(range(len(sizes)), key=[(d is not None, d or 0, u, s) for d, u, s in zip(flat("doc_id"), flat("uid"), flat("start"))].__getitem__)
-            rank = np.empty(len(sizes), np.int64)
-            rank[ranks] = np.arange(len(sizes))
-            order = np.lexsort((place, rank[run], prints))
-        else:
-            order = np.argsort(prints, kind="stable")
-        same = prints[order][1:] == prints[order][:-1]
-        found = np.zeros(len(prints), bool)
-        found[order[1:]] |= same  # a smaller position before it in suffix order
+        whole, dealt = [r for r in rows if r["data"] is not None], [r for r in rows if r["data"] is None]
+        rows, ranks, places = whole + dealt, [], []
+        if whole:
+            text, begins, step = _text([r["data"] for r in whole], unit)
+            order = suffix_ranks(text, step * (length - 1) + 1)
+            for r, a in zip(whole, begins.tolist()):
+                ranks.append(order[a : a + step * r["size"] : step])
+                places.append(np.arange(r["size"]))
+        if dealt:  # one file and way: equal strings have equal fingerprints
+            least = 1 + max([int(x.max()) for x in ranks], default=0)
+            prints = np.unique(np.concatenate([np.frombuffer(r["prints"], _U) for r in dealt]), return_inverse=True)[1] + least
+            sizes = np.cumsum([len(r["prints"]) // 8 for r in dealt])
+            ranks += np.split(prints, sizes[:-1])
+            places += [np.frombuffer(r["places"], "<u4") for r in dealt]
+        run = np.repeat(np.arange(len(rows)), [len(x) for x in ranks])
+        rank, place = np.concatenate(ranks), np.concatenate(places).astype(np.int64)
+        by = sorted(range(len(rows)), key=lambda n: (rows[n]["doc_id"] is not None, rows[n]["doc_id"] or 0, rows[n]["uid"], rows[n]["start"]))
+        first = np.empty(len(rows), np.int64)
+        first[by] = np.arange(len(rows))
+        # The suffix order, equal strings by position: a string's previous smaller position, if its longest
+        # previous factor has the length, stands right before it, its next one right behind.
+        order = np.lexsort((place, first[run], rank))
+        same = rank[order][1:] == rank[order][:-1]
+        found = np.zeros(len(rank), bool)
+        found[order[1:]] |= same
         if keep == "none":
             found[order[:-1]] |= same
         hit = np.flatnonzero(found)
@@ -261,19 +308,23 @@ def _comparer(keep: str):
         r, p = run[hit], place[hit]
         a = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)])) if len(hit) else np.empty(0, np.int64)
         z = np.append(a[1:], len(hit)) - 1 if len(hit) else a
-        context = np.array(flat("context"), np.int64)
+        context = np.array([x["context"] for x in rows], np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(context[r[a]]), pa.array(p[a].astype(np.int32)), pa.array((p[z] + 1).astype(np.int32))], names=["context", "a", "b"]
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                if held and held[-1]["part"] != row["part"]:
+                other = held and (held[-1]["file"], held[-1]["way"]) != (row["file"], row["way"])
+                # Files are compared together up to a size, one that is dealt out on its own.
+                if other and (size >= PART or row["data"] is None or held[-1]["data"] is None):
                     yield compare(held)
-                    held = []
+                    held, size = [], 0
                 held.append(row)
+                size += len(row["data"] or row["prints"])
         if held:
             yield compare(held)
 
@@ -293,15 +344,17 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.max("size").alias("size"), F.max("recurs").alias("recurs")
     )
     contexts = staged(contexts, "contexts")
-    several = contexts.groupBy("file").agg(F.count(F.lit(1)).alias("contexts"), F.max("recurs").alias("_r")).where("contexts > 1 OR _r")
-    ways = F.when(F.col("contexts") > hot, F.ceil(F.col("contexts") / (DEAL * hot))).otherwise(0).cast("long")
-    needs = contexts.join(several.select("file", ways.alias("hot")), "file")
-    needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "hot", F.col("first.start").alias("start"), "size")).alias("needs"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.join(needs, "uid").mapInArrow(
-        _dealer(length, parts, unit), "part int, context array<long>, doc_id array<long>, uid array<long>, start array<long>, size array<int>, prints binary, places binary"
-    )
-    compared = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_comparer(keep), "context long, a int, b int")
+    several = contexts.groupBy("file").agg(F.count(F.lit(1)).alias("contexts"), F.sum("size").alias("positions"), F.max("recurs").alias("_r")).where("contexts > 1 OR _r")
+    large = (F.col("contexts") > hot) | (F.col("positions") > LARGE)
+    ways = F.when(large, F.ceil(F.greatest(F.col("contexts") / (DEAL * hot), F.col("positions") / LARGE))).otherwise(0).cast("long")
+    several = staged(several.select("file", "positions", ways.alias("ways")), "files")
+    # As many tasks as the strings to be compared need.
+    positions = several.agg(F.sum("positions")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-positions // TASK))
+    needs = contexts.join(several, "file")
+    needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "ways", F.col("first.start").alias("start"), "size")).alias("needs"))
+    dealt = rows.join(needs, "uid").mapInArrow(_dealer(length, unit), _DEALT)
+    compared = dealt.repartition(parts, "file", "way").sortWithinPartitions("file", "way").mapInArrow(_comparer(length, keep, unit), "context long, a int, b int")
     compared = staged(compared, "compared")
     release(spark)
     own = compared.groupBy("context").agg(F.collect_list(F.struct("a", "b")).alias("own"))
@@ -313,7 +366,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     spans = F.transform(spans, lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] + (length - 1)).alias("b")))
     listed = placed.select("uid", spans.alias("spans")).where(F.size("spans") > 0).groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     listed = staged(listed, "spans")
-    discard(every, found, contexts, compared)
+    discard(every, found, contexts, several, compared)
     release(spark)
     return listed
 
@@ -343,24 +396,34 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + data[at:]
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", hot: int = HOT, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, and what it holds of repeated passages.
+
+    The passages (n_passages, n_passage_bytes) are those of ``passage`` words or more, which may be shorter
+    than ``length`` bytes; they are counted by the same method and not removed.
+    """
     rows = _numbered(docs)
     found = repeated(rows, length, gram, keep, hot)
+    passages = repeated(rows, passage, passage_gram, keep, hot, "words").withColumnRenamed("spans", "passages")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            for text, spans, words in zip(batch.column("text"), batch.column("spans"), batch.column("passages")):
                 data, gone = _bytes(text), merged(spans.as_py())
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), sha256(without(data, gone)).hexdigest()))
-            columns = list(zip(*rows)) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                held = merged(in_bytes(data, words.as_py(), "words")) if words.is_valid else []
+                rows.append((len(data), _length(gone), len(gone), sha256(without(data, gone)).hexdigest(), len(held), _length(held)))
+            columns = list(zip(*rows)) or [()] * 6
+            arrays = [pa.array(c, pa.string() if n == 3 else pa.int64()) for n, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
-    joined = rows.join(found, "uid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(found.join(passages, "uid", "full"), "uid", "left").select("doc_id", "text", "spans", "passages")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+
+
+def _length(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in spans)
 
 
 def _to_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
