@@ -2,17 +2,17 @@
 
 The patterns are exact and their spans always stay.  The tagger is trained here in numpy, from
 labelled spans in sentences that a seeded generator writes (addresses and numbers in the usual and
-in some unusual forms, among words, dates, prices and hexadecimal keys); no corpus text is used.  A
-text is cut into windows of 96 characters that overlap by half; each is decoded with the CRF's best
-path; a span that touches a window's inner edge is left to the neighbour that sees it whole; what
-remains is reconciled over the whole text, leftmost and longest first, and never overlaps a
-pattern's span.
+in some unusual forms, among words, dates, prices, marks and hexadecimal keys); no corpus text is used.  Every
+text is cut into windows of 256 characters that overlap by 48, and every window is decoded with the CRF's
+best path.  The paths of a text's windows are joined where both give the same label, nearest to the middle of
+their overlap, so a span may go on over any number of windows.  What follows from the joined path is
+reconciled over the whole text, leftmost first, and never overlaps a pattern's span.
 
-A tagger's span counts only if it holds ``@`` or seven digits.  Windows are decoded one by one, so
-one without a digit or ``@`` can't add anything, and leaving it out changes no result.
+A tagger's span counts only if it can be what it is called: an address has ``@`` inside, a number seven digits.
 
 Defined results: a null text is an empty text; repeated rows give repeated rows; a text of any
 length is read whole, window by window; extra columns are not read; an empty table gives none.
+Texts are tagged some at a time, which changes no result.
 """
 
 from __future__ import annotations
@@ -30,14 +30,17 @@ from cairnstore.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, STRIDE, BATCH = 96, 48, 256
-HIDDEN, EMBEDDING, SENTENCES, EPOCHS, SEED = 24, 16, 1200, 14, 7
+WINDOW, STRIDE, BATCH = 256, 208, 2048
+#: Characters of texts that are tagged together.
+SLICE = 1 << 20
+SENTENCE, HIDDEN, EMBEDDING, SENTENCES, EPOCHS, SEED = 96, 16, 16, 1600, 16, 7
 _TRIGGER = re.compile("[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_PLAIN = str.maketrans("éèêàçñóíüöä", "eeeacnoiuoa", "ß")
 _NOT_DIGIT = re.compile("[^0-9]")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -175,20 +178,56 @@ class Tagger:
         np.add.at(g["emb"], ids.ravel(), dx.reshape(-1, EMBEDDING))
         return {k: v / batch for k, v in g.items()}
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The best label path [batch, time] of each row of codes."""
-        e, _ = self.emissions(codes)
-        time, batch, n = e.shape
-        score, back = e[0], np.empty((time, batch, n), np.int64)
-        for t in range(1, time):
-            through = score[:, :, None] + self.p["trans"]
-            back[t] = through.argmax(axis=1)
-            score = through.max(axis=1) + e[t]
-        path = np.empty((batch, time), np.int64)
-        path[:, -1] = score.argmax(axis=1)
-        for t in range(time - 1, 0, -1):
-            path[:, t - 1] = back[t][np.arange(batch), path[:, t]]
-        return path
+    def _scan(self, codes: np.ndarray, active: list[int], d: str) -> np.ndarray:
+        """Hidden states [time, hidden, window] for codes [time, window]; at each time the first ``active`` windows go on.
+
+        The same cells as in :meth:`_lstm`, laid out by window; a sigmoid is a tangent of half the argument.
+        """
+        p, size = self.p, HIDDEN
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), size)
+        table = np.ascontiguousarray(((p["emb"] @ p[f"x{d}"] + p[f"b{d}"]) * half).T)
+        w = np.ascontiguousarray((p[f"h{d}"] * half).T)
+        time, batch = codes.shape
+        out, h, c = np.zeros((time, size, batch), np.float32), np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
+        for t in range(time) if d == "f" else range(time - 1, -1, -1):
+            n = active[t]
+            z = w @ h[:, :n]
+            z += np.take(table, codes[t, :n], axis=1, mode="clip")
+            np.tanh(z, out=z)
+            gates = z[: 3 * size]
+            gates *= 0.5
+            gates += 0.5
+            own = c[:, :n]
+            own *= z[size : 2 * size]
+            own += z[:size] * z[3 * size :]
+            np.multiply(np.tanh(own), z[2 * size : 3 * size], out=out[t, :, :n])
+            h = out[t]
+            if d == "b" and t and active[t - 1] > n:  # windows that end here begin with an empty state
+                c[:, n : active[t - 1]] = 0
+        return out
+
+    def decode(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best label path [window, time] of each row of codes, of which the first ``sizes`` count."""
+        order = np.argsort(-sizes, kind="stable")
+        codes, time = codes[order].T, int(sizes.max(initial=0))
+        active = [int(np.count_nonzero(sizes > t)) for t in range(time)]
+        codes = np.ascontiguousarray(codes[:time])
+        p, n = self.p, len(LABELS)
+        e = np.matmul(p["out"][:HIDDEN].T, self._scan(codes, active, "f")) + np.matmul(p["out"][HIDDEN:].T, self._scan(codes, active, "b"))
+        e += p["out_b"][:, None]
+        trans = p["trans"][:, :, None]
+        for t in range(1, time):  # e becomes the best path's score
+            k = active[t]
+            e[t, :, :k] += (e[t - 1, :, None, :k] + trans).max(axis=0)
+        path = np.zeros((time, codes.shape[1]), np.int8)
+        for t in range(time - 1, -1, -1):
+            k, on = active[t], active[t + 1] if t + 1 < time else 0
+            if on:
+                path[t, :on] = (e[t, :, :on] + p["trans"][:, path[t + 1, :on]]).argmax(axis=0)
+            path[t, on:k] = e[t, :, on:k].argmax(axis=0)
+        out = np.zeros((len(sizes), codes.shape[0]), np.int8)
+        out[order] = path.T
+        return out
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -200,10 +239,12 @@ def labelled(rng: np.random.Generator) -> tuple[str, list[Span]]:
     """A made-up sentence of 96 characters or more and the spans of personal data in it."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda *x: x[rng.integers(len(x))]
+    letters = list("abcdefghijklmnopqrstuvwxyz" + "aeiounrst" * 3 + "éèêàçñóíüöäß")
 
     def word(least: int = 1) -> str:
-        w = "".join(rng.choice(list("aeiounrstldmchgé"), rng.integers(least, 11)))
-        return w.capitalize() if rng.random() < 0.15 else w
+        w = "".join(rng.choice(letters, rng.integers(least, 15)))
+        r = rng.random()
+        return w.upper() if r < 0.04 else w.capitalize() if r < 0.18 else w
 
     def card() -> str:
         body = pick("4", "5", "3", "0", "9") + digits(14)
@@ -215,7 +256,7 @@ def labelled(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return pick(f"+{pick(1, 33, 49)} ({a}) {b}-{c}", f"+{pick(1, 34, 49)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}")
 
     make = (
-        lambda: f"{word(2)}{pick('', '.', '_')}{pick('', digits(2))}@{word(2)}{pick('', digits(1))}.{pick('example.com', 'com', 'org', 'net')}".lower().replace("é", "e"),
+        lambda: f"{word(2)}{pick('', '.', '_')}{pick('', digits(2))}@{word(2)}{pick('', digits(1))}.{pick('example.com', 'com', 'org', 'net')}".lower().translate(_PLAIN),
         lambda: ".".join(str(rng.integers(0, 256)) for _ in range(4)),
         card,
         phone,
@@ -223,9 +264,11 @@ def labelled(rng: np.random.Generator) -> tuple[str, list[Span]]:
     noise = (
         lambda: f"{rng.integers(1900, 2030)}", lambda: f"{digits(2)}/{digits(2)}/20{digits(2)}", lambda: f"{digits(2)}.{digits(2)}", lambda: f"${digits(3)}",
         lambda: "".join(rng.choice(list("0123456789abcdef"), 40)), lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{word()} @ {word()}", lambda: digits(rng.integers(1, 9)),
+        lambda: "".join(rng.choice(list("#*$%&|<>=-_.~"), rng.integers(1, 9))), lambda: f"{word()}_{word()}", lambda: f"{word()}.{word()}()", lambda: f"<{word()}>", lambda: f"{word()}'{word()}",
+        lambda: f"https://{word(2)}.{pick('com', 'org')}/{word()}/{digits(3)}", lambda: f"{word()}-{digits(2)}{word()}", lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop0123456789"), rng.integers(12, 40))),
     )
     text, spans = "", []
-    while len(text) < WINDOW:
+    while len(text) < SENTENCE:
         r = rng.random()
         if r < 0.12:
             k = int(rng.integers(4))
@@ -242,14 +285,14 @@ def labelled(rng: np.random.Generator) -> tuple[str, list[Span]]:
 def trained(seed: int = SEED) -> Tagger:
     """The tagger, trained with Adam on ``SENTENCES`` made-up sentences; the same for a seed."""
     rng = np.random.default_rng(seed)
-    codes, labels = np.zeros((SENTENCES, WINDOW), np.int64), np.zeros((SENTENCES, WINDOW), np.int64)
+    codes, labels = np.zeros((SENTENCES, SENTENCE), np.int64), np.zeros((SENTENCES, SENTENCE), np.int64)
     for row in range(SENTENCES):
         text, spans = labelled(rng)
-        shift = int(rng.integers(0, len(text) - WINDOW + 1))
+        shift = int(rng.integers(0, len(text) - SENTENCE + 1))
         path = np.zeros(len(text), np.int64)
         for k, a, b in spans:
             path[a:b], path[a] = 2 + 2 * k, 1 + 2 * k
-        codes[row], labels[row] = _codes(text)[shift : shift + WINDOW], path[shift : shift + WINDOW]
+        codes[row], labels[row] = _codes(text)[shift : shift + SENTENCE], path[shift : shift + SENTENCE]
     tagger = Tagger(rng)
     first = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     second, n = {k: np.zeros_like(v) for k, v in tagger.p.items()}, 0
@@ -266,48 +309,91 @@ def trained(seed: int = SEED) -> Tagger:
     return tagger
 
 
-def _windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or ``@``."""
-    starts, last = set(), max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        starts.update(s for s in (k - 1, k) if 0 <= s <= last)
-    return [s * STRIDE for s in sorted(starts)]
+def seams(paths: np.ndarray, overlap: int) -> np.ndarray:
+    """For windows of one text, one after the other: where in the overlap each passes over to the next.
+
+    That is the place nearest to the overlap's middle at which both windows give the same label.
+    """
+    same = paths[:-1, paths.shape[1] - overlap :] == paths[1:, :overlap]
+    near = overlap - np.abs(np.arange(overlap) - overlap // 2)
+    best = np.where(same, near, 0)
+    return np.where(best.any(axis=1), best.argmax(axis=1), overlap // 2)
+
+
+def label_spans(labels: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds, starts, ends) of the spans in the labels of texts that stand one after the other."""
+    kind = (labels + 1) // 2
+    fresh = np.zeros(len(labels) + 1, bool)
+    fresh[begins] = True
+    before = np.concatenate([[0], kind[:-1]])
+    fresh[: len(labels)] |= kind != before
+    start = (kind > 0) & (fresh[: len(labels)] | (labels % 2 == 1))
+    a = np.flatnonzero(start)
+    stop = np.concatenate([start | fresh[: len(labels)], [True]])
+    ends = np.flatnonzero(stop)
+    return kind[a] - 1, a, ends[np.searchsorted(ends, a, side="right")]
+
+
+def tagged(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+    """The tagger's spans in each text: every window of every text is decoded, and the windows' paths are joined.
+
+    A span may go on over any number of windows.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1) * (sizes > 0)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    codes = _codes("".join(texts))
+    at = (np.cumsum(sizes) - sizes)[owner] + number * STRIDE
+    left = np.minimum(WINDOW, sizes[owner] - number * STRIDE)
+    paths = np.zeros((len(owner), WINDOW), np.int8)
+    padded = np.concatenate([codes, np.zeros(WINDOW, codes.dtype)])
+    for n in range(0, len(owner), BATCH):
+        some = slice(n, n + BATCH)
+        found = tagger.decode(padded[at[some, None] + np.arange(WINDOW)], left[some])
+        paths[some, : found.shape[1]] = found
+    low, high = np.zeros(len(owner), np.int64), left.copy()
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    if len(inner):
+        overlap = WINDOW - STRIDE
+        cut = seams(paths, overlap)[inner]
+        short = left[inner + 1] < overlap  # the last window may end within the overlap
+        cut = np.where(short, np.minimum(cut, left[inner + 1]), cut)
+        high[inner], low[inner + 1] = STRIDE + cut, cut
+    places = np.arange(WINDOW)
+    labels = paths[(places >= low[:, None]) & (places < high[:, None])]
+    begins = np.cumsum(sizes) - sizes
+    out: list[list[Span]] = [[] for _ in texts]
+    kinds, starts, ends = label_spans(labels, begins[sizes > 0])
+    own = np.searchsorted(begins, starts, side="right") - 1
+    for k, a, b, n in zip(kinds.tolist(), starts.tolist(), ends.tolist(), own.tolist()):
+        while not sizes[n]:
+            n -= 1
+        out[n].append((k, a - int(begins[n]), b - int(begins[n])))
+    return out
 
 
-def _spans(path: np.ndarray, start: int, size: int) -> Iterator[Span]:
-    """The spans of a window's path that don't touch an inner edge."""
-    at = 0
-    while at < len(path):
-        if path[at] == 0:
-            at += 1
-            continue
-        kind, end = (path[at] - 1) // 2, at + 1
-        while end < len(path) and path[end] == 2 + 2 * kind:
-            end += 1
-        if (at or start == 0) and (end < len(path) or start + end >= size):
-            yield int(kind), start + at, start + end
-        at = end
+def _slices(texts: list[str]) -> Iterator[slice]:
+    a = size = 0
+    for b, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE or b + 1 == len(texts):
+            yield slice(a, b + 1)
+            a, size = b + 1, 0
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(the patterns' spans, all spans) of each text."""
-    base = [pattern_spans(t) for t in texts]
-    where = [(n, s) for n, t in enumerate(texts) for s in _windows(t)]
-    tagged: dict[int, set[Span]] = {}
-    for a in range(0, len(where), BATCH):
-        some = where[a : a + BATCH]
-        codes = np.zeros((len(some), WINDOW), np.int64)
-        for row, (n, s) in enumerate(some):
-            c = _codes(texts[n][s : s + WINDOW])
-            codes[row, : len(c)] = c
-        for (n, s), path in zip(some, tagger.decode(codes)):
-            size = len(texts[n])
-            tagged.setdefault(n, set()).update(x for x in _spans(path[: size - s], s, size) if _counts(texts[n][x[1] : x[2]]))
-    return [(base[n], _reconciled(base[n], tagged.get(n, set()))) for n in range(len(texts))]
+    out = []
+    for some in _slices(texts):
+        for text, spans in zip(texts[some], tagged(texts[some], tagger)):
+            base = pattern_spans(text)
+            out.append((base, _reconciled(base, {s for s in spans if _counts(text[s[1] : s[2]])})))
+    return out
 
 
 def _counts(found: str) -> bool:
+    """Whether a span can name somebody: an address or a number of seven digits or more."""
     return "@" in found[1:-1] or len(_NOT_DIGIT.sub("", found)) >= 7
 
 

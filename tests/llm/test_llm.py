@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -88,7 +89,7 @@ def test_shared_chunks_are_encoded_once(spark):
     common = " ".join(word() for _ in range(2000))
     rows = [(i, word() + " " + common + " " + word()) for i in range(6)] + [(9, " ".join(word() for _ in range(900)))]
     docs = staged(spark.createDataFrame(rows, "uid long, text string").repartition(3), "shared")
-    found = {r.uid: {g.place: bytes(g.ids) for g in r.given} for r in bpe.shared_chunks(docs, bpe.default_tokenizer()).collect()}
+    found = {r.uid: {g.place: bytes(g.ids) for g in r.given} for r in bpe.shared_chunks(docs, bpe.default_tokenizer())[0].collect()}
     assert set(found) == set(range(6)) and all(len(found[u]) > 1 for u in range(6))
 
 
@@ -164,6 +165,60 @@ def test_segments_find_every_pair():
         assert any(sum(first <= b < first + n for b in bits) <= radius for first, n, radius in simhash.SEGMENTS)
 
 
+def test_suffix_ranks_are_the_order_of_the_bytes():
+    rng = random.Random(8)
+    for length in (1, 3, 7, 8, 20):
+        data = bytes(rng.choice(b"ab\xff") for _ in range(400))
+        ranks = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8).astype(np.int64) + 1, length)
+        strings = [data[i : i + length] for i in range(len(data))]
+        place = {x: n for n, x in enumerate(sorted(set(strings)))}
+        assert np.unique(ranks, return_inverse=True)[1].tolist() == [place[x] for x in strings]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_strings_of_one_file_are_told_by_their_bytes(keep):
+    """Whatever hashes say: contexts that share a file are compared byte for byte."""
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]
+    rows = [{"file": 1, "way": 0, "context": n, "doc_id": n, "uid": n, "start": 0, "size": 33, "data": t, "prints": None, "places": None} for n, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pylist(rows, suffix_dedup._DEALT_ARROW)
+    got = {(r["context"], p) for b in suffix_dedup._comparer(8, keep, "bytes")([batch]) for r in b.to_pylist() for p in range(r["a"], r["b"])}
+    seen = collections.defaultdict(list)
+    for n, t in enumerate(texts):
+        for p in range(33):
+            seen[t[p : p + 8]].append((n, p))
+    assert got == {x for same in seen.values() if len(same) > 1 for x in (same if keep == "none" else same[1:])}
+
+
+def test_word_bounds():
+    import re
+
+    rng = random.Random(10)
+    for _ in range(300):
+        data = "".join(rng.choice(["a", "é", ".", ",", "(", " ", "\n", "\t", "B1"]) for _ in range(rng.randint(0, 40))).encode()
+        want, marks = [], suffix_dedup.np.flatnonzero(suffix_dedup._MARK).astype(np.uint8).tobytes()
+        for m in re.finditer(rb"[^ \t-\r]+", data):
+            core = m[0].strip(marks)
+            a = m.start() + len(m[0]) - len(m[0].lstrip(marks))
+            want.append((a, a + len(core)) if core else m.span())
+        assert list(map(tuple, suffix_dedup.word_bounds(data).T.tolist())) == want
+
+
+def test_texts_longer_than_a_segment(spark):
+    rng = np.random.default_rng(11)
+    long = rng.integers(97, 123, (1 << 20) + 5000).astype(np.uint8).tobytes()
+    seam = long[(1 << 20) - 700 : (1 << 20) + 300]
+    texts = [long, b"xyz" + seam + b"!", long[:300] + seam[:399], seam[100:500] + b"?"]
+    docs = staged(spark.createDataFrame([(n, t.decode()) for n, t in enumerate(texts)], "doc_id long, text string").coalesce(1), "long")
+    seen = collections.Counter(hash(t[p : p + 400]) for t in texts for p in range(len(t) - 399))
+    for row, t in zip(sorted(suffix_dedup.digest(docs).collect()), texts):
+        gone = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if seen[hash(t[p : p + 400])] > 1:
+                gone[p : p + 400] = b"1" * 400
+        assert row.n_removed == gone.count(b"1") and row.kept_sha256 == hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 @pytest.mark.parametrize("hot", [256, 1])
 def test_suffix_dedup(spark, keep, hot):
@@ -188,7 +243,7 @@ def test_suffix_dedup(spark, keep, hot):
                 gone[p : p + 16] = b"\1" * 16
         spans = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
         want.append((i, len(data), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest()))
-    assert sorted(map(tuple, suffix_dedup.digest(docs, 16, 5, keep, hot).collect()), key=str) == sorted(want, key=str)
+    assert sorted((tuple(r)[:5] for r in suffix_dedup.digest(docs, 16, 5, keep, hot).collect()), key=str) == sorted(want, key=str)
 
 
 def test_suffix_dedup_edges(edges, empty):
@@ -340,3 +395,40 @@ def test_pipeline(spark):
         before = docs.count()
     kept = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == kept
+
+
+def test_paths_are_the_best_ones():
+    rng = np.random.default_rng(3)
+    tagger = pii.Tagger(rng)
+    tagger.p["trans"] = rng.standard_normal(tagger.p["trans"].shape).astype(np.float32)
+    codes, sizes, n = rng.integers(1, 98, (7, 5)), np.array([5, 1, 4, 5, 3, 2, 5]), len(pii.LABELS)
+    got = tagger.decode(codes, sizes)
+    for row, size, path in zip(codes, sizes, got):
+        e, _ = tagger.emissions(row[None, :size])
+        total = lambda y: sum(e[t, 0, y[t]] for t in range(size)) + sum(tagger.p["trans"][y[t - 1], y[t]] for t in range(1, size))
+        best = max(total(y) for y in itertools.product(range(n), repeat=int(size)))
+        assert abs(total(path[:size]) - best) < 1e-3
+
+
+class _Perfect:
+    """Labels digits as a phone number, from one window alone."""
+
+    def decode(self, codes, sizes):
+        digit = (codes >= 17) & (codes <= 26)
+        begin = digit & ~np.concatenate([np.zeros((len(codes), 1), bool), digit[:, :-1]], axis=1)
+        begin[:, 0] = False  # a window can't tell whether a span goes on from before
+        return np.where(digit, np.where(begin, 7, 8), 0).astype(np.int8)
+
+
+@pytest.mark.parametrize("size", [9, 80, 700])
+def test_spans_of_any_length_survive_any_offset(size):
+    texts = ["x" * at + "1" * size + "y" * 90 for at in range(0, pii.WINDOW + 40)] + ["", "1" * size, "2" * 10 + " " + "3" * size]
+    want = [[(3, len(t) - 90 - size, len(t) - 90)] for t in texts[:-3]] + [[], [(3, 0, size)], [(3, 0, 10), (3, 11, 11 + size)]]
+    assert pii.tagged(texts, _Perfect()) == want
+
+
+def test_results_do_not_depend_on_what_is_tagged_together():
+    rng = np.random.default_rng(5)
+    texts = [pii.labelled(rng)[0] * int(rng.integers(1, 9)) for _ in range(40)] + ["", "a"]
+    tagger = pii.trained()
+    assert pii.tagged(texts, tagger) == [s for t in texts for s in pii.tagged([t], tagger)]
