@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from cairnstore.llm import near_copies, packing, pii, quality_rules, suffix_dedup
 from cairnstore.llm.common import documents, staged
 
-#: Passages of this many words or more that repeat go, and are filed under substrings of this many.
-PASSAGE, GRAM = 51, 12
 #: Near copies have this Jaccard similarity or more, on shingles of this many words.
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -31,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated passages."""
-    return suffix_dedup.remove(docs, PASSAGE, GRAM, keep="first", unit="words")
+    return suffix_dedup.remove(docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM, keep="first", unit="words")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
