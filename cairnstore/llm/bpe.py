@@ -42,7 +42,7 @@ from cairnstore.llm.common import discard, numbered, release, staged, text_or_em
 
 MAX_PIECES = 1_000_000
 #: Bytes of text that are encoded in one go.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Texts to which a shared chunk goes in one way, and copies of a shared chunk's name.
 WAY, SALTS = 4096, 8
 #: Bytes of the filter that tells texts with shared chunks.
@@ -80,6 +80,14 @@ def _strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that begin at ``begins``, one after the other, and their sizes."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    places = np.repeat(begins - ends + sizes, sizes)
+    places += np.arange(len(places), dtype=np.int32)
+    return values[places], sizes
+
+
 class PieceEncoder:
     """Encodes batches of texts by their pieces; what a piece's ids are is remembered.
 
@@ -151,18 +159,24 @@ class PieceEncoder:
             found = map(known.__getitem__, pieces)
         return np.fromiter(found, np.int32, len(pieces))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and where each text's begin (with the end of all)."""
-        every, counts = [np.empty(0, np.uint32)], [np.zeros(0, np.int64)]
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, the one after the last, all their ids, and where each text's begin) of some texts at a time."""
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE)))
-            ids, n = self._encode(texts[a:b])
-            every.append(ids)
-            counts.append(n)
+            ids, counts = self._encode(texts[a:b])
+            yield a, b, ids, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
             a = b
-        return np.concatenate(every), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's begin (with the end of all)."""
+        every, begins, size = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        for _, _, ids, at in self.slices(texts):
+            every.append(ids)
+            begins.append(at[1:] + size)
+            size += len(ids)
+        return np.concatenate(every), np.concatenate(begins)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.sizes) > self.most:
@@ -192,41 +206,44 @@ class PieceEncoder:
             places = pa.array(more)
             long, short = _strings(coded.dictionary.take(places)), pc.utf8_length(cores.take(places)).to_pylist()
             second[more] = self._rows([p[n:] for p, n in zip(long, short)])
-        code, heads, lasts = coded.indices.to_numpy(), bounds[:-1], bounds[1:] - 1
-        rows = np.full((len(code), 3), -1, np.int32)
-        rows[:, 0], rows[:, 1] = first[code], second[code]
-        rows[heads, 0], rows[heads, 1] = self._rows(_strings(pieces.take(pa.array(heads)))), -1
+        heads, lasts, n = bounds[:-1], bounds[1:] - 1, len(first)
+        # The slice's own table: its pieces, its lines' first pieces, and both once more with a line feed behind.
+        own = self._rows(_strings(pieces.take(pa.array(heads))))
+        code = coded.indices.to_numpy().copy()
         ends_text = np.zeros(len(heads), bool)
         ends_text[line_bounds[1:] - 1] = True
-        rows[lasts[~ends_text], 2] = self._rows(["\n"])[0]
         # Texts in which a run of white space isn't one space or one or two line feeds are cut with care instead.
-        open_, lead = np.frombuffer(self.open, np.int8) > 0, np.frombuffer(self.lead, np.int8) > 0
-        wrong = open_[rows[:, 0]]
+        wrong = (np.frombuffer(self.open, np.int8) > 0)[first][code]
+        wrong[heads] = (np.frombuffer(self.open, np.int8) > 0)[own]
         wrong[lasts[ends_text & (np.diff(bounds) == 1)]] = False  # at a text's end there is nothing to run on to
         wrong = np.logical_or.reduceat(wrong, heads)
-        empty = (np.diff(bounds) == 1) & (self._empty == rows[heads, 0])
-        wrong |= lead[rows[heads, 0]] | (np.diff(bounds) > 1) & (self._empty == rows[heads, 0])
-        wrong[1:] |= empty[1:] & empty[:-1]
+        blank, alone = own == self._empty, np.diff(bounds) == 1
+        wrong |= (np.frombuffer(self.lead, np.int8) > 0)[own] | ~alone & blank
+        wrong[1:] |= (alone & blank)[1:] & (alone & blank)[:-1]
         wrong = np.flatnonzero(np.logical_or.reduceat(wrong, line_bounds[:-1])).tolist()
-        bounds = bounds[line_bounds]
+        code[heads] = n + np.arange(len(heads), dtype=np.int32)
+        n += len(heads)
+        code[lasts[~ends_text]] += n
+        first, second = np.concatenate([first, own]), np.concatenate([second, np.full(len(own), -1, np.int32)])
+        none, feed = np.full(n, -1, np.int32), np.full(n, self._rows(["\n"])[0], np.int32)
+        table, bounds = [np.stack([first, second, none], axis=1), np.stack([first, second, feed], axis=1)], bounds[line_bounds]
         if wrong:
-            parts, lengths, at = [], np.diff(bounds), 0
-            for n in wrong:
-                own = self._rows([p for p in _SAFE.split(texts[n].as_py()) if p])
-                parts += [rows[at : bounds[n]], np.stack([own, *[np.full(len(own), -1, np.int32)] * 2], axis=1)]
-                lengths[n], at = len(own), bounds[n + 1]
-            rows = np.concatenate([*parts, rows[at:]])
+            parts, lengths, at, n = [], np.diff(bounds), 0, 2 * n
+            for m in wrong:
+                rows = self._rows([p for p in _SAFE.split(texts[m].as_py()) if p])
+                table.append(np.stack([rows, *[np.full(len(rows), -1, np.int32)] * 2], axis=1))
+                parts += [code[at : bounds[m]], np.arange(n, n + len(rows), dtype=np.int32)]
+                n, lengths[m], at = n + len(rows), len(rows), bounds[m + 1]
+            code = np.concatenate([*parts, code[at:]])
             bounds = np.concatenate([[0], np.cumsum(lengths)])
-        rows, bounds = rows.ravel(), bounds * 3
+        rows = np.concatenate(table).ravel()
         sizes = np.append(np.frombuffer(self.sizes, np.int32), np.int32(0))  # row -1 has no ids
+        known, sizes = _gathered(np.frombuffer(self.ids, np.uint32), np.cumsum(sizes, dtype=np.int32)[rows] - sizes[rows], sizes[rows])
+        sizes = sizes.reshape(-1, 3).sum(axis=1, dtype=np.int32)
         begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        took = sizes[rows]
-        ends = np.cumsum(took, dtype=np.int32)
-        places = np.repeat(begins[rows] - ends + took, took)
-        places += np.arange(len(places), dtype=np.int32)
-        ids = np.frombuffer(self.ids, np.uint32)[places] if len(self.ids) else np.empty(0, np.uint32)
-        sums = np.concatenate([[0], ends])
-        counts = (sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.int64)
+        ids, took = _gathered(known, begins[code], sizes[code])
+        sums = np.concatenate([[0], np.cumsum(took, dtype=np.int64)])
+        counts = sums[bounds[1:]] - sums[bounds[:-1]]
         if special:
             at = np.concatenate([[0], np.cumsum(counts)])
             every = [np.asarray(special.get(n, ids[at[n] : at[n + 1]]), np.uint32) for n in range(len(counts))]
@@ -239,9 +256,9 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts (unsigned 32-bit), one text after the other, and where each text's begin."""
-    return encoder(path).encode(texts)
+def text_lengths(texts: pa.Array, path: str) -> np.ndarray:
+    """The number of ids of each text."""
+    return np.concatenate([np.empty(0, np.int64), *(np.diff(at) for _, _, _, at in encoder(path).slices(texts))])
 
 
 def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str | None = None) -> DataFrame:
@@ -250,8 +267,7 @@ def count_tokens(docs: DataFrame, keys: list[str], tokenizer: str | None = None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begins = encode_texts(batch.column("_cs_text"), path)[1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(np.diff(begins))], names=[*keys, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(text_lengths(batch.column("_cs_text"), path))], names=[*keys, "n_tokens"])
 
     picked = docs.select(*keys, text_or_empty().alias("_cs_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)

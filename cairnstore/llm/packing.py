@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.bpe import default_tokenizer, encode_texts
+from cairnstore.llm.bpe import default_tokenizer, text_lengths
 from cairnstore.llm.common import numbered, staged, text_or_empty
 
 CAPACITY, SHARD = 4096, 8192
@@ -105,7 +105,7 @@ def measured(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_cs_text")
-            lengths = np.diff(encode_texts(texts, path)[1]) + 1
+            lengths = text_lengths(texts, path) + 1
             clusters = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts.to_pylist()]
             columns = [batch.column("doc_id"), batch.column("uid"), batch.column("source"), pa.array(clusters, pa.int64()), pa.array(lengths)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "source", "cluster", "length"])
