@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm.common import discard, numbered, release, staged, text_or_empty
 
@@ -439,11 +439,11 @@ def _encoded_chunks(rows: DataFrame, owned: DataFrame, path: str) -> DataFrame:
     return rows.join(owned, "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
 
 
-def _marker(uids: DataFrame) -> Column:
-    """A filter that is true for all of ``uids``: one of a fixed number of bits is set for each.
+def _marks(uids: DataFrame) -> np.ndarray:
+    """Bits, one of which is set for each of ``uids``, so that texts which share nothing are told without a join.
 
-    So most texts that share nothing are told apart without a join.  The bits are ``BITMAP`` bytes at any size;
-    where rows are so many that most bits are set, more texts take the way through the join, with the same result.
+    They are ``BITMAP`` bytes at any size; where rows are so many that most bits are set, more texts take the
+    way through the join, with the same result.
     """
     words = BITMAP // 8
     h = F.xxhash64("uid")
@@ -451,17 +451,23 @@ def _marker(uids: DataFrame) -> Column:
     rows = uids.groupBy(F.pmod(h, F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bits
 
+
+def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bits[hashes % len(bits)] >> ((hashes.view(np.uint64) >> np.uint64(32)) & np.uint64(63)) & np.uint64(1) > 0
+
+
+def _holders(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     @F.pandas_udf("boolean")
     def marked(hashes: pd.Series) -> pd.Series:
-        x = hashes.to_numpy()
-        return pd.Series(bits[x % words] >> ((x.view(np.uint64) >> np.uint64(32)) & np.uint64(63)) & np.uint64(1) > 0)
+        return pd.Series(_marked(hashes.to_numpy(), bits))
 
-    return marked(h)
+    return rows.where(marked(F.xxhash64("uid")))
 
 
-def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Column]:
-    """uid and ``given`` (place and ids) of the chunks that occur more than once, the rows that may hold some, and what marks them.
+def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """uid and ``given`` (place and ids) of the chunks that occur more than once, the rows that may hold some, and the bits that mark these.
 
     Names of chunks are shuffled, not texts; each shared chunk is encoded once, where it comes first, and
     its ids go to the texts that hold it.  A chunk that very many texts hold goes out several ways.
@@ -472,8 +478,8 @@ def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Col
     salted = shared.select("h", "g", "ways", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
     uses = staged(uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way")), "uses")
-    marked = _marker(uses)
-    holders = staged(rows.where(marked), "holders")
+    bits = _marks(uses)
+    holders = staged(_holders(rows, bits), "holders")
     owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
     encoded = staged(_encoded_chunks(holders, owned, path), "encoded")
     spread = encoded.join(shared.select("h", "g", "ways"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
@@ -481,14 +487,14 @@ def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Col
     given = staged(given, "given")
     discard(names, shared, uses, encoded)
     release(rows.sparkSession)
-    return given, holders, marked
+    return given, holders, bits
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, the ids' and the decoded text's SHA-256 for each row's whole text."""
     path = tokenizer or default_tokenizer()
     rows = numbered(docs).select("uid", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    given, holders, marked = shared_chunks(rows, path)
+    given, holders, bits = shared_chunks(rows, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = joiner(path)
@@ -507,5 +513,11 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     joined = holders.join(given, "uid", "left").select("doc_id", "text", "given")
-    alone = rows.where(~marked).select("doc_id", "text", F.lit(None).cast("array<struct<place:int,ids:binary>>").alias("given"))
-    return joined.mapInArrow(run, schema).unionByName(alone.mapInArrow(run, schema))
+    def run_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = lambda n: pa.nulls(n, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.binary())])))
+        for batch in batches:
+            batch = batch.filter(pa.array(~_marked(batch.column("h").to_numpy(), bits)))
+            yield from run([batch.select(["doc_id", "text"]).append_column("given", nothing(batch.num_rows))])
+
+    others = rows.select("doc_id", "text", F.xxhash64("uid").alias("h"))
+    return joined.mapInArrow(run, schema).unionByName(others.mapInArrow(run_others, schema))
