@@ -1,50 +1,45 @@
-"""Replays of caches whose state depends on the order of all earlier reads."""
+"""Replays of caches whose state depends on the order of all earlier reads; the state is the cache."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from cairnstore.operators.folds import fold
+
 FIFO_CHUNKS = 16
 
 
 def fifo(reads: DataFrame, size: int = FIFO_CHUNKS) -> DataFrame:
     """(reader, seq, chunk, hit) of a first-in-first-out cache per reader: a hit doesn't move an entry."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        held, hits = OrderedDict(), []
-        for chunk in frame["chunk"]:
-            hits.append(chunk in held)
-            if chunk not in held:
-                held[chunk] = None
-                if len(held) > size:
-                    held.popitem(last=False)
-        return frame.assign(hit=hits)[["reader", "seq", "chunk", "hit"]]
+    def step(held: OrderedDict, chunk: int) -> tuple:
+        hit = chunk in held
+        if not hit:
+            held[chunk] = None
+            if len(held) > size:
+                held.popitem(last=False)
+        return (hit,)
 
-    return reads.groupBy("reader").applyInPandas(run, "reader long, seq long, chunk long, hit boolean")
+    return fold(reads, "reader", ["seq"], ["chunk"], OrderedDict, step, "hit boolean").select("reader", "seq", "chunk", "hit")
 
 
 def lru(reads: DataFrame, budget: int) -> DataFrame:
     """(reader, seq, chunk, hit, evicted) of a least-recently-used cache by bytes; the newest entry always stays."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        held, filled, hits, evicted = OrderedDict(), 0, [], []
-        for chunk, size in zip(frame["chunk"], frame["size"]):
-            hits.append(chunk in held)
-            out = 0
-            if chunk in held:
-                held.move_to_end(chunk)
-            else:
-                held[chunk] = size
-                filled += size
-                while filled > budget and len(held) > 1:
-                    filled -= held.popitem(last=False)[1]
-                    out += 1
-            evicted.append(out)
-        return frame.assign(hit=hits, evicted=evicted)[["reader", "seq", "chunk", "hit", "evicted"]]
-
-    return reads.groupBy("reader").applyInPandas(run, "reader long, seq long, chunk long, hit boolean, evicted long")
+    def step(cache: dict, chunk: int, size: int) -> tuple:
+        held, out = cache["held"], 0
+        hit = chunk in held
+        if hit:
+            held.move_to_end(chunk)
+        else:
+            held[chunk] = size
+            cache["filled"] += size
+            while cache["filled"] > budget and len(held) > 1:
+                cache["filled"] -= held.popitem(last=False)[1]
+                out += 1
+        return hit, out
+
+    start = lambda: {"held": OrderedDict(), "filled": 0}
+    return fold(reads, "reader", ["seq"], ["chunk", "size"], start, step, "hit boolean, evicted long").select("reader", "seq", "chunk", "hit", "evicted")

@@ -54,14 +54,28 @@ def recalls(log: DataFrame, lease: int, deadline: int) -> DataFrame:
     """Per mutation: holders whose lease it revokes (not its own), those that acknowledge in time and those that don't.
 
     An acknowledgement is the holder's next lookup of the object; a late one counts for nothing.
+
+    No mutation meets a grant in a join.  A holder's leases, and the times from which a lookup of its would be in
+    time, are intervals; sums over their ends say at each moment whether it holds a lease and would answer.
+    The changes of that, summed over an object's holders, give the counts at a mutation, less its own holder's.
     """
-    mutation = log.where(F.col("op").isin(*BUMPS)).select("object", F.col("at").alias("m_at"), F.col("seq").alias("m_seq"), F.col("holder").alias("mutator"))
-    grants = log.where("op = 'grant'").select("object", "holder", F.col("at").alias("g_at"))
-    acks = log.where("op = 'lookup'").select("object", "holder", F.col("at").alias("a_at"))
-    held = mutation.join(grants, "object").where("holder <> mutator AND g_at <= m_at").where(F.col("g_at") + lease >= F.col("m_at")).select("object", "m_at", "m_seq", "holder").distinct()
-    acked = held.join(acks, ["object", "holder"]).where((F.col("a_at") > F.col("m_at")) & (F.col("a_at") <= F.col("m_at") + deadline)).select("m_seq", "holder").distinct().withColumn("acked", F.lit(True))
-    told = held.join(acked, ["m_seq", "holder"], "left")
-    return told.groupBy("m_seq").agg(F.count_if("acked").alias("acked"), F.count_if(F.col("acked").isNull()).alias("timed_out"))
+    at, none = F.col("at"), F.lit(0)
+
+    def ends(of: DataFrame, first: Column, after: Column, held: int, heard: int) -> DataFrame:
+        one = lambda t, sign: F.struct(t.alias("t"), F.lit(sign * held).alias("held"), F.lit(sign * heard).alias("heard"))
+        return of.select("object", "holder", F.inline(F.array(one(first, 1), one(after, -1)))).withColumn("m_seq", F.lit(None).cast("long"))
+
+    told = log.where(F.col("op").isin(*BUMPS)).select("object", "holder", at.alias("t"), none.alias("held"), none.alias("heard"), F.col("seq").alias("m_seq"))
+    every = ends(log.where("op = 'grant'"), at, at + lease + 1, 1, 0).unionByName(ends(log.where("op = 'lookup'"), at - deadline, at, 0, 1)).unionByName(told)
+    moment = [F.col("t"), F.col("m_seq").isNotNull()]
+    own = Window.partitionBy("object", "holder").orderBy(*moment)
+    sums = every.withColumn("_a", F.sum("held").over(own) > 0).withColumn("_b", F.col("_a") & (F.sum("heard").over(own) > 0))
+    for c in ("_a", "_b"):
+        sums = sums.withColumn(c, F.col(c).cast("int"))
+    changed = sums.withColumns({f"d{c}": F.col(c) - F.coalesce(F.lag(c).over(own), none) for c in ("_a", "_b")})
+    whole = Window.partitionBy("object").orderBy(*moment)
+    counted = changed.where("m_seq IS NOT NULL OR d_a <> 0 OR d_b <> 0").withColumns({"_held": F.sum("d_a").over(whole) - F.col("_a"), "_acked": F.sum("d_b").over(whole) - F.col("_b")})
+    return counted.where("m_seq IS NOT NULL AND _held > 0").select("m_seq", F.col("_acked").alias("acked"), (F.col("_held") - F.col("_acked")).alias("timed_out"))
 
 
 def fan_out(log: DataFrame, buckets: int) -> DataFrame:

@@ -88,19 +88,24 @@ def offsets(pieces: DataFrame, key: str = "path") -> DataFrame:
     return pieces.withColumn("start", start).withColumn("stop", start + F.col("length"))
 
 
-def read_ranges(placed: DataFrame, reads: DataFrame, key: str = "path") -> DataFrame:
-    """The bytes [off, off + n) of each read, from chunks with ``data`` and their offsets.
+def joined_bytes(parts: Column, field: str) -> Column:
+    """The binary ``field`` of an array of structs, put together in its order; linear in the bytes."""
+    return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[field])), ""))
 
-    An equi-join on the file with the overlap as a residual, then an ordered concatenation; a read at or
-    past the end gives no row, one that goes past it is short.
+
+def read_ranges(placed: DataFrame, reads: DataFrame, data: DataFrame, key: str = "path") -> DataFrame:
+    """The bytes [off, off + n) of each read, from chunks' offsets (``placed``) and their ``data``.
+
+    The reads meet the offsets first, an equi-join on the file with the overlap as a residual; only chunks
+    that a read touches are fetched.  A read at or past the end gives no row, one that goes past it is short.
     """
     hit = placed.join(reads, key).where((F.col("start") < F.col("off") + F.col("n")) & (F.col("stop") > F.col("off")))
+    hit = hit.select(key, "idx", "off", "n", "start", "stop").join(data, [key, "idx"])
     a = F.greatest(F.col("off") - F.col("start"), F.lit(0))
     b = F.least(F.col("off") + F.col("n"), F.col("stop")) - F.col("start")
     part = F.substring("data", (a + 1).cast("int"), (b - a).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("idx", part.alias("part"))))
-    joined = F.aggregate(parts, F.lit("").cast("binary"), lambda x, p: F.concat(x, p["part"]))
-    return hit.groupBy(key, "off", "n").agg(joined.alias("bytes"))
+    return hit.groupBy(key, "off", "n").agg(parts.alias("_parts")).select(key, "off", "n", joined_bytes(F.col("_parts"), "part").alias("bytes"))
 
 
 def write_at(buffer: Column, data: Column, off: Column) -> Column:

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cairnstore.sources.shared import shared_dir
+
 #: How a state of the rehoming model is written.  Region 0 is the first home, 1 the other; ``homes``
 #: has the region committed at epoch e in bit e - 1; ``accepted`` has a bit for each recorded write.
 REHOMING = "epoch int, home int, sealing boolean, drained boolean, copied boolean, homes int, accepted long"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the session's checkpoint folder; only where none is set, as in tests, a temporary one is."""
+    """``df`` in the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="cairnstore-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(own)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

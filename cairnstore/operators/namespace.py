@@ -1,11 +1,10 @@
-"""The tree of names: paths, directories, links, attributes, and replays of mutation logs."""
+"""The tree of names: paths, directories, links and attributes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from cairnstore.operators.folds import fold
 
 NAME_MAX = 255
 #: Errors by their meaning.
@@ -46,10 +45,16 @@ def page(entries: DataFrame, cursor: str, limit: int, order: str = "name") -> Da
 
 
 def pages(entries: DataFrame, group: str, order: str, cost: Column, rows: int, size: int) -> DataFrame:
-    """Adds page: a page is full at ``rows`` rows or ``size`` bytes of the group's running sums."""
-    before = Window.partitionBy(group).orderBy(order)
-    at = F.greatest(F.floor((F.row_number().over(before) - 1) / rows), F.floor((F.sum(cost).over(before) - cost) / size))
-    return entries.withColumn("page", at.cast("long"))
+    """Adds page: a page ends before the entry that would be its ``rows`` + 1st or take it past ``size`` bytes."""
+
+    def step(page: list[int], n: int) -> tuple:
+        if page[1] and (page[1] == rows or page[2] + n > size):
+            page[:] = [page[0] + 1, 0, 0]
+        page[1:] = [page[1] + 1, page[2] + n]
+        return (page[0],)
+
+    costed = entries.withColumn("_cost", cost.cast("long"))
+    return fold(costed, group, [order], ["_cost"], lambda: [0, 0, 0], step, "page long").drop("_cost")
 
 
 def links(entries: DataFrame) -> DataFrame:
@@ -105,23 +110,3 @@ def live_links(log: DataFrame) -> DataFrame:
     log = log.where(F.col("op").isin("create", "unlink"))
     last = log.groupBy("object", "holder").agg(F.max_by("op", F.struct("at", "seq")).alias("op"))
     return last.groupBy("object").agg(F.count_if(F.col("op") == "create").alias("nlink"))
-
-
-def replay_renames(log: DataFrame) -> DataFrame:
-    """The bindings (subtree, name, inode) that a log of create, rename and unlink leaves.
-
-    Renames depend on all that came before them in their subtree, so each subtree is replayed in order.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        bound: dict[str, int] = {}
-        for r in frame.sort_values("seq").itertuples():
-            if r.op == "create":
-                bound.setdefault(r.name, r.seq)
-            elif r.op == "unlink":
-                bound.pop(r.name, None)
-            elif r.op == "rename" and r.name in bound and r.name != r.target:
-                bound[r.target] = bound.pop(r.name)
-        return pd.DataFrame({"subtree": frame["subtree"].iloc[0], "name": list(bound), "inode": list(bound.values())}, index=range(len(bound)))
-
-    return log.groupBy("subtree").applyInPandas(run, "subtree long, name string, inode long")

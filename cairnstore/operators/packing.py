@@ -75,8 +75,16 @@ def latest_locators(log: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def scrub(locators: DataFrame, containers: DataFrame) -> DataFrame:
-    """Adds ok: whether the bytes at the locator have the chunk's length and hash.  A missing container isn't ok."""
-    found = locators.join(containers, "container", "left")
-    data = F.substring("bytes", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    good = (F.octet_length(data) == F.col("length")) & (F.sha2(data, 256) == F.col("chunk_id"))
-    return found.select(*locators.columns, F.coalesce(good, F.lit(False)).alias("ok"))
+    """Adds ok: whether the bytes at the locator have the chunk's length and hash.  A missing container isn't ok.
+
+    A container's locators are gathered before they meet its bytes, so the bytes are moved and held once.
+    """
+    rest = [c for c in locators.columns if c != "container"]
+    placed = locators.groupBy("container").agg(F.collect_list(F.struct(*rest)).alias("_l")).join(containers, "container", "left")
+
+    def checked(x: Column) -> Column:
+        data = F.substring(F.col("bytes"), (x["offset"] + 1).cast("int"), x["length"].cast("int"))
+        good = (F.octet_length(data) == x["length"]) & (F.sha2(data, 256) == x["chunk_id"])
+        return F.struct(*[x[c].alias(c) for c in rest], F.coalesce(good, F.lit(False)).alias("ok"))
+
+    return placed.select("container", F.inline(F.transform("_l", checked))).select(*locators.columns, "ok")

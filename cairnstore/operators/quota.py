@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cairnstore.operators.folds import fold
+
 NO_BYTES_LIMIT, NO_INODES_LIMIT = 1 << 50, 1 << 32
 
 
@@ -11,18 +13,16 @@ def admitted(log: DataFrame, scope: str, limit: int) -> DataFrame:
     """``log`` (scope, seq, delta) with accepted and used, admitted in order of seq.
 
     A change is refused if there is a limit, it grows and the sum would pass the limit; usage never
-    falls below zero.  A fold over each scope's changes; the array holds three numbers a change.
+    falls below zero.
     """
-    changes = F.array_sort(F.collect_list(F.struct("seq", "delta")))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,delta:bigint,accepted:boolean,used:bigint>>").alias("out"))
 
-    def step(a: Column, c: Column) -> Column:
-        ok = ~((F.lit(limit) > 0) & (c["delta"] > 0) & (a["used"] + c["delta"] > limit))
-        used = F.when(ok, F.greatest(a["used"] + c["delta"], F.lit(0).cast("long"))).otherwise(a["used"])
-        row = F.struct(c["seq"].alias("seq"), c["delta"].alias("delta"), ok.alias("accepted"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(row)).alias("out"))
+    def step(state: list[int], delta: int) -> tuple:
+        ok = not (limit > 0 and delta > 0 and state[0] + delta > limit)
+        if ok:
+            state[0] = max(state[0] + delta, 0)
+        return ok, state[0]
 
-    return log.groupBy(scope).agg(changes.alias("_c")).select(scope, F.inline(F.aggregate("_c", zero, step, lambda a: a["out"])))
+    return fold(log, scope, ["seq"], ["delta"], lambda: [0], step, "accepted boolean, used long").select(scope, "seq", "delta", "accepted", "used")
 
 
 def statfs(bytes_limit: Column, inodes_limit: Column, bytes_used: Column, inodes_used: Column) -> list[Column]:

@@ -10,6 +10,7 @@ from cairnstore.operators import caches
 from cairnstore.operators import coherence as H
 from cairnstore.operators.gc import HOUR
 from cairnstore.plans.registry import registry
+from cairnstore.sources.shared import shared_dir
 from cairnstore.sources.views import MUTATIONS_SQL, OPERATIONS, mutations, table
 from cairnstore.streaming import leases
 
@@ -107,18 +108,20 @@ def lru_materializer(spark, sf_dir):
     return caches.lru(_reads(spark, sf_dir), 20_000)
 
 
-def _stream(spark, sf_dir, name, states):
-    """What ``states`` makes of the event log as a stream, read to its end."""
-    spark.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
-    name = f"cs_{name}_{uuid.uuid4().hex[:8]}"
+def _stream(spark, sf_dir, name, states, files_at_once=None):
+    """What ``states`` makes of the event log as a stream, read to its end; sink and checkpoint are in the shared folder."""
+    place = f"{shared_dir(spark)}/cairnstore/{name}-{uuid.uuid4().hex}"
     raw = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet*")
+    source = spark.readStream.schema(raw.schema)
+    if files_at_once:
+        source = source.option("maxFilesPerTrigger", files_at_once)
+    stream = source.parquet(f"{sf_dir}/events.parquet*")
     op = F.create_map(*[F.lit(x) for kv in OPERATIONS.items() for x in kv])[F.col("event_type")]
-    log = stream.select(F.col("user_id").alias("holder"), F.get_json_object("props", "$.k").cast("long").alias("object"), op.alias("op"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
-    run = states(log).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    log = stream.select(F.col("user_id").alias("holder"), F.get_json_object("props", "$.k").cast("long").alias("object"), op.alias("op"), F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq")).withWatermark("ts", "1 hour")
+    told = states(log)
+    told.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{place}/out")
 
 
 @query()

@@ -73,15 +73,26 @@ def file_dedup_groups(spark, sf_dir):
     return found.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path")).where("files > 1")
 
 
-@query(_CHUNKS + f"""SELECT f.path, CASE WHEN size = 0 THEN 'empty' WHEN n = 1 AND size < {_THRESHOLD} THEN 'inline' ELSE 'manifest' END AS class,
-  CASE WHEN size = 0 THEN 'empty' WHEN n = 1 AND size < {_THRESHOLD} THEN 'inline-' || first ELSE 'manifest-' END AS content_key
-FROM files f LEFT JOIN (SELECT path, count(*) AS n, min(CASE WHEN idx = 0 THEN chunk_id END) AS first FROM chunks GROUP BY path) USING (path)""")
+@query(_CHUNKS + f""", {_MANIFEST} SELECT f.path, CASE WHEN size = 0 THEN 'empty' WHEN c.n = 1 AND size < {_THRESHOLD} THEN 'inline' ELSE 'manifest' END AS class,
+  CASE WHEN size = 0 THEN 'empty' WHEN c.n = 1 AND size < {_THRESHOLD} THEN 'inline-' || first ELSE 'manifest-' || manifest_id END AS content_key
+FROM files f LEFT JOIN e USING (path) LEFT JOIN (SELECT path, count(*) AS n, min(CASE WHEN idx = 0 THEN chunk_id END) AS first FROM chunks GROUP BY path) c USING (path)""")
 def content_class(spark, sf_dir):
     every = files(spark, sf_dir)
-    n = C.chunks(every, 1024).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("idx") == 0, F.col("chunk_id"))).alias("first"))
+    made = _manifests(spark, sf_dir).select("path", F.size("entries").alias("n"), F.element_at("entries", 1)["chunk_id"].alias("first"), F.sha2("encoded", 256).alias("manifest_id"))
     kind = C.content_class(F.col("size"), F.col("n"), _THRESHOLD)
-    key = F.when(kind == "empty", "empty").when(kind == "inline", F.concat(F.lit("inline-"), "first")).otherwise("manifest-")
-    return every.select("path", "size").join(n, "path", "left").select("path", kind.alias("class"), key.alias("content_key"))
+    key = F.when(kind == "empty", "empty").when(kind == "inline", F.concat(F.lit("inline-"), "first")).otherwise(F.concat(F.lit("manifest-"), "manifest_id"))
+    return every.select("path", "size").join(made, "path", "left").select("path", kind.alias("class"), key.alias("content_key"))
+
+
+@query(_CHUNKS + f""", {_MANIFEST}, held AS (SELECT DISTINCT manifest_id FROM e JOIN files USING (path) WHERE doc_id % 2 = 0)
+SELECT manifest_id, any_value(CAST(encoded_bytes AS BIGINT)) AS encoded_bytes, manifest_id IN (SELECT manifest_id FROM held) AS existed, count(*) AS files FROM e GROUP BY manifest_id""")
+def manifest_store(spark, sf_dir):
+    """Manifests put create-only under their ids, into a store that holds those of the even files; one that exists is no error."""
+    found = _manifests(spark, sf_dir).select("path", F.sha2("encoded", 256).alias("manifest_id"), F.octet_length("encoded").cast("long").alias("encoded_bytes"))
+    even = files(spark, sf_dir).where("doc_id % 2 = 0").select("path")
+    held = found.join(even, "path").select("manifest_id").distinct().withColumn("existed", F.lit(True))
+    put = found.groupBy("manifest_id").agg(F.first("encoded_bytes").alias("encoded_bytes"), F.count(F.lit(1)).alias("files"))
+    return put.join(held, "manifest_id", "left").select("manifest_id", "encoded_bytes", F.coalesce("existed", F.lit(False)).alias("existed"), "files")
 
 
 @query(_CHUNKS + """SELECT path, idx, start, start + length AS stop FROM (
@@ -96,14 +107,14 @@ def range_read(spark, sf_dir):
     """3,000 bytes from a third of each file on, put together from its chunks."""
     every = files(spark, sf_dir)
     reads = every.select("path", F.floor(F.col("size") / 3).cast("long").alias("off"), F.lit(3000).cast("long").alias("n"))
-    placed = C.offsets(C.split(every, 1024).select("path", "idx", "data", F.octet_length("data").cast("long").alias("length")))
-    return C.read_ranges(placed, reads).select("path", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").cast("long").alias("n_bytes"))
+    placed = C.offsets(C.chunks(every.select("path", "content"), 1024).select("path", "idx", "length"))
+    return C.read_ranges(placed, reads, C.split(every.select("path", "content"), 1024)).select("path", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, sha256(content) AS hash, size FROM files WHERE size > 0")
 def reassembled_hash(spark, sf_dir):
     parts = C.split(files(spark, sf_dir), 1024).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "data"))).alias("p"))
-    joined = F.aggregate("p", F.lit("").cast("binary"), lambda x, p: F.concat(x, p["data"]))
+    joined = C.joined_bytes(F.col("p"), "data")
     return parts.select("path", F.sha2(joined, 256).alias("hash"), F.octet_length(joined).cast("long").alias("size"))
 
 

@@ -26,8 +26,11 @@ def path_tree(spark, sf_dir):
     return N.directories(files(spark, sf_dir)).select("path", "parent", "name", "depth")
 
 
-@query(f"""WITH {_ENTRIES}, p AS (SELECT dir, name, octet_length(encode(name)) + 24 AS cost FROM entries)
-SELECT dir, name, CAST(greatest((row_number() OVER w - 1) // 10, (sum(cost) OVER w - cost) // 256) AS BIGINT) AS page FROM p WINDOW w AS (PARTITION BY dir ORDER BY name)""")
+@query(f"""WITH RECURSIVE {_ENTRIES}, p AS (SELECT dir, name, octet_length(encode(name)) + 24 AS cost, row_number() OVER (PARTITION BY dir ORDER BY name) AS k FROM entries),
+w AS (SELECT dir, name, k, CAST(0 AS BIGINT) AS page, 1 AS n, cost AS filled FROM p WHERE k = 1
+  UNION ALL SELECT p.dir, p.name, p.k, w.page + CASE WHEN w.n = 10 OR w.filled + cost > 256 THEN 1 ELSE 0 END, CASE WHEN w.n = 10 OR w.filled + cost > 256 THEN 1 ELSE w.n + 1 END,
+    CASE WHEN w.n = 10 OR w.filled + cost > 256 THEN cost ELSE w.filled + cost END FROM w JOIN p ON p.dir = w.dir AND p.k = w.k + 1)
+SELECT dir, name, page FROM w""")
 def readdir_page(spark, sf_dir):
     """Specified: pages of 10 entries or 256 bytes, in byte order of the names."""
     return N.pages(entries(spark, sf_dir), "dir", "name", F.octet_length("name") + 24, 10, 256).select("dir", "name", "page")
@@ -108,14 +111,6 @@ def live_links(spark, sf_dir):
     return N.live_links(mutations(spark, sf_dir))
 
 
-@query()
-def rename_replay(spark, sf_dir):
-    """What the event log leaves bound, read as creates, renames and unlinks of ten subtrees.  Tested against a replay."""
-    log = mutations(spark, sf_dir)
-    op = F.when(F.col("op").isin("create", "commit", "lookup"), "create").when(F.col("op") == "grant", "rename").otherwise("unlink")
-    return N.replay_renames(log.select(F.pmod("object", F.lit(10)).alias("subtree"), "seq", op.alias("op"), F.concat(F.lit("n"), F.pmod("holder", F.lit(20))).alias("name"), F.concat(F.lit("n"), F.pmod("seq", F.lit(20))).alias("target")))
-
-
 @query(f"""WITH {_ENTRIES} SELECT dir, CAST(row_number() OVER (PARTITION BY dir ORDER BY name) AS BIGINT) AS place, name FROM entries WHERE is_dir""")
 def ensure_dirs(spark, sf_dir):
     """Directories that publishing all files must create, in order within their parents."""

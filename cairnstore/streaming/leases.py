@@ -1,4 +1,8 @@
-"""Leases as keyed streaming state: grants and lookups in, trust out."""
+"""Leases as keyed streaming state: grants and lookups in, trust out.
+
+The log has a watermark: events come in order but for its delay, state whose last lease and deadline the
+watermark has passed is dropped, and so are events behind it.  Within a batch events are put in order.
+"""
 
 from __future__ import annotations
 
@@ -14,32 +18,43 @@ OUT = "holder long, object long, seq long, trusted boolean"
 RECALLS = "object long, m_seq long, holder long, acked boolean"
 
 
+def _expire(state, micros: int) -> None:
+    """Let the state go once the watermark has passed this time."""
+    state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def _trust(lease: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # no event that may still come finds the lease unexpired
+            state.remove()
+            return
         granted = state.get[0] if state.exists else None
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values(["at", "seq"]).itertuples():
-                if r.op == "grant":
-                    granted = r.at
-                elif r.op == "lookup":
-                    rows.append((key[0], key[1], r.seq, granted is not None and r.at <= granted + lease))
-            yield pd.DataFrame(rows, columns=["holder", "object", "seq", "trusted"])
+        rows = []
+        for r in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
+            if r.op == "grant":
+                granted = r.at
+            elif r.op == "lookup":
+                rows.append((key[0], key[1], r.seq, granted is not None and r.at <= granted + lease))
+        yield pd.DataFrame(rows, columns=["holder", "object", "seq", "trusted"])
         if granted is not None:
             state.update((int(granted),))
+            _expire(state, int(granted) + lease)
 
     return run
 
 
 def lease_state(log: DataFrame, lease: int) -> DataFrame:
     """For each lookup of a stream (holder, object, op, at, seq): whether the holder's last grant still holds."""
-    return log.groupBy("holder", "object").applyInPandasWithState(_trust(lease), OUT, "granted long", "append", "NoTimeout")
+    return log.groupBy("holder", "object").applyInPandasWithState(_trust(lease), OUT, "granted long", "append", "EventTimeTimeout")
 
 
 def _recalls(lease: int, deadline: int):
     """State of an object, as JSON: each holder's lease, and the recalls that wait for an answer."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         leases, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
         log, rows = pd.concat(list(frames)), []
         log["later"] = log["op"] != "grant"  # a grant of the same moment is recalled too
@@ -57,6 +72,7 @@ def _recalls(lease: int, deadline: int):
                 waiting += [[int(r.seq), h, at] for h in recalled]
                 rows += [(key[0], int(r.seq), h, False) for h in recalled]
         state.update((json.dumps([leases, waiting]),))
+        _expire(state, max([0, *leases.values(), *(w[2] + deadline for w in waiting)]))
         yield pd.DataFrame(rows, columns=["object", "m_seq", "holder", "acked"])
 
     return run
@@ -68,4 +84,4 @@ def recall_state(log: DataFrame, lease: int, deadline: int) -> DataFrame:
     A recall without an answer has timed out once the deadline has passed.  An object's state holds
     unexpired leases and open recalls only.
     """
-    return log.groupBy("object").applyInPandasWithState(_recalls(lease, deadline), RECALLS, "held string", "append", "NoTimeout")
+    return log.groupBy("object").applyInPandasWithState(_recalls(lease, deadline), RECALLS, "held string", "append", "EventTimeTimeout")

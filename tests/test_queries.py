@@ -98,13 +98,6 @@ def test_lru_keeps_the_newest(spark):
     assert got == [(False, 0), (False, 0), (True, 0), (False, 2), (True, 0)]
 
 
-def test_rename_replay(spark):
-    from cairnstore.operators import namespace
-
-    log = spark.createDataFrame([(1, 1, "create", "a", ""), (1, 2, "rename", "a", "b"), (1, 3, "create", "a", ""), (1, 4, "unlink", "b", ""), (1, 5, "rename", "a", "a")], "subtree long, seq long, op string, name string, target string")
-    assert rows(namespace.replay_renames(log).collect()) == [(1, "a", 3)]
-
-
 def test_clean_paths(spark):
     from pyspark.sql import functions as F
 
