@@ -28,8 +28,8 @@ extra columns are not read, or kept as they are by :func:`remove`; an empty tabl
 
 With ``unit="words"`` ``length`` and ``gram`` count words, and positions are words.  A word is what stands
 between ASCII white space, without the ASCII punctuation around it (unless it has nothing else).  Strings are
-still equal byte for byte, from the first byte of their first word to the last of their last: a text is the
-words and the gaps between them in turn, so ``length`` words are 2 * length - 1 symbols.
+still equal from the first byte of their first word to the last of their last: a text is the words and the gaps
+between them in turn, so ``length`` words are 2 * length - 1 symbols.  A symbol is told by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ SEGMENT = 1 << 20
 #: Contexts in a file beyond which it is dealt by string, one way for every ``DEAL`` times as many.
 HOT, DEAL = 256, 16
 #: Positions: in a file beyond which it is dealt by string, and (about) in a task.  Bytes that are put in order together.
-LARGE, TASK, PART = 1 << 20, 1 << 22, 1 << 20
+LARGE, TASK, PART = 1 << 21, 1 << 22, 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -239,21 +239,29 @@ def _dealer(length: int, unit: str):
 def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     """Each place's rank in the order of the suffixes of ``text`` by their first ``length`` symbols.
 
-    Symbols are numbers above 0, in their order.  Prefixes are doubled: the order by 2k symbols follows
-    from that by k, of the place and of the place k further on.
+    Symbols are numbers above 0 (below 2**31), in their order.  Prefixes are doubled: the order by 2k symbols
+    follows from that by k, of the place and of the place k further on.
     """
-    ranks, k = text.astype(np.int64), 1
+    key, k = text.astype(np.int64), 1
     if length >= 7 and len(text) and text.max() < 512:  # seven symbols of nine bits make a number
-        padded = np.concatenate([ranks, np.zeros(6, np.int64)])
-        ranks, k = sum(padded[i : i + len(ranks)] << 9 * (6 - i) for i in range(7)), 7
-        ranks = np.unique(ranks, return_inverse=True)[1]
-    while k < length:
+        padded = np.concatenate([key, np.zeros(6, np.int64)])
+        key, k = padded[: len(text)] << 54, 7
+        for i in range(1, 7):
+            key |= padded[i : i + len(text)] << 9 * (6 - i)
+    while len(text):
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.zeros(len(order), np.int32)
+        np.cumsum(key[1:] != key[:-1], out=rank[1:])
+        ranks = np.empty_like(rank)
+        ranks[order] = rank
+        if k >= length:
+            return ranks
         step = min(k, length - k)
-        later = np.zeros(len(ranks), np.int64)
-        later[: max(0, len(ranks) - step)] = ranks[step:] + 1
-        ranks = np.unique(ranks * (ranks.max(initial=0) + 2) + later, return_inverse=True)[1]
+        key = ranks.astype(np.int64) << 32
+        key[: max(0, len(text) - step)] |= ranks[step:].astype(np.int64) + 1
         k += step
-    return ranks
+    return np.empty(0, np.int32)
 
 
 def _text(pieces: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -261,15 +269,9 @@ def _text(pieces: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray, int]:
     if unit == "bytes":
         sizes = np.array([len(p) for p in pieces], np.int64)
         return np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1, np.cumsum(sizes) - sizes, 1
-    numbers: dict[bytes, int] = {}  # words and gaps by their bytes
-    every, sizes = [], []
-    for p in pieces:
-        cuts = word_bounds(p).T.ravel().tolist()
-        own = [numbers.setdefault(p[a:b], len(numbers) + 1) for a, b in zip(cuts, cuts[1:])]
-        every += own
-        sizes.append(len(own))
-    sizes = np.array(sizes, np.int64)
-    return np.array(every, np.int64), np.cumsum(sizes) - sizes, 2
+    every = [symbols(p, unit) for p in pieces]
+    sizes = np.array([len(x) for x in every], np.int64)
+    return np.unique(np.concatenate(every), return_inverse=True)[1] + 1, np.cumsum(sizes) - sizes, 2
 
 
 def _comparer(length: int, keep: str, unit: str):
@@ -308,10 +310,11 @@ def _comparer(length: int, keep: str, unit: str):
         r, p = run[hit], place[hit]
         a = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)])) if len(hit) else np.empty(0, np.int64)
         z = np.append(a[1:], len(hit)) - 1 if len(hit) else a
-        context = np.array([x["context"] for x in rows], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(context[r[a]]), pa.array(p[a].astype(np.int32)), pa.array((p[z] + 1).astype(np.int32))], names=["context", "a", "b"]
-        )
+        # One row a context, however many intervals.
+        own = np.flatnonzero(np.concatenate([[True], r[a][1:] != r[a][:-1]])) if len(a) else a
+        context = np.array([x["context"] for x in rows], np.int64)[r[a][own]]
+        spans = pa.StructArray.from_arrays([pa.array(p[a].astype(np.int32)), pa.array((p[z] + 1).astype(np.int32))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(context), pa.ListArray.from_arrays(pa.array(np.append(own, len(a)).astype(np.int32)), spans)], names=["context", "own"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -354,10 +357,10 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     needs = contexts.join(several, "file")
     needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "ways", F.col("first.start").alias("start"), "size")).alias("needs"))
     dealt = rows.join(needs, "uid").mapInArrow(_dealer(length, unit), _DEALT)
-    compared = dealt.repartition(parts, "file", "way").sortWithinPartitions("file", "way").mapInArrow(_comparer(length, keep, unit), "context long, a int, b int")
+    compared = dealt.repartition(parts, "file", "way").sortWithinPartitions("file", "way").mapInArrow(_comparer(length, keep, unit), "context long, own array<struct<a:int,b:int>>")
     compared = staged(compared, "compared")
     release(spark)
-    own = compared.groupBy("context").agg(F.collect_list(F.struct("a", "b")).alias("own"))
+    own = compared.groupBy("context").agg(F.flatten(F.collect_list("own")).alias("own"))
     settled = contexts.join(own, "context", "left").where("n > 1 OR own IS NOT NULL").select("file", "context", "n", "first", "own")
     placed = found.join(settled, ["file", "context"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))

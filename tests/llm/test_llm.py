@@ -182,7 +182,7 @@ def test_strings_of_one_file_are_told_by_their_bytes(keep):
     texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]
     rows = [{"file": 1, "way": 0, "context": n, "doc_id": n, "uid": n, "start": 0, "size": 33, "data": t, "prints": None, "places": None} for n, t in enumerate(texts)]
     batch = pa.RecordBatch.from_pylist(rows, suffix_dedup._DEALT_ARROW)
-    got = {(r["context"], p) for b in suffix_dedup._comparer(8, keep, "bytes")([batch]) for r in b.to_pylist() for p in range(r["a"], r["b"])}
+    got = {(r["context"], p) for b in suffix_dedup._comparer(8, keep, "bytes")([batch]) for r in b.to_pylist() for x in r["own"] for p in range(x["a"], x["b"])}
     seen = collections.defaultdict(list)
     for n, t in enumerate(texts):
         for p in range(33):
