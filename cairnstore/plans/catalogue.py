@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from cairnstore.plans import coherence, content, cost, design, garbage, inodes, namespace, packing
+    from cairnstore.plans import coherence, content, cost, design, garbage, inodes, namespace, packing, store
 
-    return content, packing, namespace, inodes, garbage, coherence, cost, design
+    return content, packing, namespace, inodes, store, garbage, coherence, cost, design
 
 
 def queries() -> dict[str, Query]:
