@@ -6,8 +6,9 @@ themselves (method of moments), so that a host with few documents is not judged
 whose shrunk rate is above a limit is rejected and takes its documents with it.
 
 Defined results: a null text has no words and fails; a null host and an empty host are one host;
-repeated rows are judged each on their own; an empty table gives an empty table; extra columns are
-kept by :func:`filter_documents` and don't clash, since own columns begin with ``_cs_``.
+repeated rows are judged each on their own; an empty table gives an empty table; a text of any length is
+measured whole (its words and windows are arrays in one row); ties in a host's rate are no matter, since a rate at
+the limit passes; extra columns are kept by :func:`filter_documents` and don't clash, since own columns begin with ``_cs_``.
 """
 
 from __future__ import annotations
@@ -45,28 +46,44 @@ def _windows(words: Column, mask: Column) -> Column:
 
 
 def _covered(windows: Column, words: Column, mask: Column) -> Column:
-    """Words in a window that occurs twice or more.  All three must be columns: they are read for each element."""
+    """Words in a window that occurs twice or more.  All three must be columns: they are read for each element.
+
+    Neighbours among the sorted windows are compared word for word.  If two different windows have one hash,
+    equal ones might not be neighbours: the text's windows are then sorted by their words instead.
+    """
     place = F.bitwise_not(mask)
+    at = lambda k: F.get(windows, k).bitwiseAND(place).cast("int")
+    last = F.size(windows) - 2
+    pairs = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+
+    def one_hash(k: Column) -> Column:
+        return F.get(windows, k).bitwiseXOR(F.get(windows, k + 1)).bitwiseAND(mask) == 0
 
-    def same(k: Column) -> Column:
-        one, other = F.get(windows, k), F.get(windows, k + 1)
-        i, j = one.bitwiseAND(place).cast("int"), other.bitwiseAND(place).cast("int")
-        equal = one.bitwiseXOR(other).bitwiseAND(mask) == 0
+    def same_words(k: Column) -> Column:
+        equal = F.lit(True)
         for step in range(3):
-            equal = equal & (F.get(words, i + step) == F.get(words, j + step))
+            equal = equal & (F.get(words, at(k) + step) == F.get(words, at(k + 1) + step))
         return equal
 
-    last = F.size(windows) - 2
-    twice = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), same))
-    places = F.flatten(F.transform(twice, lambda k: F.array(F.get(windows, k).bitwiseAND(place), F.get(windows, k + 1).bitwiseAND(place))))
+    twice = F.filter(pairs, lambda k: one_hash(k) & same_words(k))
+    by_hash = F.flatten(F.transform(twice, lambda k: F.array(at(k), at(k + 1))))
+    grams = F.sort_array(F.transform(windows, lambda w: _gram(words, w.bitwiseAND(place).cast("int"))))
+    by_words = F.flatten(F.zip_with(
+        grams, F.slice(grams, 2, F.greatest(F.size(grams) - 1, F.lit(0))), lambda x, y: F.when(x["w"] == y["w"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>"))
+    ))
+    collided = F.exists(pairs, lambda k: one_hash(k) & ~same_words(k))
     return F.aggregate(
-        F.sort_array(places),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
-        lambda a, i: F.struct((a["n"] + F.least(F.lit(3).cast("long"), i - a["last"])).alias("n"), i.alias("last")),
+        F.sort_array(F.when(collided, by_words).otherwise(by_hash)),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+        lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
 
 
+def _gram(words: Column, i: Column) -> Column:
+    return F.struct(F.array(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))
+
+
 def measure(docs: DataFrame, prefix: str = "") -> DataFrame:
     """``docs`` with the rule metrics and ``base_failed``; names get ``prefix``."""
     p = prefix

@@ -50,6 +50,18 @@ def test_quality_rules(spark, edges, empty):
     assert quality_rules.filter_documents(edges).columns == edges.columns
 
 
+@pytest.mark.parametrize("bits", [0, 2, 40])
+def test_windows_whose_hashes_collide(spark, bits):
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    rows = rows.select("n", "t", quality_rules._words(F.col("t")).alias("w"), F.lit((1 << bits) - 1 << 20 if bits else 0).cast("long").alias("m"))
+    rows = rows.withColumn("m", F.col("m").bitwiseOR(F.lit(0).cast("long"))).withColumn("x", quality_rules._windows(F.col("w"), F.col("m")))
+    # All bits outside of the mask are the window's place.
+    found = rows.withColumn("x", F.transform("x", lambda v: v)).select("n", quality_rules._covered(F.col("x"), F.col("w"), F.col("m")).alias("k")).collect()
+    assert {r.n: r.k for r in found} == {n: _rule_counts(t)[4] for n, t in enumerate(texts)}
+
+
 def test_beta_prior_shrinks_small_hosts():
     a, b = quality_rules.beta_prior(100, 10, 2, 100 * 0.02)
     assert 0.05 < a / (a + b) < 0.15
