@@ -3,7 +3,7 @@
 The patterns are exact and their spans always stay.  The tagger is trained here in numpy, from
 labelled spans in sentences that a seeded generator writes (addresses and numbers in the usual and
 in some unusual forms, among words, dates, prices, marks and hexadecimal keys); no corpus text is used.  Every
-text is cut into windows of 256 characters that overlap by 48, and every window is decoded with the CRF's
+text is cut into windows of 512 characters that overlap by 48, and every window is decoded with the CRF's
 best path.  The paths of a text's windows are joined where both give the same label, nearest to the middle of
 their overlap, so a span may go on over any number of windows.  What follows from the joined path is
 reconciled over the whole text, leftmost first, and never overlaps a pattern's span.
@@ -30,10 +30,10 @@ from cairnstore.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, STRIDE, BATCH = 256, 208, 2048
+WINDOW, STRIDE, BATCH = 512, 464, 1024
 #: Characters of texts that are tagged together.
 SLICE = 1 << 20
-SENTENCE, HIDDEN, EMBEDDING, SENTENCES, EPOCHS, SEED = 96, 16, 16, 1600, 16, 7
+SENTENCE, HIDDEN, EMBEDDING, SENTENCES, EPOCHS, SEED = 96, 12, 12, 2000, 18, 7
 _TRIGGER = re.compile("[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
