@@ -10,7 +10,9 @@ those with the smallest hashes of doc_id; only feature numbers reach the driver.
 whole text.  Labels, language, source and doc_id are never features.
 
 Defined results: a null text is scored as an empty one; repeated rows are scored each; without labels
-of both kinds every score is the share of label 1 (0.5 without any); extra columns are not read.
+of both kinds every score is the share of label 1 (0.5 without any); a text of any length is scored whole;
+rows without a doc_id are scored (as not held out) and not learned from; a score at the threshold predicts 1;
+an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -115,9 +117,9 @@ def fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on the ``sample`` labelled rows outside the held-out fold with the smallest hashes of doc_id."""
-    usable = labels.where(F.col("quality").isNotNull() & (fold() != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    """Fit on the ``sample`` labelled rows outside the held-out fold with the smallest hashes of doc_id; of rows with one doc_id, on the smallest text."""
+    usable = labels.where(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     # The sample's rows are bounded by ``sample``, so this side may be broadcast.
     picked = docs.select("doc_id", text_or_empty().alias("_cs_text")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.mapInArrow(run, "doc_id long, label int, ids array<long>, statistics array<double>").limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["statistics"]))
+    picked = picked.groupBy("doc_id", "label").agg(F.min("_cs_text").alias("_cs_text"))
+    rows = picked.mapInArrow(run, "doc_id long, label int, ids array<long>, statistics array<double>").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     machine = Machine(float(np.log(share / (1 - share))))
