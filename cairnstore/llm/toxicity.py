@@ -10,11 +10,13 @@ it holds two or more of these words or uses one twice.  The words are found amon
 by their log-odds, from counts of distinct texts; no word list is built in.
 
 It is fitted on the driver on at most ``SAMPLE`` labelled rows, those with the smallest hashes of
-doc_id.  Only words that occur in ``LEAST`` sampled texts, near copies counted once, are features, by name, not hashed, so an
-unseen word can't stand in for a seen one.  Scoring reads every whole text.
+doc_id.  Only words that occur in ``LEAST`` sampled texts and in as many as ``LEAST_SHARE`` of the toxic ones, near
+copies counted once, are features, by name, not hashed, so an unseen word can't stand in for a seen one.  Scoring reads every whole text.
 
-Defined results: a null text is scored as an empty one; repeated rows are scored each; without labels
-of both kinds every probability is the share of toxic rows; extra columns are not read.
+Defined results: a null text is scored as an empty one; repeated rows are scored each; a text of any length
+is scored whole; without labels of both kinds every probability is the share of toxic rows; rows without a
+doc_id are scored and not learned from; of steepest gradients that tie, the first word's step is taken; an
+empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,17 +25,18 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import text_or_empty
+from cairnstore.llm.common import discard, staged, text_or_empty
 
 CATEGORIES = ("abusive", "repeated", "toxic")
 SAMPLE, LEAST, FOLDS, STEPS, THRESHOLD = 6000, 8, 3, 150, 0.5
-KEPT, LEAST_SLOPE = 4000, 0.004
+KEPT, LEAST_SLOPE, NAMES, LEAST_SHARE = 4000, 0.004, 8, 0.05
 STEMS = (4, 5, 6)
 _OTHER = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
@@ -112,32 +115,26 @@ class Chain:
         sizes = np.array([len(r) for r in rows], np.int64)
         return np.array([i for r in rows for i in r], np.int64), np.cumsum(sizes) - sizes
 
-    def fit(self, words_: list[bytes], word: np.ndarray, count: np.ndarray, sizes: np.ndarray, groups: np.ndarray, toxic: np.ndarray) -> None:
-        """Fit on texts that are given as flat arrays: each text's words, as places in ``words_``, and how often they occur."""
+    def fit(self, vocabulary: list[bytes], ids: np.ndarray, count: np.ndarray, sizes: np.ndarray, groups: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit on texts that are given as flat arrays: each text's words, as places in ``vocabulary``, and how often they occur.
+
+        Texts of one group, near copies, weigh as one, and are in one fold: a text's out-of-fold prediction
+        comes from a model that has seen none of its near copies.
+        """
+        groups = np.unique(groups, return_inverse=True)[1]
         weight = 1 / np.bincount(groups)[groups]
+        fold = groups % FOLDS
+        self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         row = np.repeat(np.arange(len(sizes)), sizes)
-        pairs = np.unique(word.astype(np.int64) * (groups.max() + 1) + groups[row])
-        common = np.flatnonzero(np.bincount(pairs // (groups.max() + 1), minlength=len(words_)) >= LEAST).tolist()
-        del pairs
-        common.sort(key=words_.__getitem__)
-        self.vocabulary = {words_[w]: i for i, w in enumerate(common)}
-        number = np.full(len(words_), -1, np.int64)
-        number[common] = np.arange(len(common))
-        ids = number[word]
-        known = ids >= 0
-        ids, row, count = ids[known], row[known], count[known]
         order = np.lexsort((ids, row))
         ids, row, count = ids[order], row[order], count[order]
-        begin = np.searchsorted(row, np.arange(len(sizes)))
-        marks = marking_words(ids, row, len(common), toxic * weight, (1 - toxic) * weight)
+        begin = np.cumsum(sizes) - sizes
+        marks = marking_words(ids, row, len(vocabulary), toxic * weight, (1 - toxic) * weight)
         hits = np.bincount(row, marks[ids] * count, len(sizes))
         labels = np.stack([toxic * (hits > 0), toxic * (hits > 1), toxic], axis=1)
-        counts = range(len(sizes))
-        sizes = np.diff(np.append(begin, len(ids)))
-        fold = np.arange(len(counts)) % FOLDS
-        earlier = np.zeros((len(counts), 0))
+        earlier = np.zeros((len(sizes), 0))
         for k in range(len(CATEGORIES)):
-            y, out = labels[:, k], np.empty(len(counts))
+            y, out = labels[:, k], np.empty(len(sizes))
             for f in range(FOLDS):
                 train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 model = Linear(0.0, len(self.vocabulary), k).fit(*_pick(ids, begin, sizes, train), earlier[train], y[train], weight[train])
@@ -162,8 +159,27 @@ def _pick(ids, begin, sizes, rows):
 
 
 def copies(counts: Counter) -> list[int]:
-    """A name that a text shares with its near copies: its longer words with the smallest checksums."""
-    return heapq.nsmallest(3, (zlib.crc32(w) for w in counts if len(w) > 3 and w[-1:] != b"-"))
+    """Names that a text shares with its near copies: the smallest checksums of its longer words; without these, of all."""
+    plain = [w for w in counts if w[-1:] != b"-"]
+    names = heapq.nsmallest(NAMES, (zlib.crc32(w) for w in plain if len(w) > 5))
+    return names if len(names) > 1 else [zlib.crc32(b" ".join(sorted(plain))), -1]
+
+
+def near_groups(names: list[list[int]]) -> list[int]:
+    """A number for each text: texts that share two names, directly or by way of others, have one."""
+    root = list(range(len(names)))
+
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    first: dict[tuple[int, int], int] = {}
+    for n, own in enumerate(names):
+        for pair in combinations(sorted(own), 2):
+            a, b = sorted((top(first.setdefault(pair, n)), top(n)))
+            root[b] = a
+    return [top(n) for n in range(len(names))]
 
 
 def marking_words(ids: np.ndarray, row: np.ndarray, n_words: int, inside: np.ndarray, outside: np.ndarray, odds: float = 3.0) -> np.ndarray:
@@ -174,34 +190,51 @@ def marking_words(ids: np.ndarray, row: np.ndarray, n_words: int, inside: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit on the ``sample`` labelled rows with the smallest hashes of doc_id."""
-    usable = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    """Fit on the ``sample`` labelled rows with the smallest hashes of doc_id; of rows with one doc_id, on the smallest text.
+
+    The words that enough of the sample's texts hold are found in the cluster; the driver gets these and, for
+    each text, their numbers.
+    """
+    usable = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words(t.as_py()) for t in batch.column("_cs_text")]
-            words_ = pa.array([list(c.keys()) for c in found], pa.list_(pa.binary()))
-            numbers = pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
-            groups = pa.array([",".join(map(str, copies(c))) for c in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), groups, words_, numbers], names=["doc_id", "label", "near", "words", "counts"])
+            near = pa.array([copies(c) for c in found], pa.list_(pa.int64()))
+            columns = [pa.array([list(c.keys()) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), near, *columns], names=["doc_id", "label", "near", "words", "counts"])
 
     # The sample's rows are bounded by ``sample``, so this side may be broadcast.
     picked = docs.select("doc_id", text_or_empty().alias("_cs_text")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.mapInArrow(run, "doc_id long, label int, near string, words array<binary>, counts array<int>").limit(2 * sample).toArrow()
-    sizes = pc.list_value_length(rows["words"]).to_numpy()
-    # Words are numbered column by column, so that the driver holds arrays and not an object a word.
-    encoded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
-    count = pc.list_flatten(rows["counts"]).to_numpy()
-    groups = rows["near"].combine_chunks().dictionary_encode().indices.to_numpy()
-    order = np.lexsort((sizes, rows["label"].to_numpy(), rows["doc_id"].to_numpy()))
-    y = rows["label"].to_numpy()[order].astype(np.float64)
-    del rows
+    picked = picked.groupBy("doc_id", "label").agg(F.min("_cs_text").alias("_cs_text"))
+    read = staged(picked.mapInArrow(run, "doc_id long, label int, near array<long>, words array<binary>, counts array<int>"), "sample")
+    known = read.select("doc_id", "label", "near").toArrow().sort_by("doc_id")
+    group = near_groups(known["near"].to_pylist())
+    grouped = docs.sparkSession.createDataFrame(list(zip(known["doc_id"].to_pylist(), group)), "doc_id long, near long")
+    each = read.select("doc_id", F.explode("words").alias("word")).join(F.broadcast(grouped), "doc_id")
+    toxic = len({g for g, label in zip(group, known["label"].to_pylist()) if label})
+    least = max(LEAST, int(LEAST_SHARE * toxic))
+    common = each.select("near", "word").distinct().groupBy("word").count().where(F.col("count") >= least)
+    vocabulary = sorted(bytes(r["word"]) for r in common.select("word").collect())
+    number = {w: i for i, w in enumerate(vocabulary)}
+
+    def numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts = [], []
+            for some, times in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
+                known = [(number[w], n) for w, n in zip(some, times) if w in number]
+                ids.append([i for i, _ in known])
+                counts.append([n for _, n in known])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label")), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "label", "ids", "counts"])
+
+    rows = read.mapInArrow(numbers, "doc_id long, label int, ids array<int>, counts array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    discard(read)
+    y = rows["label"].to_numpy().astype(np.float64)
     chain = Chain((y.sum() + 1) / (len(y) + 2))
     if 0 < y.sum() < len(y):
-        at = np.cumsum(sizes) - sizes
-        flat = np.repeat((at[order] - (np.cumsum(sizes[order]) - sizes[order])), sizes[order]) + np.arange(sizes.sum())
-        chain.fit(encoded.dictionary.to_pylist(), encoded.indices.to_numpy()[flat], count[flat], sizes[order], groups[order], y)
+        flat = lambda c: pc.list_flatten(rows[c]).to_numpy().astype(np.int64)
+        chain.fit(vocabulary, flat("ids"), flat("counts"), pc.list_value_length(rows["ids"]).to_numpy().astype(np.int64), np.array(group), y)
     return chain
 
 
