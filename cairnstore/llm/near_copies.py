@@ -10,13 +10,14 @@ similarity ** ROWS.  At 0.8 all 40 miss a pair with probability (1 - 0.8 ** 5) *
 
 Work is on distinct sets of shingles.  Of the documents that share a band, pairs are left out whose sketches
 (a byte of each of the 200 minima) agree in fewer than ``AGREE`` places; at 0.8 they agree in 160 with a
-deviation of 5.7.  A tree of the closest sketches is compared first, which joins a large group of copies by as
-many pairs as it has documents; then all pairs that are still in different groups.
+deviation of 5.7.  A tree of the closest sketches is compared first in some of the bands, which joins a large group of copies by
+as many pairs as it has documents in each; then, in all bands, all pairs that are still in different groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm import simhash
-from cairnstore.llm.common import connected_components, discard, numbered, release, staged, text_or_empty
+from cairnstore.llm.common import connected_components, discard, numbered, release, staged, text_or_empty, without_rows
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, AGREE = 40, 5, 125
 #: Documents of a band that one tree joins.
 TREE = 1024
+#: Bands whose trees are compared first; what these leave apart meets in all bands.
+TREES = 8
+#: Pairs that are compared together.
+PAIRS = 10_000
 _DRAWN = np.random.default_rng(20240602).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIP, _FACTOR = _DRAWN[0] * np.uint64(2), _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -141,21 +146,33 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are alike; ``texts`` has content and text."""
+    """Those of ``pairs`` (a, b) that are alike; ``texts`` has content and text.
+
+    Pairs are dealt into a square of blocks by both of their contents, as many as make about ``PAIRS`` pairs a
+    block.  A block gets each text that it needs once, before its pairs, and holds the texts' shingles: where
+    many pairs are among few texts, as in a large group, a text goes to a row and a column of blocks.
+    """
+    side = max(8, ceil(sqrt(pairs.count() / PAIRS)))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = pairs.select((slot("a") * side + slot("b")).alias("block"), "a", "b")
+    needed = dealt.select("block", F.explode(F.array("a", "b")).alias("content")).distinct()
+    first = needed.join(texts, "content").select("block", F.lit(0).alias("kind"), F.col("content").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = first.unionByName(dealt.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        last, held = None, {}
         for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if left is None or a != last:
-                    last, left = a, np.unique(simhash.shingle_hashes(text_a.as_py(), words))
-                keep.append(alike(left, np.unique(simhash.shingle_hashes(text_b.as_py(), words)), similarity))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for block, kind, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "a", "b", "text"))):
+                if block != last:
+                    last, held = block, {}
+                if not kind:
+                    held[a] = np.unique(simhash.shingle_hashes(text, words))
+                elif alike(held[a], held[b], similarity):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "a long, b long")
 
 
 def _by_simhash(classes: DataFrame) -> DataFrame:
@@ -184,12 +201,14 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     classes = staged(classes.join(marked.select("_cs_row", "fp", "bands", "sketch"), "_cs_row"), "classes")
     release(docs.sparkSession)
 
-    entries = classes.select("content", F.explode("bands").alias("key"))
-    shared = entries.select("key", "content", F.expr("count(1) OVER (PARTITION BY key)").alias("n")).where("n > 1").drop("n")
-    buckets = staged(shared, "buckets")
+    entries = classes.select("content", F.posexplode("bands").alias("band", "key"))
+    shared = entries.select("band", "key", "content", F.expr("count(1) OVER (PARTITION BY key)").alias("n")).where("n > 1").drop("n")
+    buckets = stored = staged(shared, "buckets")
     release(docs.sparkSession)
     sketches = classes.select("content", "sketch")
-    trees = _proposed(buckets.withColumn("root", F.lit(0).cast("long")).join(sketches, "content"), _trees)
+    some = buckets.where(F.col("band") < TREES).drop("band")
+    buckets = buckets.drop("band")
+    trees = _proposed(some.withColumn("root", F.lit(0).cast("long")).join(sketches, "content"), _trees)
     first = staged(_pairs(trees.unionByName(_by_simhash(classes.select("content", "fp")))), "pairs")
 
     place = classes.select("content", "_cs_row")
@@ -217,6 +236,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     groups = rooted.join(smallest, "root").select("content", "doc_id")
     heads = marked.join(groups, ["content", "doc_id"]).groupBy("content", "doc_id").agg(F.min("_cs_row").alias("_cs_row"))
     heads = heads.join(rooted.select("content", "root"), "content").groupBy("root").agg(F.min("_cs_row").alias("_cs_row"))
-    stay = staged(heads.select("_cs_row").unionByName(marked.where("doc_id IS NULL").select("_cs_row")), "stay")
-    discard(marked, classes, buckets, first, edges, roots, second, more)
-    return rows.join(stay, "_cs_row", "left_semi").select(*docs.columns)
+    stay = heads.select("_cs_row").unionByName(marked.where("doc_id IS NULL").select("_cs_row"))
+    gone = staged(marked.select("_cs_row").join(stay, "_cs_row", "left_anti"), "gone")
+    discard(marked, classes, stored, first, edges, roots, second, more)
+    return without_rows(rows, gone, "_cs_row").select(*docs.columns)
