@@ -31,22 +31,19 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import discard, numbered, release, staged, text_or_empty
+from cairnstore.llm.common import bits_of, discard, marked, marks, numbered, release, staged, text_or_empty
 
-MAX_PIECES = 1_000_000
+MAX_PIECES = 600_000
 #: Bytes of text that are encoded in one go.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Texts to which a shared chunk goes in one way, and copies of a shared chunk's name.
 WAY, SALTS = 4096, 8
-#: Bytes of the filter that tells texts with shared chunks.
-BITMAP = 8 << 20
 #: Characters in a chunk: least, most, and (as a mask of the rolling hash) on average above the least.
 CHUNK_LEAST, CHUNK_MOST, CHUNK_MASK = 512, 16_384, 0x7FF
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -439,33 +436,6 @@ def _encoded_chunks(rows: DataFrame, owned: DataFrame, path: str) -> DataFrame:
     return rows.join(owned, "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
 
 
-def _marks(uids: DataFrame) -> np.ndarray:
-    """Bits, one of which is set for each of ``uids``, so that texts which share nothing are told without a join.
-
-    They are ``BITMAP`` bytes at any size; where rows are so many that most bits are set, more texts take the
-    way through the join, with the same result.
-    """
-    words = BITMAP // 8
-    h = F.xxhash64("uid")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
-    rows = uids.groupBy(F.pmod(h, F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(words, np.uint64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
-def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return bits[hashes % len(bits)] >> ((hashes.view(np.uint64) >> np.uint64(32)) & np.uint64(63)) & np.uint64(1) > 0
-
-
-def _holders(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def marked(hashes: pd.Series) -> pd.Series:
-        return pd.Series(_marked(hashes.to_numpy(), bits))
-
-    return rows.where(marked(F.xxhash64("uid")))
-
-
 def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """uid and ``given`` (place and ids) of the chunks that occur more than once, the rows that may hold some, and the bits that mark these.
 
@@ -478,8 +448,8 @@ def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, np.
     salted = shared.select("h", "g", "ways", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
     uses = staged(uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way")), "uses")
-    bits = _marks(uses)
-    holders = staged(_holders(rows, bits), "holders")
+    bits = marks(uses)
+    holders = staged(rows.where(marked(bits)), "holders")
     owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
     encoded = staged(_encoded_chunks(holders, owned, path), "encoded")
     spread = encoded.join(shared.select("h", "g", "ways"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
@@ -516,7 +486,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = lambda n: pa.nulls(n, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.binary())])))
         for batch in batches:
-            batch = batch.filter(pa.array(~_marked(batch.column("h").to_numpy(), bits)))
+            batch = batch.filter(pa.array(~bits_of(batch.column("h").to_numpy(), bits)))
             yield from run([batch.select(["doc_id", "text"]).append_column("given", nothing(batch.num_rows))])
 
     others = rows.select("doc_id", "text", F.xxhash64("uid").alias("h"))

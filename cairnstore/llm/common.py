@@ -1,14 +1,13 @@
 """Shared helpers of the corpus operators."""
 
-from __future__ import annotations
-
 import atexit
 import gc
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The separators of words: space and the ASCII controls from tab to carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -98,6 +97,46 @@ def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
     return placed.withColumn(name, F.shiftleft("_cs_place", ROW_BITS).bitwiseOR(F.col("_cs_index"))).drop("_cs_file", "_cs_place", "_cs_index")
 
 
+#: Bytes of the bits that tell rows apart without a join.
+BITMAP = 8 << 20
+
+
+def marks(keys: DataFrame, name: str = "uid") -> np.ndarray:
+    """Bits, one of which is set for each value of the long column ``name``.
+
+    They are ``BITMAP`` bytes at any size, so they may go to every task; where so many are set that they tell
+    little, more rows take the way through the join that follows, with the same result.
+    """
+    words = BITMAP // 8
+    h = F.xxhash64(name)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+    rows = keys.groupBy(F.pmod(h, F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def bits_of(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each value (as ``xxhash64`` of it) is set: true for all that were marked, and for few others."""
+    return bits[hashes % len(bits)] >> ((hashes.view(np.uint64) >> np.uint64(32)) & np.uint64(63)) & np.uint64(1) > 0
+
+
+def marked(bits: np.ndarray, name: str = "uid") -> Column:
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bits_of(hashes.to_numpy(), bits))
+
+    return test(F.xxhash64(name))
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``rows`` but for those whose number ``name`` is in ``gone``; most rows aren't shuffled."""
+    test = marked(marks(gone, name), name)
+    return rows.where(~test).unionByName(rows.where(test).join(gone, name, "left_anti"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for each node of ``edges``; root is the smallest node that it reaches.
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -119,7 +118,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, tokenize
     rows = staged(measured(docs, tokenizer), "lengths")
     shards = max(1, -(-rows.count() // shard))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:  # noqa: F821
+        import pandas as pd
+
         frame = frame.sort_values(["doc_id", "uid"], ignore_index=True)
         found = pack_rows(frame["length"].tolist(), source_bits(frame["source"]), frame["cluster"].tolist(), capacity)
         row, piece, number, offset, length = np.array(found, np.int64).T

@@ -28,6 +28,8 @@ from cairnstore.llm.bpe import default_tokenizer, encoder
 from cairnstore.llm.common import fresh_path, text_or_empty
 
 END_ID = 2
+#: Rows that go to a Python worker at once while the files are written.
+ROWS = 2000
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 OPTIONS = {
     "compression": "zstd",
@@ -63,7 +65,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_cs_text"))
     picked = picked.withColumn("_cs_hash", F.xxhash64("_cs_text"))
     ordered = picked.repartitionByRange("doc_id", "_cs_hash").sortWithinPartitions("doc_id", "_cs_hash", "_cs_text").drop("_cs_hash")
-    ordered.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(path)
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), ROWS)))
+    try:
+        ordered.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
