@@ -433,27 +433,28 @@ def _encoded_chunks(rows: DataFrame, owned: DataFrame, path: str) -> DataFrame:
             h, g = zip(*names) if names else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(stored, pa.binary())], names=["h", "g", "ids"])
 
-    return rows.join(owned, "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
+    return rows.join(owned.hint("merge"), "uid").select("text", "places").mapInArrow(run, "h long, g long, ids binary")
 
 
 def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """uid and ``given`` (place and ids) of the chunks that occur more than once, the rows that may hold some, and the bits that mark these.
 
     Names of chunks are shuffled, not texts; each shared chunk is encoded once, where it comes first, and
-    its ids go to the texts that hold it.  A chunk that very many texts hold goes out several ways.
+    its ids go to the texts that hold it.  A chunk that very many texts hold goes out several ways.  All sides
+    grow with the corpus, so none is broadcast, however small it is at first.
     """
     names = staged(_chunk_names(rows, path), "chunks")
     shared = names.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("first")).where("n > 1")
     shared = staged(shared.select("h", "g", F.ceil(F.col("n") / WAY).cast("int").alias("ways"), "first.uid", "first.place"), "shared")
     salted = shared.select("h", "g", "ways", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
+    uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h", "g", "salt"])
     uses = staged(uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way")), "uses")
     bits = marks(uses)
     holders = staged(rows.where(marked(bits)), "holders")
     owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
     encoded = staged(_encoded_chunks(holders, owned, path), "encoded")
-    spread = encoded.join(shared.select("h", "g", "ways"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    given = uses.join(spread, ["h", "g", "way"]).groupBy("uid").agg(F.collect_list(F.struct("place", "ids")).alias("given"))
+    spread = encoded.join(shared.select("h", "g", "ways").hint("merge"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    given = uses.join(spread.hint("merge"), ["h", "g", "way"]).groupBy("uid").agg(F.collect_list(F.struct("place", "ids")).alias("given"))
     given = staged(given, "given")
     discard(names, shared, uses, encoded)
     release(rows.sparkSession)
@@ -482,7 +483,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    joined = holders.join(given, "uid", "left").select("doc_id", "text", "given")
+    joined = holders.join(given.hint("merge"), "uid", "left").select("doc_id", "text", "given")
     def run_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = lambda n: pa.nulls(n, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.binary())])))
         for batch in batches:
