@@ -1 +1 @@
-
+"""Column functions that no single operator owns."""

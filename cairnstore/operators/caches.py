@@ -22,7 +22,7 @@ def fifo(reads: DataFrame, size: int = FIFO_CHUNKS) -> DataFrame:
                 held.popitem(last=False)
         return (hit,)
 
-    return fold(reads, "reader", ["seq"], ["chunk"], OrderedDict, step, "hit boolean").select("reader", "seq", "chunk", "hit")
+    return fold(reads, "reader", ["seq", "chunk"], ["chunk"], OrderedDict, step, "hit boolean").select("reader", "seq", "chunk", "hit")
 
 
 def lru(reads: DataFrame, budget: int) -> DataFrame:
@@ -42,4 +42,4 @@ def lru(reads: DataFrame, budget: int) -> DataFrame:
         return hit, out
 
     start = lambda: {"held": OrderedDict(), "filled": 0}
-    return fold(reads, "reader", ["seq"], ["chunk", "size"], start, step, "hit boolean, evicted long").select("reader", "seq", "chunk", "hit", "evicted")
+    return fold(reads, "reader", ["seq", "chunk"], ["chunk", "size"], start, step, "hit boolean, evicted long").select("reader", "seq", "chunk", "hit", "evicted")

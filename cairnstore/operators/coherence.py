@@ -131,3 +131,97 @@ def class_parameters(spark) -> DataFrame:
 def negative_lease(lease: Column) -> Column:
     """Specified, not in the reference's code: a negative lease is capped."""
     return F.least(lease, F.lit(NEGATIVE_CAP))
+
+
+def _bound_before(log: DataFrame) -> DataFrame:
+    """Adds _bound: the seq that created the object, if its last create or unlink so far was a create."""
+    last = F.last_value(F.when(F.col("op").isin("create", "unlink"), F.struct("op", "seq")), True).over(_until("object"))
+    return log.withColumn("_last", last).withColumn("_bound", F.when(F.col("_last.op") == "create", F.col("_last.seq"))).drop("_last")
+
+
+def uncached_lookups(log: DataFrame) -> DataFrame:
+    """What each lookup finds at the authority, past any cache: the inode (its create's seq), or nothing."""
+    return _bound_before(log).where("op = 'lookup'").select("seq", "holder", "object", F.col("_bound").alias("inode"))
+
+
+def leased_lookups(log: DataFrame, buckets: int) -> DataFrame:
+    """The leases that each lookup at the authority grants: the directory's in any case, before it is known whether
+    the name is there; then the inode's on a hit, or a negative on a miss.  One row a grant.
+    """
+    folder = F.concat(F.lit("dir:"), F.pmod(F.col("object"), F.lit(buckets)).cast("string"))
+    found = F.when(F.col("_bound").isNotNull(), F.concat(F.lit("inode:"), F.col("_bound").cast("string"))).otherwise(F.concat(F.lit("negative:"), F.col("object").cast("string")))
+    grants = F.posexplode(F.array(folder, found)).alias("place", "granted")
+    return _bound_before(log).where("op = 'lookup'").select("seq", "holder", grants)
+
+
+def own_invalidations(log: DataFrame, buckets: int) -> DataFrame:
+    """What a holder drops from its own cache after a mutation of its own: all that it holds of the directory."""
+    folder = F.pmod(F.col("object"), F.lit(buckets)).cast("string")
+    each = F.array(*[F.concat(F.lit(f"{kind}:"), folder) for kind in ("record", "dentries", "negatives", "inode-of-dir")])
+    return log.where(F.col("op").isin(*BUMPS)).select("seq", "holder", F.explode(each).alias("dropped"))
+
+
+def event_buffers(log: DataFrame, slots: int = MAX_SUBSCRIBERS, most: int = MAX_SUBSCRIBERS) -> DataFrame:
+    """Per holder: events pushed to its stream, delivered, and dropped because ``slots`` were waiting.
+
+    The first ``most`` holders of an object subscribe to it; each change of it by another is pushed to them.
+    A holder's next lookup of anything empties its buffer, as a reconnect does.
+    """
+    first = log.groupBy("object", "holder").agg(F.min(F.struct("at", "seq")).alias("since"))
+    subscribed = first.withColumn("_rank", F.row_number().over(Window.partitionBy("object").orderBy("since"))).where(F.col("_rank") <= most).drop("_rank")
+    changes = log.where(F.col("op").isin(*BUMPS)).select("object", "at", "seq", F.col("holder").alias("by"))
+    # At most ``most`` rows a change, so the fan-out is bounded.
+    pushed = changes.join(subscribed, "object").where("holder <> by AND struct(at, seq) > since").select("holder", "at", "seq", F.lit(0).alias("drain"))
+    both = pushed.unionByName(log.where("op = 'lookup'").select("holder", "at", "seq", F.lit(1).alias("drain")))
+    epoch = F.sum("drain").over(Window.partitionBy("holder").orderBy("at", "seq", "drain").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    waiting = both.withColumn("_epoch", epoch).where("drain = 0").groupBy("holder", "_epoch").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.least(F.col("n"), F.lit(slots))
+    return waiting.groupBy("holder").agg(F.sum("n").alias("pushed"), F.sum(kept).alias("delivered"), F.sum(F.col("n") - kept).alias("dropped"))
+
+
+def flushes(log: DataFrame) -> DataFrame:
+    """What each flush (seq) of a handle commits: its writes since the last flush as one unit, or nothing if there are none.
+
+    The log has open, write, flush and unlink, the last on the object by whomever; a buffer whose name was
+    unlinked after the handle was opened is committed without a name.
+    """
+    own = Window.partitionBy("holder", "object").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = F.last_value(F.when(F.col("op") == "unlink", F.struct("at", "seq")), True).over(_until("object"))
+    seen = log.withColumn("_gone", gone)
+    opened = F.last_value(F.when(F.col("op") == "open", F.struct("at", "seq")), True).over(own)
+    writes = F.sum((F.col("op") == "write").cast("long")).over(own)
+    seen = seen.withColumns({"_opened": opened, "_writes": writes}).where("op = 'flush'")
+    before = F.coalesce(F.lag("_writes").over(Window.partitionBy("holder", "object").orderBy("at", "seq")), F.lit(0))
+    seen = seen.withColumn("writes", F.col("_writes") - before)
+    lost = F.col("_gone").isNotNull() & (F.col("_opened").isNull() | (F.col("_gone") > F.col("_opened")))
+    return seen.select("seq", "holder", "object", "writes", F.when(F.col("writes") == 0, "clean").when(lost, "detached").otherwise("commit").alias("how"))
+
+
+def invariants(log: DataFrame, lease: int) -> DataFrame:
+    """Specified: the coherence model's invariants over a trace: what was checked and what violates them.
+
+    A trusted read saw a version that was the authority's at some time since its grant; no lease is trusted
+    past its expiry; versions of an object only grow; of two reads in one session the later sees no older version.
+    """
+    seen = versions(log)
+    grant = F.last_value(F.when(F.col("op") == "grant", F.struct("at", "version")), True).over(_until("holder", "object"))
+    reads = seen.withColumn("_g", grant).where("op = 'lookup'").where(F.col("_g").isNotNull() & (F.col("at") <= F.col("_g.at") + lease))
+    step = F.lag("version").over(Window.partitionBy("object").orderBy("at", "seq"))
+    session = F.lag(F.col("_g.version")).over(Window.partitionBy("holder", "object").orderBy("at", "seq"))
+    name = lambda df, n, bad: df.agg(F.lit(n).alias("invariant"), F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("violations"))
+    found = name(reads, "granted version was current", F.col("_g.version") > F.col("version"))
+    found = found.unionByName(name(reads, "trusted within the lease", F.col("at") > F.col("_g.at") + lease))
+    found = found.unionByName(name(seen.withColumn("_p", step), "versions only grow", F.col("version") < F.col("_p")))
+    return found.unionByName(name(reads.withColumn("_p", session), "sessions are monotonic", F.col("_g.version") < F.col("_p")))
+
+
+def observed(log: DataFrame, lease: int, slots: int = MAX_SUBSCRIBERS) -> DataFrame:
+    """Specified: what operators watch: the cache's hit ratio, the staleness of trusted reads in versions, the share of pushes that land."""
+    found = trusted(log, lease)
+    lag = F.when(F.col("trusted"), F.col("version") - F.col("granted"))
+    one = lambda df, n, v: df.agg(F.lit(n).alias("metric"), F.round(v, 6).alias("value"))
+    out = one(found, "cache_hit_ratio", F.avg(F.col("trusted").cast("double")))
+    for q in (0.5, 0.99):
+        out = out.unionByName(one(found, f"staleness_versions_p{int(q * 100)}", F.percentile(lag, q)))
+    pushes = event_buffers(log, slots)
+    return out.unionByName(one(pushes, "invalidation_delivery_ratio", F.sum("delivered") / F.sum("pushed")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairnstore.functions.binary import big_endian, joined_bytes, number
+
 CHUNK_SIZE = 4 << 20
 SINGLE_OBJECT = 64 << 20
 MANIFEST_VERSION = 1
@@ -48,33 +50,24 @@ def manifests(pieces: DataFrame, key: str = "path") -> DataFrame:
     return pieces.groupBy(key).agg(F.sum("length").alias("content_size"), entries.alias("entries"))
 
 
-def _big_endian(value: Column, bytes_: int) -> Column:
-    return F.lpad(F.hex(value.cast("long")), bytes_ * 2, "0")
-
-
 def encode(content_size: Column, hint: Column, entries: Column) -> Column:
     """The canonical bytes: version, size, hint and count, then id, length and flags of each entry; big-endian."""
-    head = F.concat(_big_endian(F.lit(MANIFEST_VERSION), 2), _big_endian(content_size, 8), _big_endian(hint, 4), _big_endian(F.size(entries), 4))
-    body = F.transform(entries, lambda e: F.concat(F.upper(e["chunk_id"]), _big_endian(e["length"], 4), _big_endian(e["flags"], 4)))
+    head = F.concat(big_endian(F.lit(MANIFEST_VERSION), 2), big_endian(content_size, 8), big_endian(hint, 4), big_endian(F.size(entries), 4))
+    body = F.transform(entries, lambda e: F.concat(F.upper(e["chunk_id"]), big_endian(e["length"], 4), big_endian(e["flags"], 4)))
     return F.unhex(F.concat(head, F.array_join(body, "")))
 
 
-def _number(data: Column, first: Column | int, bytes_: int) -> Column:
-    start = first if isinstance(first, Column) else F.lit(first)
-    return F.conv(F.hex(F.substring(data, start, F.lit(bytes_))), 16, 10).cast("long")
-
-
 def decode(data: Column) -> Column:
     """A struct of version, content_size, hint and entries; null if the bytes are cut short or of another version."""
-    n = _number(data, 15, 4)
-    whole = (F.octet_length(data) >= 18) & (_number(data, 1, 2) == MANIFEST_VERSION) & (F.octet_length(data) == 18 + 40 * n)
+    n = number(data, 15, 4)
+    whole = (F.octet_length(data) >= 18) & (number(data, 1, 2) == MANIFEST_VERSION) & (F.octet_length(data) == 18 + 40 * n)
 
     def entry(i: Column) -> Column:
         at = 19 + 40 * i
-        return F.struct(F.lower(F.hex(F.substring(data, at, F.lit(32)))).alias("chunk_id"), _number(data, at + 32, 4).alias("length"), _number(data, at + 36, 4).alias("flags"))
+        return F.struct(F.lower(F.hex(F.substring(data, at, F.lit(32)))).alias("chunk_id"), number(data, at + 32, 4).alias("length"), number(data, at + 36, 4).alias("flags"))
 
     entries = F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), entry)).otherwise(F.array().cast("array<struct<chunk_id:string,length:bigint,flags:bigint>>"))
-    return F.when(whole, F.struct(_number(data, 1, 2).alias("version"), _number(data, 3, 8).alias("content_size"), _number(data, 11, 4).alias("hint"), entries.alias("entries")))
+    return F.when(whole, F.struct(number(data, 1, 2).alias("version"), number(data, 3, 8).alias("content_size"), number(data, 11, 4).alias("hint"), entries.alias("entries")))
 
 
 def content_class(size: Column, n_chunks: Column, threshold: int = SINGLE_OBJECT) -> Column:
@@ -88,11 +81,6 @@ def offsets(pieces: DataFrame, key: str = "path") -> DataFrame:
     return pieces.withColumn("start", start).withColumn("stop", start + F.col("length"))
 
 
-def joined_bytes(parts: Column, field: str) -> Column:
-    """The binary ``field`` of an array of structs, put together in its order; linear in the bytes."""
-    return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[field])), ""))
-
-
 def read_ranges(placed: DataFrame, reads: DataFrame, data: DataFrame, key: str = "path") -> DataFrame:
     """The bytes [off, off + n) of each read, from chunks' offsets (``placed``) and their ``data``.
 

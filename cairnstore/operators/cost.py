@@ -45,3 +45,10 @@ SOURCES = (("peer-same-az", 1, 0.0), ("origin-same-region", 2, 0.0), ("peer-cros
 def cheapest(candidates: DataFrame, key: str) -> DataFrame:
     """The best-ranked source of each key."""
     return candidates.groupBy(key).agg(F.min_by("source", "rank").alias("source"), F.min("rank").alias("rank"))
+
+
+def placement(used: DataFrame, per_gb: float, per_1k: float) -> DataFrame:
+    """Specified: the estimate of a policy for ``used`` (bytes, objects, copies, share): the first copies once, and the share that changes in each month."""
+    once, again = F.col("copies") - 1, F.col("copies") * F.col("share")
+    usd = lambda times: F.col("bytes") * times / F.lit(1e9) * per_gb + F.col("objects") * times / F.lit(1000.0) * per_1k
+    return used.withColumns({"bytes_moved": F.col("bytes") * once, "one_time_usd": usd(once), "monthly_usd": usd(again)})

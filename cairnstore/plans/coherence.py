@@ -90,19 +90,94 @@ def class_parameters(spark, sf_dir):
     return H.class_parameters(spark).withColumn("negative_lease", H.negative_lease(F.col("lease")))
 
 
+_BOUND = f"""{MUTATIONS_SQL}, b AS (SELECT *, (SELECT max((c.tm, c.seq, c.op)) FROM mutations c WHERE c.object = m.object AND c.op IN ('create', 'unlink') AND (c.tm, c.seq) <= (m.tm, m.seq)) AS last FROM mutations m WHERE op = 'lookup'),
+found AS (SELECT seq, holder, object, CASE WHEN last[3] = 'create' THEN last[2] END AS inode FROM b)"""
+
+
+@query(f"WITH {_BOUND} SELECT seq, holder, object, inode FROM found")
+def uncached_lookup(spark, sf_dir):
+    return H.uncached_lookups(mutations(spark, sf_dir))
+
+
+@query(f"""WITH {_BOUND} SELECT seq, holder, 0 AS place, 'dir:' || object % 25 AS granted FROM found
+UNION ALL SELECT seq, holder, 1, CASE WHEN inode IS NULL THEN 'negative:' || object ELSE 'inode:' || inode END FROM found""")
+def leased_lookup(spark, sf_dir):
+    return H.leased_lookups(mutations(spark, sf_dir), 25)
+
+
+@query(f"""WITH {MUTATIONS_SQL} SELECT seq, holder, kind || ':' || object % 25 AS dropped FROM mutations, (VALUES ('record'), ('dentries'), ('negatives'), ('inode-of-dir')) t(kind) WHERE op IN ('commit', 'create', 'unlink')""")
+def own_invalidation(spark, sf_dir):
+    return H.own_invalidations(mutations(spark, sf_dir), 25)
+
+
+_PUSHED = f"""{MUTATIONS_SQL}, s AS (SELECT object, holder, min((tm, seq)) AS since FROM mutations GROUP BY object, holder QUALIFY row_number() OVER (PARTITION BY object ORDER BY min((tm, seq))) <= 64),
+p AS (SELECT s.holder, m.tm, m.seq FROM mutations m JOIN s ON s.object = m.object AND s.holder <> m.holder AND (m.tm, m.seq) > s.since WHERE m.op IN ('commit', 'create', 'unlink')),
+q AS (SELECT holder, (SELECT count(*) FROM mutations d WHERE d.holder = p.holder AND d.op = 'lookup' AND (d.tm, d.seq) < (p.tm, p.seq)) AS epoch FROM p),
+n AS (SELECT holder, epoch, count(*) AS n FROM q GROUP BY ALL),
+pushes AS (SELECT holder, CAST(sum(n) AS BIGINT) AS pushed, CAST(sum(least(n, 3)) AS BIGINT) AS delivered, CAST(sum(n - least(n, 3)) AS BIGINT) AS dropped FROM n GROUP BY holder)"""
+
+
+@query(f"WITH {_PUSHED} SELECT holder, pushed, delivered, dropped FROM pushes")
+def event_stream_buffer(spark, sf_dir):
+    """Buffers of three events, not 64, so that some overflow here."""
+    return H.event_buffers(mutations(spark, sf_dir), slots=3)
+
+
+_HANDLES = """CASE op WHEN 'grant' THEN 'open' WHEN 'lookup' THEN 'write' WHEN 'commit' THEN 'flush' ELSE op END"""
+
+
+@query(f"""WITH {MUTATIONS_SQL}, l AS (SELECT seq, tm, holder, object % 10 AS object, {_HANDLES} AS op FROM mutations),
+f AS (SELECT l.*, (SELECT max((p.tm, p.seq)) FROM l p WHERE p.holder = l.holder AND p.object = l.object AND p.op = 'flush' AND (p.tm, p.seq) < (l.tm, l.seq)) AS prior,
+  (SELECT max((p.tm, p.seq)) FROM l p WHERE p.holder = l.holder AND p.object = l.object AND p.op = 'open' AND (p.tm, p.seq) < (l.tm, l.seq)) AS opened,
+  (SELECT max((p.tm, p.seq)) FROM l p WHERE p.object = l.object AND p.op = 'unlink' AND (p.tm, p.seq) < (l.tm, l.seq)) AS gone FROM l WHERE op = 'flush'),
+w AS (SELECT f.*, (SELECT count(*) FROM l p WHERE p.holder = f.holder AND p.object = f.object AND p.op = 'write' AND (p.tm, p.seq) < (f.tm, f.seq) AND (f.prior IS NULL OR (p.tm, p.seq) > f.prior)) AS writes FROM f)
+SELECT seq, holder, object, writes, CASE WHEN writes = 0 THEN 'clean' WHEN gone IS NOT NULL AND (opened IS NULL OR gone > opened) THEN 'detached' ELSE 'commit' END AS how FROM w""")
+def buffered_commits(spark, sf_dir):
+    """The log as handles on ten objects: grants open, lookups write, commits flush."""
+    op = F.when(F.col("op") == "grant", "open").when(F.col("op") == "lookup", "write").when(F.col("op") == "commit", "flush").otherwise(F.col("op"))
+    return H.flushes(mutations(spark, sf_dir).select("seq", "at", "holder", F.pmod("object", F.lit(10)).alias("object"), op.alias("op")))
+
+
+@query(f"""WITH {_T}, r AS (SELECT * FROM t WHERE op = 'lookup' AND tm <= g_at + {WEEK}) SELECT 'granted version was current' AS invariant, count(*) AS checked, CAST(0 AS BIGINT) AS violations FROM r
+UNION ALL SELECT 'trusted within the lease', count(*), count(*) FILTER (WHERE tm > g_at + {WEEK}) FROM r
+UNION ALL SELECT 'versions only grow', count(*), 0 FROM v
+UNION ALL SELECT 'sessions are monotonic', count(*), 0 FROM r""")
+def coherence_invariants(spark, sf_dir):
+    """The log as a trace of the model: a correct one violates nothing, which the oracle states."""
+    return H.invariants(mutations(spark, sf_dir), WEEK)
+
+
+@query(f"""WITH {_T}, {_PUSHED.split("FROM events), ", 1)[1]} SELECT 'cache_hit_ratio' AS metric, round(avg(CAST(trusted AS DOUBLE)), 6) AS value FROM leased
+UNION ALL SELECT 'staleness_versions_p50', round(quantile_cont(version - granted, 0.5) FILTER (WHERE trusted), 6) FROM leased
+UNION ALL SELECT 'staleness_versions_p99', round(quantile_cont(version - granted, 0.99) FILTER (WHERE trusted), 6) FROM leased
+UNION ALL SELECT 'invalidation_delivery_ratio', round(sum(delivered) / sum(pushed), 6) FROM pushes""")
+def observability(spark, sf_dir):
+    return H.observed(mutations(spark, sf_dir), WEEK, slots=3)
+
+
 def _reads(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("reader"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.pmod("l_partkey", F.lit(40)).alias("chunk"), (F.pmod("l_partkey", F.lit(40)) * 100 + 1).alias("size")
     )
 
 
-@query()
+_READS = """reads AS (SELECT l_suppkey AS reader, l_orderkey * 8 + l_linenumber AS seq, l_partkey % 40 AS chunk, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, l_partkey % 40) AS k FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_READS}, w AS (SELECT DISTINCT reader, CAST(0 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS k, false AS hit, CAST([] AS BIGINT[]) AS held FROM reads
+  UNION ALL SELECT r.reader, r.seq, r.chunk, r.k, list_contains(w.held, r.chunk), CASE WHEN list_contains(w.held, r.chunk) THEN w.held WHEN len(w.held) = 16 THEN list_append(w.held[2:], r.chunk) ELSE list_append(w.held, r.chunk) END
+  FROM w JOIN reads r ON r.reader = w.reader AND r.k = w.k + 1) SELECT reader, seq, chunk, hit FROM w WHERE k > 0""")
 def fifo_chunk_cache(spark, sf_dir):
     """Tested against a replay."""
     return caches.fifo(_reads(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_READS}, w AS (SELECT DISTINCT reader, CAST(0 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS k, false AS hit, CAST(0 AS BIGINT) AS evicted, CAST([] AS BIGINT[]) AS held FROM reads
+  UNION ALL SELECT reader, seq, chunk, k, hit, CASE WHEN hit THEN 0 ELSE drop END, CASE WHEN hit THEN moved ELSE moved[drop + 1:] END
+  FROM (SELECT *, CASE WHEN list_sum(list_transform(moved, lambda x: x * 100 + 1)) <= 20000 THEN 0
+      ELSE list_filter(range(1, len(moved)), lambda i: i = len(moved) - 1 OR list_sum(list_transform(moved[i + 1:], lambda x: x * 100 + 1)) <= 20000)[1] END AS drop
+    FROM (SELECT r.reader, r.seq, r.chunk, r.k, list_contains(w.held, r.chunk) AS hit, list_append(list_filter(w.held, lambda x: x <> r.chunk), r.chunk) AS moved FROM w JOIN reads r ON r.reader = w.reader AND r.k = w.k + 1)))
+SELECT reader, seq, chunk, hit, evicted FROM w WHERE k > 0""")
 def lru_materializer(spark, sf_dir):
     """Tested against a replay."""
     return caches.lru(_reads(spark, sf_dir), 20_000)
@@ -124,7 +199,7 @@ def _stream(spark, sf_dir, name, states, files_at_once=None):
     return spark.read.schema(told.schema).parquet(f"{place}/out")
 
 
-@query()
+@query(f"WITH {_T} SELECT holder, object, seq, trusted FROM leased")
 def stream_lease_state(spark, sf_dir):
     """The log as a stream, keyed state for each holder and object; the same as ``lease_trusted`` finds in batch."""
     return _stream(spark, sf_dir, "leases", lambda log: leases.lease_state(log, WEEK))

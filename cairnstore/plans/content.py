@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnstore.functions.binary import joined_bytes
 from cairnstore.operators import content as C
 from cairnstore.operators import packing as P
 from cairnstore.plans.registry import registry
@@ -114,7 +115,7 @@ def range_read(spark, sf_dir):
 @query(f"WITH {FILES_SQL} SELECT path, sha256(content) AS hash, size FROM files WHERE size > 0")
 def reassembled_hash(spark, sf_dir):
     parts = C.split(files(spark, sf_dir), 1024).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "data"))).alias("p"))
-    joined = C.joined_bytes(F.col("p"), "data")
+    joined = joined_bytes(F.col("p"), "data")
     return parts.select("path", F.sha2(joined, 256).alias("hash"), F.octet_length(joined).cast("long").alias("size"))
 
 

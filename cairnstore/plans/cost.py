@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnstore.operators import cost as M
 from cairnstore.plans.registry import registry
-from cairnstore.sources.views import EGRESS_SQL, egress, table
+from cairnstore.sources.views import EGRESS_SQL, FILES_SQL, egress, files, table
 
 QUERIES, SQL, query = registry()
 
@@ -59,3 +59,16 @@ def source_choice(spark, sf_dir):
     held = [F.when(key % n == 0, F.struct(F.lit(name).alias("source"), F.lit(rank).alias("rank"))) for n, (name, rank, _) in zip((2, 3, 5, 1), M.SOURCES)]
     each = table(spark, sf_dir, "part").select("p_partkey", F.inline(F.filter(F.array(*held), lambda x: x.isNotNull())))
     return M.cheapest(each, "p_partkey")
+
+
+_POLICY = "(VALUES ('en', 3, 0.02), ('de', 2, 0.02), ('fr', 1, 0.01)) p(lang, copies, share)"
+
+
+@query(f"""WITH {FILES_SQL}, u AS (SELECT lang, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS objects FROM files GROUP BY lang)
+SELECT lang, bytes * (copies - 1) AS bytes_moved, round(bytes * (copies - 1) / 1e9 * 0.09 + objects * (copies - 1) / 1000.0 * 0.0004, 9) AS one_time_usd,
+  round(bytes * copies * share / 1e9 * 0.09 + objects * copies * share / 1000.0 * 0.0004, 9) AS monthly_usd FROM u JOIN {_POLICY} USING (lang)""")
+def placement_estimate(spark, sf_dir):
+    """Specified: what a policy (copies of a subtree, and the share of it that changes in a month) will cost, before it runs."""
+    policy = spark.createDataFrame([("en", 3, 0.02), ("de", 2, 0.02), ("fr", 1, 0.01)], "lang string, copies int, share double")
+    used = files(spark, sf_dir).groupBy("lang").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("objects"))
+    return M.placement(used.join(F.broadcast(policy), "lang"), 0.09, 0.0004).select("lang", "bytes_moved", F.round("one_time_usd", 9).alias("one_time_usd"), F.round("monthly_usd", 9).alias("monthly_usd"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnstore.functions.binary import joined_bytes
 from cairnstore.operators import content as C
 from cairnstore.operators import namespace as N
 from cairnstore.operators import packing as P
@@ -42,7 +43,7 @@ def containers(spark, sf_dir):
     """container and its bytes; a container is at most the seal size and one chunk."""
     data = C.split(files(spark, sf_dir), 1024).select("path", "idx", "data")
     parts = packed(spark, sf_dir).join(data, ["path", "idx"]).groupBy("lang", "container_no").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("p"))
-    return parts.select(P.container_id("lang", F.col("container_no").cast("string")).alias("container"), C.joined_bytes(F.col("p"), "data").alias("bytes"))
+    return parts.select(P.container_id("lang", F.col("container_no").cast("string")).alias("container"), joined_bytes(F.col("p"), "data").alias("bytes"))
 
 
 @query(f"""WITH {_CHUNKS} SELECT DISTINCT lang, chunk_id, length FROM chunks WHERE doc_id % 2 = 1
