@@ -9,6 +9,8 @@ from cairnstore.functions.binary import big_endian, joined_bytes, number
 CHUNK_SIZE = 4 << 20
 SINGLE_OBJECT = 64 << 20
 MANIFEST_VERSION = 1
+#: Bytes that a buffer may hold.
+MOST = 1 << 40
 
 
 def chunk_id(data: Column | str) -> Column:
@@ -106,6 +108,11 @@ def resize(buffer: Column, size: Column) -> Column:
     return F.rpad(F.substring(buffer, F.lit(1), size.cast("int")), size.cast("int"), F.lit(b"\0"))
 
 
+def resize_verdict(size: Column) -> Column:
+    """A buffer grows to at most 1 TiB."""
+    return F.when(size < 0, "EINVAL").when(size > F.lit(MOST), "EFBIG").otherwise("ok")
+
+
 def fallocate_verdict(off: Column, size: Column, mode: Column) -> Column:
     """ok, or the error's name.  Bits: 1 keep size, 2 punch hole, 8 collapse, 16 zero range, 32 insert."""
     unknown = mode.bitwiseAND(F.lit(~(1 | 2 | 16))) != 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR, SECOND = 3_600_000_000, 1_000_000
 #: Microseconds: the longest write, lease and clock error that a sweep must outwait.
@@ -16,6 +16,10 @@ def check_grace(grace: int) -> None:
         raise ValueError("grace period too short: a write in flight could lose its chunks")
 
 
+def grace_verdict(grace: Column) -> Column:
+    return F.when(grace > T_WRITE_MAX + D_MAX + EPSILON, "ok").otherwise("refused")
+
+
 def pins(handles: DataFrame) -> DataFrame:
     """Inodes with more opened than released handles; a handle's release counts once."""
     per_handle = handles.groupBy("inode", "handle").agg(F.count_if(F.col("op") == "acquire").alias("a"), F.max((F.col("op") == "release").cast("int")).alias("r"))

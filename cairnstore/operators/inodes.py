@@ -116,6 +116,7 @@ class _Tree:
         self.parent: dict[int, int] = {}
         self.held: dict[int, int] = {}  # entries of a directory
         self.links: dict[int, int] = {}
+        self.buried: int | None = None  # what the last operation left without a name
 
     def folder(self, name: str) -> int | str:
         """The directory of the top level with this name; the root without one."""
@@ -133,8 +134,13 @@ class _Tree:
         inode = self.names.pop((at, name))
         self.held[at] -= 1
         self.links[inode] -= 1
+        return inode
+
+    def drop(self, at: int, name: str) -> int:
+        """Unbind a name for good: an inode without another goes to the graveyard."""
+        inode = self.unbind(at, name)
         if not self.links[inode]:
-            del self.links[inode]
+            self.buried = inode
         return inode
 
     def below(self, inode: int, top: int) -> bool:
@@ -146,6 +152,7 @@ class _Tree:
 
     def apply(self, op: str, new: int, folder: str, name: str, folder2: str, name2: str) -> tuple[str, int | None]:
         """(verdict, the inode that is made, bound or dropped)."""
+        self.buried = None
         at = self.folder(folder)
         if isinstance(at, str):
             return at, None
@@ -159,11 +166,11 @@ class _Tree:
         if there is None:
             return "ENOENT", None
         if op == "unlink":
-            return ("EISDIR", there) if self.is_dir[there] else ("ok", self.unbind(at, name))
+            return ("EISDIR", there) if self.is_dir[there] else ("ok", self.drop(at, name))
         if op == "rmdir":
             if not self.is_dir[there]:
                 return "ENOTDIR", there
-            return ("ENOTEMPTY", there) if self.held.get(there) else ("ok", self.unbind(at, name))
+            return ("ENOTEMPTY", there) if self.held.get(there) else ("ok", self.drop(at, name))
         if op == "rename" and (folder, name) == (folder2, name2):
             return "ok", there
         to = self.folder(folder2)
@@ -184,7 +191,7 @@ class _Tree:
                 return "EISDIR" if self.is_dir[target] else "ENOTDIR", there
             if self.is_dir[target] and self.held.get(target):
                 return "ENOTEMPTY", there
-            self.unbind(to, name2)
+            self.drop(to, name2)
         self.unbind(at, name)
         self.bind(to, name2, there)
         return "ok", there
@@ -195,7 +202,7 @@ class _Tree:
         return 2 + sum(1 for (at, _), i in self.names.items() if at == inode and self.is_dir[i])
 
 
-_EVENTS = "subtree long, seq long, verdict string, inode long"
+_EVENTS = "subtree long, seq long, verdict string, inode long, buried long"
 _BOUND = "subtree long, parent long, name string, inode long, is_dir boolean, nlink long"
 
 
@@ -215,9 +222,9 @@ def _replayer(final: bool):
                     if final and last is not None:
                         yield bound()
                     tree, last = _Tree(), subtree
-                done.append((subtree, seq, *tree.apply(rest[0], seq + 1 + ROOT, *rest[1:])))
+                done.append((subtree, seq, *tree.apply(rest[0], seq + 1 + ROOT, *rest[1:]), tree.buried))
             if not final and done:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["subtree", "seq", "verdict", "inode"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["subtree", "seq", "verdict", "inode", "buried"])
         if final and last is not None:
             yield bound()
 
@@ -233,3 +240,9 @@ def replay(log: DataFrame, final: bool = False) -> DataFrame:
     """
     ordered = log.repartition("subtree").sortWithinPartitions("subtree", "seq")
     return ordered.mapInArrow(_replayer(final), _BOUND if final else _EVENTS)
+
+
+def folder_times(log: DataFrame, buckets: int) -> DataFrame:
+    """mtime and ctime of each directory: the last time that an entry was added or removed."""
+    changed = log.where(F.col("op").isin("create", "unlink"))
+    return changed.groupBy(F.pmod("object", F.lit(buckets)).alias("dir")).agg(F.max("at").alias("mtime"), F.max("at").alias("ctime"), F.count(F.lit(1)).alias("changes"))

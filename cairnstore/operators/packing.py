@@ -88,3 +88,8 @@ def scrub(locators: DataFrame, containers: DataFrame) -> DataFrame:
         return F.struct(*[x[c].alias(c) for c in rest], F.coalesce(good, F.lit(False)).alias("ok"))
 
     return placed.select("container", F.inline(F.transform("_l", checked))).select(*locators.columns, "ok")
+
+
+def located(pieces: DataFrame, locators: DataFrame, keys: list[str]) -> DataFrame:
+    """``pieces`` with the container that holds each, or the verdict missing."""
+    return pieces.join(locators, keys, "left").withColumn("verdict", F.when(F.col("container").isNull(), "missing").otherwise("ok"))

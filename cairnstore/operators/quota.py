@@ -48,3 +48,10 @@ def human_bytes(n: Column) -> Column:
 def roll_up(charged: DataFrame) -> DataFrame:
     """Bytes and files under each ancestor, from (ancestor, size)."""
     return charged.groupBy("ancestor").agg(F.sum("size").alias("bytes_used"), F.count(F.lit(1)).alias("inodes_used"))
+
+
+def reservations(log: DataFrame) -> DataFrame:
+    """Specified: per scope, what is used and what is reserved: a holder's last step there was to reserve, settle or release."""
+    last = log.groupBy("scope", "holder").agg(F.max_by(F.struct("op", "amount"), F.struct("at", "seq")).alias("l"))
+    total = lambda op: F.coalesce(F.sum(F.when(F.col("l.op") == op, F.col("l.amount"))), F.lit(0).cast("long"))
+    return last.groupBy("scope").agg(total("settle").alias("used"), total("reserve").alias("reserved"))

@@ -166,3 +166,8 @@ def id_validation(spark, sf_dir):
 def keyed_chunk_ids(spark, sf_dir):
     """Specified, not in the reference's code: ids that depend on a key."""
     return C.chunks(files(spark, sf_dir), 1024).groupBy(F.sha2(F.concat(F.lit("key:"), "chunk_id"), 256).alias("keyed_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN size < 0 THEN 'EINVAL' WHEN size > 1099511627776 THEN 'EFBIG' ELSE 'ok' END AS verdict FROM (SELECT p_partkey, (p_partkey % 50 - 3) * 34359738368 AS size FROM part)""")
+def resize_verdict(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", C.resize_verdict((F.col("p_partkey") % 50 - 3) * (1 << 35)).alias("verdict"))

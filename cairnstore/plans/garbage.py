@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnstore.operators import gc as G
 from cairnstore.plans.packing import LOCATORS_SQL, chunks, locators
 from cairnstore.plans.registry import registry
-from cairnstore.sources.views import MUTATIONS_SQL, files, mutations
+from cairnstore.sources.views import MUTATIONS_SQL, files, mutations, table
 
 QUERIES, SQL, query = registry()
 _CUT = 500_000
@@ -96,3 +96,9 @@ def gc_reap_batches(spark, sf_dir):
 def open_pins(spark, sf_dir):
     log = mutations(spark, sf_dir).where("op IN ('grant', 'unlink')")
     return G.pins(log.select(F.col("object").alias("inode"), F.col("holder").alias("handle"), F.when(F.col("op") == "grant", "acquire").otherwise("release").alias("op")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey * 10000000 > 3630500000 THEN 'ok' ELSE 'refused' END AS verdict FROM part""")
+def gc_grace_check(spark, sf_dir):
+    """Grace periods in steps of ten seconds: at least one must be longer than a write, a lease and the clocks' error together."""
+    return table(spark, sf_dir, "part").select("p_partkey", G.grace_verdict(F.col("p_partkey") * 10_000_000).alias("verdict"))

@@ -135,9 +135,10 @@ _LOG = """log AS (SELECT event_id AS seq, event_id % 40 AS subtree, (['create',
 _ENTRY = "STRUCT(p BIGINT, n VARCHAR, i BIGINT, d BOOLEAN)"
 #: The oracle's replay: a recursive walk over each subtree's operations, the bindings in a list.
 _REPLAY = f"""RECURSIVE {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY subtree ORDER BY seq) AS k FROM log), walk AS (
-  SELECT subtree, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS BIGINT) AS inode, CAST([] AS {_ENTRY}[]) AS s FROM (SELECT DISTINCT subtree FROM log)
+  SELECT subtree, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS BIGINT) AS inode, CAST(NULL AS BIGINT) AS buried, CAST([] AS {_ENTRY}[]) AS s FROM (SELECT DISTINCT subtree FROM log)
   UNION ALL
-  SELECT subtree, k, seq, v, i, CASE WHEN v <> 'ok' OR same THEN s WHEN op IN ('create', 'mkdir', 'commit') THEN CASE WHEN there IS NULL THEN list_append(s, {{'p': par, 'n': name, 'i': seq + 2, 'd': op = 'mkdir'}}) ELSE s END
+  SELECT subtree, k, seq, v, i, CASE WHEN v <> 'ok' OR same THEN NULL WHEN op IN ('unlink', 'rmdir') AND len(list_filter(s, lambda x: x.i = there.i)) = 1 THEN there.i
+    WHEN op = 'rename' AND there2 IS NOT NULL AND len(list_filter(s, lambda x: x.i = there2.i)) = 1 THEN there2.i END, CASE WHEN v <> 'ok' OR same THEN s WHEN op IN ('create', 'mkdir', 'commit') THEN CASE WHEN there IS NULL THEN list_append(s, {{'p': par, 'n': name, 'i': seq + 2, 'd': op = 'mkdir'}}) ELSE s END
     WHEN op = 'link' THEN list_append(s, {{'p': par2, 'n': name2, 'i': there.i, 'd': false}})
     WHEN op = 'rename' THEN list_append(list_filter(s, lambda x: NOT (x.p = par AND x.n = name) AND NOT (x.p = par2 AND x.n = name2)), {{'p': par2, 'n': name2, 'i': there.i, 'd': there.d}})
     ELSE list_filter(s, lambda x: NOT (x.p = par AND x.n = name)) END
@@ -170,9 +171,9 @@ def _log(spark, sf_dir):
     )
 
 
-@query(f"WITH {_REPLAY} SELECT subtree, seq, verdict, inode FROM walk WHERE k > 0")
+@query(f"WITH {_REPLAY} SELECT subtree, seq, verdict, inode, buried FROM walk WHERE k > 0")
 def namespace_replay(spark, sf_dir):
-    """The verdict on each create, mkdir, commit, link, unlink, rmdir and rename, in order."""
+    """The verdict on each create, mkdir, commit, link, unlink, rmdir and rename, in order, and what it sends to the graveyard."""
     return I.replay(_log(spark, sf_dir))
 
 
@@ -181,3 +182,8 @@ SELECT subtree, p AS parent, n AS name, i AS inode, d AS is_dir, CASE WHEN d THE
 def namespace_bindings(spark, sf_dir):
     """What the replay leaves bound, with link counts."""
     return I.replay(_log(spark, sf_dir), final=True)
+
+
+@query(f"""WITH {MUTATIONS_SQL} SELECT object % 25 AS dir, max(tm) AS mtime, max(tm) AS ctime, count(*) AS changes FROM mutations WHERE op IN ('create', 'unlink') GROUP BY 1""")
+def folder_times(spark, sf_dir):
+    return I.folder_times(mutations(spark, sf_dir), 25)

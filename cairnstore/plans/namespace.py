@@ -186,3 +186,12 @@ def access_mode_matrix(spark, sf_dir):
     one = spark.range(1).select(F.explode(F.array(*map(F.lit, ("ROX", "RWO", "RWX")))).alias("mode"))
     one = one.select("mode", F.explode(F.array(*map(F.lit, ("relaxed", "session", "posix", "immutable")))).alias("class"))
     return one.withColumn("verdict", R.access_mode(F.col("mode"), F.col("class")))
+
+
+@query(f"""WITH {MUTATIONS_SQL}, l AS (SELECT object, holder, arg_max(op, (tm, seq)) AS op, arg_max(amount, (tm, seq)) AS amount FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS amount FROM mutations WHERE op IN ('grant', 'commit', 'unlink')) GROUP BY ALL)
+SELECT object AS scope, CAST(coalesce(sum(amount) FILTER (WHERE op = 'commit'), 0) AS BIGINT) AS used, CAST(coalesce(sum(amount) FILTER (WHERE op = 'grant'), 0) AS BIGINT) AS reserved FROM l GROUP BY object""")
+def quota_reservations(spark, sf_dir):
+    """Specified: grants reserve, commits settle, unlinks release."""
+    op = F.when(F.col("op") == "grant", "reserve").when(F.col("op") == "commit", "settle").otherwise("release")
+    log = mutations(spark, sf_dir).where("op IN ('grant', 'commit', 'unlink')")
+    return Q.reservations(log.select(F.col("object").alias("scope"), "holder", "at", "seq", op.alias("op"), F.floor(F.col("value") * 10).cast("long").alias("amount")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cairnstore.functions.binary import joined_bytes
 from cairnstore.operators import content as C
@@ -141,3 +141,29 @@ FROM (SELECT DISTINCT dir, chunk_id FROM chunks) d LEFT JOIN cached c USING (chu
 def coverage_score(spark, sf_dir):
     every = chunks(spark, sf_dir).select("dir", "chunk_id").distinct()
     return R.coverage(every, every.where(F.substring("chunk_id", 1, 1) < "8").select("chunk_id").distinct(), "dir")
+
+
+@query(f"""WITH RECURSIVE {LOCATORS_SQL} SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY chunk_id) AS BIGINT) AS place, chunk_id, container, "offset", length FROM locators""")
+def list_locators(spark, sf_dir):
+    """A region's locators in the order of their chunks' ids."""
+    place = F.row_number().over(Window.partitionBy("region").orderBy("chunk_id")).cast("long")
+    return locators(spark, sf_dir).select("region", place.alias("place"), "chunk_id", "container", "offset", "length")
+
+
+@query(f"""WITH RECURSIVE {LOCATORS_SQL}, held AS (SELECT region, chunk_id, container FROM locators WHERE substr(chunk_id, 1, 1) <> '3')
+SELECT path, idx, container, CASE WHEN container IS NULL THEN 'missing' ELSE 'ok' END AS verdict FROM chunks LEFT JOIN held ON region = lang AND held.chunk_id = chunks.chunk_id""")
+def locate_report(spark, sf_dir):
+    """Where each chunk of each file is read from; locators of a sixteenth of the chunks are gone, which is an error there."""
+    held = locators(spark, sf_dir).where(F.substring("chunk_id", 1, 1) != "3").select(F.col("region").alias("lang"), "chunk_id", "container")
+    return P.located(chunks(spark, sf_dir).select("lang", "path", "idx", "chunk_id"), held, ["lang", "chunk_id"]).select("path", "idx", "container", "verdict")
+
+
+@query(f"""WITH {FILES_SQL}, p AS (SELECT path, dir, 0 AS idx, size AS length FROM files WHERE size BETWEEN 1 AND 4095
+  UNION ALL SELECT path, dir, unnest(range((size + 1023) // 1024)) AS idx, CAST(least(1024, size - idx * 1024) AS BIGINT) FROM files WHERE size >= 4096)
+SELECT path, CAST(idx AS BIGINT) AS idx, CAST(length AS BIGINT) AS length, CAST(coalesce(sum(length) OVER (PARTITION BY dir ORDER BY path, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM p""")
+def packing_order(spark, sf_dir):
+    """Specified: files in the order of their names, those below a size (4 KiB here) as one chunk each."""
+    every = files(spark, sf_dir).select("path", "dir", "size", "content")
+    small = every.where("size BETWEEN 1 AND 4095").select("path", "dir", F.lit(0).cast("long").alias("idx"), F.col("size").alias("length"))
+    large = C.chunks(every.where("size >= 4096").drop("size"), 1024).select("path", "dir", "idx", "length")
+    return P.place(small.unionByName(large), "dir").select("path", "idx", "length", "offset")

@@ -37,6 +37,28 @@ def test_stream_equals_batch(spark):
     assert stream == rows(catalogue.queries()["lease_trusted"](spark, SF).select("holder", "object", "seq", "trusted").collect())
 
 
+def test_stream_over_several_batches_equals_batch(spark, tmp_path):
+    """State is carried from batch to batch; events come in order."""
+    import time
+
+    from cairnstore.plans import coherence
+    from cairnstore.streaming import leases
+
+    for n in range(4):
+        part = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").offset(n * 250).limit(250)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)  # files are read in the order of their times
+    got = coherence._stream(spark, str(tmp_path), "leases", lambda log: leases.lease_state(log, coherence.WEEK), 1)
+    want = catalogue.queries()["lease_trusted"](spark, str(tmp_path)).select("holder", "object", "seq", "trusted")
+    assert rows(got.select("holder", "object", "seq", "trusted").collect()) == rows(want.collect()) and got.count() > 0
+
+
+def test_lookups_do_not_see_settings_changed(spark):
+    before = spark.conf.get("spark.sql.streaming.statefulOperator.checkCorrectness.enabled")
+    catalogue.queries()["stream_lease_state"](spark, SF)
+    assert spark.conf.get("spark.sql.streaming.statefulOperator.checkCorrectness.enabled") == before
+
+
 def test_rehoming_reaches_144_safe_states(spark):
     found = catalogue.queries()["rehoming_states"](spark, SF)
     assert found.count() == 144 and found.where("NOT safe").isEmpty()
