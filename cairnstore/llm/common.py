@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The separators of words: space and the ASCII controls from tab to carriage return.
@@ -122,11 +123,9 @@ def bits_of(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, name: str = "uid") -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        return pd.Series(bits_of(hashes.to_numpy(), bits))
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(bits_of(hashes.to_numpy(), bits))
 
     return test(F.xxhash64(name))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import SEPARATORS, numbered, staged, text_or_empty
+from cairnstore.llm.common import SEPARATORS, staged, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -161,11 +161,12 @@ def assess(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOS
 
 
 def filter_documents(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    rows = numbered(docs, "_cs_row")
-    flags = measure(rows.select("_cs_row", "doc_id", "text", F.col(host).alias("_cs_source")), "_cs_")
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Rows are written with their flags and read back, so no text is shuffled and none is measured twice.
+    """
     # Written before it is filtered: a filter pushed below the measures would evaluate them anew for every word.
-    flags = staged(flags.select("_cs_row", "doc_id", "_cs_source", "_cs_base_failed"), "quality")
-    hosts = staged(host_verdicts(flags, "_cs_source", "_cs_base_failed", max_host_rate).select("_cs_host", F.col("host_ok").alias("_cs_ok")), "hosts")
-    stay = join_verdicts(flags.where(~F.col("_cs_base_failed")), hosts, "_cs_source").where("_cs_ok").select("_cs_row")
-    return rows.join(stay, "_cs_row", "left_semi").select(*docs.columns)
+    flagged = measure(docs.withColumn("_cs_source", F.col(host)), "_cs_").select(*docs.columns, "_cs_source", "_cs_base_failed")
+    flagged = staged(flagged, "quality")
+    hosts = staged(host_verdicts(flagged, "_cs_source", "_cs_base_failed", max_host_rate).select("_cs_host", F.col("host_ok").alias("_cs_ok")), "hosts")
+    return join_verdicts(flagged.where(~F.col("_cs_base_failed")), hosts, "_cs_source").where("_cs_ok").select(*docs.columns)
