@@ -98,8 +98,8 @@ def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
     return placed.withColumn(name, F.shiftleft("_cs_place", ROW_BITS).bitwiseOR(F.col("_cs_index"))).drop("_cs_file", "_cs_place", "_cs_index")
 
 
-#: Bytes of the bits that tell rows apart without a join.
-BITMAP = 8 << 20
+#: Bytes of the bits that tell rows apart without a join: few enough to travel with a task.
+BITMAP = 1 << 19
 
 
 def marks(keys: DataFrame, name: str = "uid") -> np.ndarray:
