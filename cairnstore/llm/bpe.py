@@ -450,7 +450,7 @@ def shared_chunks(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, np.
     uses = names.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h", "g", "salt"])
     uses = staged(uses.select("uid", "place", "h", "g", F.pmod(F.xxhash64("uid"), F.col("ways")).cast("int").alias("way")), "uses")
     bits = marks(uses)
-    holders = staged(rows.where(marked(bits)), "holders")
+    holders = rows.where(marked(bits))
     owned = shared.groupBy("uid").agg(F.collect_list(F.struct("place", "h", "g")).alias("places"))
     encoded = staged(_encoded_chunks(holders, owned, path), "encoded")
     spread = encoded.join(shared.select("h", "g", "ways").hint("merge"), ["h", "g"]).select("h", "g", "ids", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
