@@ -32,10 +32,10 @@ END_ID = 2
 ROWS = 2000
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "none",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(16 << 20),
+    "orc.stripe.size": str(8 << 20),
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
