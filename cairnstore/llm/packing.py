@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing.
 
-Documents are dealt into shards of bounded size by row number, and packed shard by shard, longest
+Documents are dealt into shards of about ``SHARD`` rows by row number, and packed shard by shard, longest
 first.  A bin carries a bitmap of the sources and one of the duplicate clusters that it holds, and
 takes neither a second document of a source nor a second of a cluster.  Bins stand in the order of
 their residual space; the search starts at the smallest residual that is large enough and goes on to
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from cairnstore.llm.bpe import default_tokenizer, text_lengths
 from cairnstore.llm.common import numbered, staged, text_or_empty
 
-CAPACITY, SHARD = 4096, 8192
+CAPACITY, SHARD = 4096, 32_768
 
 
 class Bins:

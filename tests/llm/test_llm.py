@@ -462,3 +462,21 @@ def test_near_copies_are_in_one_group():
     texts = [a, a[:150] + b[:10] + a[150:], b, a[20:]]
     groups = toxicity.near_groups([toxicity.copies(toxicity.words(" ".join(t))) for t in texts])
     assert groups[0] == groups[1] == groups[3] != groups[2]
+
+
+def test_base_columns_against_sql(spark):
+    """What SQL can say of operators 7, 8 and 10: hashes of the texts, payloads, and counts by pattern."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    docs = documents(spark, sf)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW d AS SELECT doc_id, coalesce(text, '') AS t FROM '{sf}/documents.parquet'")
+    same = lambda rows, sql: sorted(map(tuple, rows.collect())) == sorted(con.sql(sql).fetchall())
+    assert same(bpe.round_trip(docs).select("doc_id", "decoded_sha256"), "SELECT doc_id, sha256(t) FROM d")
+    stored = mpeg_audio.store_and_read(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+    assert same(stored, """SELECT doc_id, n, p, sha256(t || repeat(' ', CAST(p - n AS INT))) FROM (SELECT *, greatest(192, (n + 191) // 192 * 192) AS p FROM (SELECT *, CAST(strlen(t) AS BIGINT) AS n FROM d))""")
+    found = pii.detect(docs).select("doc_id", "n_email", "n_ip", "n_phone")
+    assert same(found, r"""SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')),
+      len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255)),
+      len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) FROM d""")
