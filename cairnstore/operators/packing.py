@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from cairnstore.sources.shared import shared_dir
 
 SEAL = 128 << 20
 ALIGN = 4096
@@ -33,29 +38,95 @@ def place(chunks: DataFrame, group: str, align: int = 1) -> DataFrame:
     return chunks.withColumn("offset", F.coalesce(F.sum(aligned(F.col("length"), align)).over(before), F.lit(0)))
 
 
-def seal(chunks: DataFrame, group: str, size: int = SEAL) -> DataFrame:
+def seal(chunks: DataFrame, group: str, size: int = SEAL, ranges: int | None = None) -> DataFrame:
     """Adds container number and offset: a container is sealed as soon as it holds ``size`` bytes or more.
 
-    A fold over each group in order.  The rows stream through the task, which keeps two numbers, so
-    a group's length doesn't matter to memory; groups are the unit of parallelism, one writer each.
+    The fill at a chunk depends on all chunks before it in its group, but a range of them does so only through
+    the place at which it first begins a container, of which a container's worth are possible.  So the rows
+    are dealt into ranges of the order and written once; each range says, for each such place, how many
+    containers it begins and how full the last one is; a walk over the ranges' tables finds where each
+    really begins; and the ranges are numbered, all at a time.
     """
-
+    spark = chunks.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/cairnstore/ranges-{uuid.uuid4().hex}"
+    chunks.repartitionByRange(ranges, group, "path", "idx").withColumn("_range", F.spark_partition_id().cast("long")).write.parquet(path)
+    stored = spark.read.schema(StructType([*chunks.schema.fields, StructField("_range", LongType())])).parquet(path)
+    ordered = lambda df: df.repartition("_range").sortWithinPartitions("_range", group, "path", "idx")
+    kind = chunks.schema[group].dataType.simpleString()
+    tables = ordered(stored.select(group, "path", "idx", "length", "_range")).mapInArrow(_tables(group, size), f"`{group}` {kind}, _range long, total long, reach array<long>, begun array<long>, filled array<long>")
+    entries = tables.repartition(group).sortWithinPartitions(group, "_range").mapInArrow(_entries(group, size), f"`{group}` {kind}, _range long, _number long, _filled long")
+    return _numbered(ordered(stored.join(entries, [group, "_range"])), group, size, chunks.schema)
+
+
+def _segments(batches: Iterable[pa.RecordBatch], group: str, columns: list[str]) -> Iterator[tuple]:
+    """(group, range, the columns' values) of the rows of each group in each range."""
+    last, held = None, [[] for _ in columns]
+    for batch in batches:
+        for g, r, *values in zip(*(batch.column(c).to_pylist() for c in (group, "_range", *columns))):
+            if held[0] and (g, r) != last:
+                yield *last, *held
+                held = [[] for _ in columns]
+            last = g, r
+            for kept, value in zip(held, values):
+                kept.append(value)
+    if held[0]:
+        yield *last, *held
+
+
+def _tables(group: str, size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, r, lengths in _segments(batches, group, ["length"]):
+            ends = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+            n, total = len(lengths), int(ends[-1])
+            following = np.searchsorted(ends, ends[:n] + size)  # where a container that begins here is full
+            begun, filled = np.ones(n, np.int64), total - ends[:n]
+            for i in range(n - 1, -1, -1):
+                j = following[i]
+                if j < n:
+                    begun[i], filled[i] = begun[j] + 1, filled[j]
+            places = int(min(n, np.searchsorted(ends, size) + 1))
+            row = {group: g, "_range": r, "total": total, "reach": ends[:places].tolist(), "begun": begun[:places].tolist(), "filled": filled[:places].tolist()}
+            yield pa.RecordBatch.from_pylist([row])
+
+    return run
+
+
+def _entries(group: str, size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, now, first = None, 0, 0, True
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if first or row[group] != last:
+                    last, number, now, first = row[group], 0, 0, False
+                out.append({group: last, "_range": row["_range"], "_number": number, "_filled": now})
+                at = bisect_left(row["reach"], size - now)
+                if at < len(row["reach"]):
+                    number, now = number + row["begun"][at], row["filled"][at]
+                else:
+                    now += row["total"]
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+
+    return run
+
+
+def _numbered(rows: DataFrame, group: str, size: int, schema: StructType) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, number, filled = None, 0, 0
         for batch in batches:
-            groups, lengths = batch.column(group).to_pylist(), batch.column("length").to_numpy()
-            numbers, offsets = np.empty(len(groups), np.int64), np.empty(len(groups), np.int64)
-            for i, (g, n) in enumerate(zip(groups, lengths.tolist())):
-                if g != last:
-                    last, number, filled = g, 0, 0
-                elif filled >= size:
+            numbers, offsets = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for i, (g, r, n, *entry) in enumerate(zip(*(batch.column(c).to_pylist() for c in (group, "_range", "length", "_number", "_filled")))):
+                if (g, r) != last:
+                    last, (number, filled) = (g, r), entry
+                if filled >= size:
                     number, filled = number + 1, 0
                 numbers[i], offsets[i] = number, filled
                 filled += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(offsets)], names=[*batch.schema.names, "container_no", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names), pa.array(numbers), pa.array(offsets)], names=[*schema.names, "container_no", "offset"])
 
-    schema = chunks.schema.add("container_no", "long").add("offset", "long")
-    return chunks.repartition(group).sortWithinPartitions(group, "path", "idx").mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*schema.fields, StructField("container_no", LongType()), StructField("offset", LongType())]))
 
 
 def container_id(group: Column | str, number: Column | str) -> Column:

@@ -105,6 +105,27 @@ def test_dedup_analyze_against_brute_force(spark, oracle):
     assert got["whole"].physical_bytes == sum(map(len, set(texts)))
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 17, 60])
+def test_seal_over_ranges_equals_one_fold(spark, ranges):
+    import random
+
+    from cairnstore.operators import packing
+
+    rng, want, made = random.Random(ranges), [], []
+    for g in "abc":
+        number = filled = 0
+        for i in range(rng.choice([1, 40, 300])):
+            n = rng.choice([1, 7, 30, 100, 250])
+            if i and filled >= 100:
+                number, filled = number + 1, 0
+            made.append((g, f"p{i:04d}", 0, n))
+            want.append((g, f"p{i:04d}", number, filled))
+            filled += n
+    rng.shuffle(made)
+    got = packing.seal(spark.createDataFrame(made, "g string, path string, idx long, length long"), "g", 100, ranges)
+    assert rows(got.select("g", "path", "container_no", "offset").collect()) == rows(want)
+
+
 def test_fifo_replay(spark):
     from cairnstore.operators import caches
 
