@@ -40,7 +40,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.store_and_read(documents(spark, sf_dir)).drop("seek_offsets")
+    return mpeg_audio.store_and_read(documents(spark, sf_dir))
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def own_names_apart(stage: Callable) -> Callable:
+    """A stage whose own columns begin with ``_cs_``: such columns of ``docs`` get other names on the way through."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        if not any(c.startswith("_cs_") for c in docs.columns):
+            return stage(docs, *args, **kwargs)
+        apart = docs.toDF(*(f"kept_{n}{c}" if c.startswith("_cs_") else c for n, c in enumerate(docs.columns)))
+        return stage(apart, *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

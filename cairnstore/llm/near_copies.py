@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm import simhash
-from cairnstore.llm.common import connected_components, discard, numbered, release, staged, text_or_empty, without_rows
+from cairnstore.llm.common import connected_components, discard, numbered, own_names_apart, release, staged, text_or_empty, without_rows
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, AGREE = 40, 5, 125
@@ -188,6 +188,7 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+@own_names_apart
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their group: one of each group of near copies.
 

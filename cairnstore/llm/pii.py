@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import text_or_empty
+from cairnstore.llm.common import own_names_apart, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -428,6 +428,7 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_cs_text")).mapInArrow(run, schema)
 
 
+@own_names_apart
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets, and n_chars, if there, as it is then."""
     model = trained()

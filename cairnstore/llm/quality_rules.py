@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import SEPARATORS, staged, text_or_empty
+from cairnstore.llm.common import SEPARATORS, own_names_apart, staged, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -160,6 +160,7 @@ def assess(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOS
     return judged.select("doc_id", *METRICS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
+@own_names_apart
 def filter_documents(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 

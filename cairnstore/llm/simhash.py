@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import connected_components, discard, numbered, staged, text_or_empty
+from cairnstore.llm.common import connected_components, discard, numbered, own_names_apart, staged, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (first bit, number of bits, radius of the ball)
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_B
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@own_names_apart
 def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: one of each group of near copies.
 

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import discard, numbered, release, staged
+from cairnstore.llm.common import discard, numbered, own_names_apart, release, staged
 
 LENGTH, GRAM = 400, 96
 #: In words.
@@ -438,6 +438,7 @@ def _to_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+@own_names_apart
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", unit: str = "bytes") -> DataFrame:
     """``docs`` without the repeated bytes, whole characters only; n_chars, if there, as it is then.
 

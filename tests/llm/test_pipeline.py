@@ -112,3 +112,20 @@ def test_repeated_passages_of_51_words_go(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, _stored(spark, texts), "").collect()}
     assert got == _without_repeats(texts)
     assert sum(t.count(shared[1]) for t in got.values()) == 1 and sum(t.count(shared[0]) for t in got.values()) > 1
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    schema = SCHEMA + ", _cs_text string, _cs_row long, _cs_source string, uid string, bin_id string, shard long, cluster string, spans string, kept string"
+    rng = random.Random(6)
+    made = lambda i, n: (i, " ".join(_words(rng, 80)) if n % 4 else None, "en", f"s{n % 2}", None, f"t{n}", -n, f"o{n}", f"u{n}", "b", 7, "c", "s", "k")
+    rows = [*(made(i, i) for i in range(1, 30)), made(None, 31), made(5, 33)]
+    docs = staged(spark.createDataFrame(rows, schema).coalesce(2), "clashing")
+    given = {(r.doc_id, r._cs_text, r._cs_row, r._cs_source, r.uid, r.bin_id, r.shard, r.cluster, r.spans, r.kept) for r in docs.collect()}
+    nothing = staged(docs.where("false"), "nothing")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, nothing = staged(stage(spark, docs, ""), "stage"), staged(stage(spark, nothing, ""), "stage")
+        assert docs.columns == nothing.columns == [c.split()[0] for c in schema.split(", ")], name
+        assert {(r.doc_id, r._cs_text, r._cs_row, r._cs_source, r.uid, r.bin_id, r.shard, r.cluster, r.spans, r.kept) for r in docs.collect()} <= given, name
+        assert docs.count() and not nothing.count(), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in last(spark, docs, "").collect()} == {r.doc_id for r in docs.collect()} and not last(spark, nothing, "").count()
