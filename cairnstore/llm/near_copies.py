@@ -71,17 +71,19 @@ def closest(sketches: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(parent[one]), one
 
 
-def _trees(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+def _trees(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a in range(0, len(contents), TREE):
         some = np.append(0, np.arange(max(a, 1), min(a + TREE, len(contents))))
-        yield from ((contents[some[x]], contents[some[y]]) for x, y in closest(sketches[some]))
+        x, y = np.array(list(closest(sketches[some])), np.int64).reshape(-1, 2).T
+        yield contents[some[x]], contents[some[y]]
 
 
-def _across(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+def _across(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in range(len(contents) - 1):
         other = n + 1 + np.flatnonzero(roots[n + 1 :] != roots[n])
-        other = other[(sketches[other] == sketches[n]).sum(axis=1) >= AGREE]
-        yield from ((contents[n], contents[x]) for x in other)
+        if len(other):
+            other = other[(sketches[other] == sketches[n]).sum(axis=1) >= AGREE]
+            yield np.full(len(other), contents[n]), contents[other]
 
 
 def _proposed(buckets: DataFrame, propose) -> DataFrame:
@@ -95,8 +97,13 @@ def _proposed(buckets: DataFrame, propose) -> DataFrame:
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             found = [p for a, b in zip([0, *ends], ends) if b > a + 1 for p in propose(contents[a:b], roots[a:b], sketches[a:b])]
-            a, b = np.array(sorted({(min(p), max(p)) for p in found}), np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            x, y = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in found)]) for k in (0, 1))
+            a, b = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
