@@ -178,17 +178,19 @@ class Tagger:
         np.add.at(g["emb"], ids.ravel(), dx.reshape(-1, EMBEDDING))
         return {k: v / batch for k, v in g.items()}
 
-    def _scan(self, codes: np.ndarray, active: list[int], d: str) -> np.ndarray:
-        """Hidden states [time, hidden, window] for codes [time, window]; at each time the first ``active`` windows go on.
+    def _scan(self, codes: np.ndarray, active: list[int], d: str, out: np.ndarray) -> None:
+        """Adds what a reading of codes [time, window] gives each label to ``out`` [time, label, window].
 
-        The same cells as in :meth:`_lstm`, laid out by window; a sigmoid is a tangent of half the argument.
+        The same cells as in :meth:`_lstm`, laid out by window; a sigmoid is a tangent of half the argument.  At
+        each time the first ``active`` windows go on; hidden states aren't kept.
         """
         p, size = self.p, HIDDEN
         half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), size)
         table = np.ascontiguousarray(((p["emb"] @ p[f"x{d}"] + p[f"b{d}"]) * half).T)
         w = np.ascontiguousarray((p[f"h{d}"] * half).T)
+        label = np.ascontiguousarray(p["out"][:size].T if d == "f" else p["out"][size:].T)
         time, batch = codes.shape
-        out, h, c = np.zeros((time, size, batch), np.float32), np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
+        h, c = np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
         for t in range(time) if d == "f" else range(time - 1, -1, -1):
             n = active[t]
             z = w @ h[:, :n]
@@ -200,11 +202,8 @@ class Tagger:
             own = c[:, :n]
             own *= z[size : 2 * size]
             own += z[:size] * z[3 * size :]
-            np.multiply(np.tanh(own), z[2 * size : 3 * size], out=out[t, :, :n])
-            h = out[t]
-            if d == "b" and t and active[t - 1] > n:  # windows that end here begin with an empty state
-                c[:, n : active[t - 1]] = 0
-        return out
+            np.multiply(np.tanh(own), z[2 * size : 3 * size], out=h[:, :n])  # windows that end later begin with zeros
+            out[t, :, :n] += label @ h[:, :n]
 
     def decode(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The best label path [window, time] of each row of codes, of which the first ``sizes`` count."""
@@ -213,8 +212,10 @@ class Tagger:
         active = [int(np.count_nonzero(sizes > t)) for t in range(time)]
         codes = np.ascontiguousarray(codes[:time])
         p, n = self.p, len(LABELS)
-        e = np.matmul(p["out"][:HIDDEN].T, self._scan(codes, active, "f")) + np.matmul(p["out"][HIDDEN:].T, self._scan(codes, active, "b"))
+        e = np.zeros((time, n, codes.shape[1]), np.float32)
         e += p["out_b"][:, None]
+        self._scan(codes, active, "f", e)
+        self._scan(codes, active, "b", e)
         trans = p["trans"][:, :, None]
         for t in range(1, time):  # e becomes the best path's score
             k = active[t]
