@@ -47,7 +47,7 @@ from cairnstore.llm.common import discard, numbered, own_names_apart, release, s
 LENGTH, GRAM = 400, 96
 #: In words.
 PASSAGE, PASSAGE_GRAM = 51, 12
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Contexts in a file beyond which it is dealt by string, one way for every ``DEAL`` times as many.
 HOT, DEAL = 256, 16
 #: Positions: in a file beyond which it is dealt by string, and (about) in a task.  Bytes that are put in order together.
@@ -99,8 +99,8 @@ def symbols(data: bytes, unit: str) -> np.ndarray:
     if not len(cuts):
         return np.empty(0, _U)
     out = []
-    for a in range(0, len(cuts) - 1, 2 * SEGMENT):
-        some = cuts[a : a + 2 * SEGMENT + 1]
+    for a in range(0, len(cuts) - 1, SEGMENT // 8):
+        some = cuts[a : a + SEGMENT // 8 + 1]
         own = Segment(raw[some[0] : some[-1]], 1, 1, int(some[-1] - some[0]))
         out.append(own.spans(some[:-1] - some[0], some[1:] - some[0]) | _U(1))
     return np.concatenate(out)

@@ -218,8 +218,8 @@ def test_word_bounds():
 
 def test_texts_longer_than_a_segment(spark):
     rng = np.random.default_rng(11)
-    long = rng.integers(97, 123, (1 << 20) + 5000).astype(np.uint8).tobytes()
-    seam = long[(1 << 20) - 700 : (1 << 20) + 300]
+    long = rng.integers(97, 123, suffix_dedup.SEGMENT + 5000).astype(np.uint8).tobytes()
+    seam = long[suffix_dedup.SEGMENT - 700 : suffix_dedup.SEGMENT + 300]
     texts = [long, b"xyz" + seam + b"!", long[:300] + seam[:399], seam[100:500] + b"?"]
     docs = staged(spark.createDataFrame([(n, t.decode()) for n, t in enumerate(texts)], "doc_id long, text string").coalesce(1), "long")
     seen = collections.Counter(hash(t[p : p + 400]) for t in texts for p in range(len(t) - 399))
