@@ -10,8 +10,8 @@ silence whose ancillary data are the payload, 192 bytes a frame, behind an ID3v2
 with the frame count, the byte count and a seek table.
 
 Defined results: a null text is an empty text and is stored as 192 spaces; a null or damaged stream
-gives zero frames or the frames that can be read; repeated rows give repeated rows; extra columns
-are not read.
+gives zero frames or the frames that can be read; repeated rows give repeated rows; a text of any length
+is one stream; extra columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations

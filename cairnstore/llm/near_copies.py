@@ -12,6 +12,9 @@ Work is on distinct sets of shingles.  Of the documents that share a band, pairs
 (a byte of each of the 200 minima) agree in fewer than ``AGREE`` places; at 0.8 they agree in 160 with a
 deviation of 5.7.  A tree of the closest sketches is compared first in some of the bands, which joins a large group of copies by
 as many pairs as it has documents in each; then, in all bands, all pairs that are still in different groups.
+
+Defined results: texts without words are copies of each other; a text of any length is hashed whole; of equal
+doc_ids the first row stays; extra columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations

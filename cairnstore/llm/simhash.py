@@ -14,8 +14,9 @@ fingerprint, never all pairs.  An entry with more than ``BLOCK`` stored fingerpr
 blocks, and every two blocks meet in a task of their own.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like
-any other; repeated rows give repeated rows; a null doc_id never names a component; extra columns
-are not read; an empty table gives an empty table.
+any other; repeated rows give repeated rows; a bit that is set in exactly half of the hashes is 0; a text
+of any length is hashed whole; a null doc_id never names a component; extra columns are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
