@@ -11,7 +11,8 @@ similarity ** ROWS.  At 0.8 all 40 miss a pair with probability (1 - 0.8 ** 5) *
 Work is on distinct sets of shingles.  Of the documents that share a band, pairs are left out whose sketches
 (a byte of each of the 200 minima) agree in fewer than ``AGREE`` places; at 0.8 they agree in 160 with a
 deviation of 5.7.  A tree of the closest sketches is compared first in some of the bands, which joins a large group of copies by
-as many pairs as it has documents in each; then, in all bands, all pairs that are still in different groups.
+as many pairs as it has documents in each.  Then, in all bands, documents that are still in different groups are
+compared where they meet, by their shingles; only links come out of that, not pairs.
 
 Defined results: texts without words are copies of each other; a text of any length is hashed whole; of equal
 doc_ids the first row stays; extra columns are kept; an empty table gives an empty table.
@@ -38,6 +39,8 @@ TREE = 1024
 TREES = 8
 #: Pairs that are compared together.
 PAIRS = 10_000
+#: Contents of a band beyond which it is dealt out in blocks.
+BLOCK = 4096
 _DRAWN = np.random.default_rng(20240602).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIP, _FACTOR = _DRAWN[0] * np.uint64(2), _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -81,16 +84,48 @@ def _trees(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Ite
         yield contents[some[x]], contents[some[y]]
 
 
-def _across(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for n in range(len(contents) - 1):
-        other = n + 1 + np.flatnonzero(roots[n + 1 :] != roots[n])
-        if len(other):
-            other = other[(sketches[other] == sketches[n]).sum(axis=1) >= AGREE]
-            yield np.full(len(other), contents[n]), contents[other]
+def _across(similarity: float):
+    def links(contents: np.ndarray, roots: np.ndarray, sketches: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links between contents of different groups, each pair compared in the first band that it shares."""
+        roots = roots.copy()
+        parts = sketches.reshape(-1, BANDS, ROWS)
+        for n in range(len(contents) - 1):
+            other = n + 1 + np.flatnonzero(roots[n + 1 :] != roots[n])
+            if len(other):
+                other = other[(sketches[other] == sketches[n]).sum(axis=1) >= AGREE]
+            if len(other):
+                other = other[(parts[other] == parts[n]).all(axis=2).argmax(axis=1) == bands[n]]
+            for x in other.tolist():
+                if roots[x] != roots[n] and alike(sets[n], sets[x], similarity):
+                    roots[roots == roots[x]] = roots[n]
+                    yield contents[n : n + 1], contents[x : x + 1]
+
+    return links
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """content and its distinct shingles' hashes, sorted, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(simhash.shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(found, pa.binary())], names=["content", "shingles"])
+
+    return texts.select("content", "text").mapInArrow(run, "content long, shingles binary")
+
+
+def _blocks(crossing: DataFrame) -> DataFrame:
+    """A key with very many contents becomes one for every two blocks of them, so that no task holds an unbounded group."""
+    sizes = crossing.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    dealt = crossing.join(sizes, "key")
+    own = F.pmod(F.xxhash64("content"), F.col("_blocks"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.least(own, other) * F.col("_blocks") + F.greatest(own, other))
+    return dealt.withColumn("_part", F.explode(parts)).withColumn("key", F.xxhash64("key", "_part")).drop("_blocks", "_part")
 
 
 def _proposed(buckets: DataFrame, propose) -> DataFrame:
-    """Pairs (a, b) of ``propose`` for the rows (content, root, sketch) of each key."""
+    """Pairs (a, b) of ``propose`` for the rows (content, root, sketch; band and shingles, if they are there) of each key."""
+    compares = "shingles" in buckets.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -99,7 +134,10 @@ def _proposed(buckets: DataFrame, propose) -> DataFrame:
             keys, contents, roots = (table.column(n).to_numpy() for n in ("key", "content", "root"))
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            found = [p for a, b in zip([0, *ends], ends) if b > a + 1 for p in propose(contents[a:b], roots[a:b], sketches[a:b])]
+            columns = [contents, roots, sketches]
+            if compares:
+                columns += [table.column("band").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]]
+            found = [p for a, b in zip([0, *ends], ends) if b > a + 1 for p in propose(*(c[a:b] for c in columns))]
             x, y = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in found)]) for k in (0, 1))
             a, b = np.minimum(x, y), np.maximum(x, y)
             order = np.lexsort((b, a))
@@ -217,9 +255,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     buckets = stored = staged(shared, "buckets")
     release(docs.sparkSession)
     sketches = classes.select("content", "sketch")
-    some = buckets.where(F.col("band") < TREES).drop("band")
-    buckets = buckets.drop("band")
-    trees = _proposed(some.withColumn("root", F.lit(0).cast("long")).join(sketches, "content"), _trees)
+    some = buckets.where(F.col("band") < TREES)
+    trees = _proposed(some.drop("band").withColumn("root", F.lit(0).cast("long")).join(sketches, "content"), _trees)
     first = staged(_pairs(trees.unionByName(_by_simhash(classes.select("content", "fp")))), "pairs")
 
     place = classes.select("content", "_cs_row")
@@ -237,9 +274,12 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     roots = staged(connected_components(edges), "roots")
     apart = buckets.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     several = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    across = _proposed(apart.join(several, "key", "left_semi").join(sketches, "content"), _across)
-    second = staged(_pairs(across).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = alike_of(second)
+    crossing = staged(apart.join(several, "key", "left_semi"), "crossing")
+    wanted = place.join(crossing.select("content").distinct(), "content")
+    sets = staged(_sets(wanted.join(rows.select("_cs_row", text_or_empty().alias("text")), "_cs_row"), words), "sets")
+    release(docs.sparkSession)
+    compared = _blocks(crossing).join(sketches.join(sets, "content"), "content")
+    more = staged(_proposed(compared, _across(similarity)).distinct(), "alike")
 
     final = connected_components(edges.unionByName(more)).withColumnRenamed("node", "content")
     rooted = classes.select("content", "first_id").join(final, "content", "left").withColumn("root", F.coalesce("root", "content"))
@@ -249,5 +289,5 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     heads = heads.join(rooted.select("content", "root"), "content").groupBy("root").agg(F.min("_cs_row").alias("_cs_row"))
     stay = heads.select("_cs_row").unionByName(marked.where("doc_id IS NULL").select("_cs_row"))
     gone = staged(marked.select("_cs_row").join(stay, "_cs_row", "left_anti"), "gone")
-    discard(marked, classes, stored, first, edges, roots, second, more)
+    discard(marked, classes, stored, first, edges, roots, crossing, sets, more)
     return without_rows(rows, gone, "_cs_row").select(*docs.columns)
