@@ -41,7 +41,7 @@ from cairnstore.llm.common import bits_of, discard, marked, marks, numbered, rel
 
 MAX_PIECES = 600_000
 #: Bytes of text that are encoded in one go.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Texts to which a shared chunk goes in one way, and copies of a shared chunk's name.
 WAY, SALTS = 4096, 8
 #: Characters in a chunk: least, most, and (as a mask of the rolling hash) on average above the least.
