@@ -35,10 +35,10 @@ def statfs(bytes_limit: Column, inodes_limit: Column, bytes_used: Column, inodes
     ]
 
 
-def human_bytes(n: Column) -> Column:
-    """1024-based with one decimal from KiB on."""
+def human_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """1024-based with one decimal from KiB on; the last unit takes all that is larger."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for power, unit in enumerate(units, 1):
         tenths = F.floor(n * 10 / F.lit(float(1024**power))).cast("long")
         text = F.concat((tenths.cast("double") / 10).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))
         out = F.when(n >= 1024**power, text).otherwise(out)

@@ -150,7 +150,8 @@ def statfs_view(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n * 10 / 1024.0) / 10) WHEN n < 1073741824 THEN printf('%.1f MiB', floor(n * 10 / 1048576.0) / 10)
   ELSE printf('%.1f GiB', floor(n * 10 / 1073741824.0) / 10) END AS shown FROM (SELECT p_partkey, p_partkey * p_partkey * 577 AS n FROM part)""")
 def human_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", Q.human_bytes(F.col("p_partkey") * F.col("p_partkey") * 577).alias("shown"))
+    """Sizes in GiB at most."""
+    return table(spark, sf_dir, "part").select("p_partkey", Q.human_bytes(F.col("p_partkey") * F.col("p_partkey") * 577, ("KiB", "MiB", "GiB")).alias("shown"))
 
 
 @query(f"""WITH {FILES_SQL}, a AS (SELECT '/' AS ancestor, size FROM files UNION ALL SELECT '/' || lang, size FROM files UNION ALL SELECT dir, size FROM files)

@@ -126,6 +126,14 @@ def test_seal_over_ranges_equals_one_fold(spark, ranges):
     assert rows(got.select("g", "path", "container_no", "offset").collect()) == rows(want)
 
 
+def test_sizes_past_a_tebibyte_match_the_oracle(spark, tmp_path):
+    spark.range(43_640, 43_660).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = catalogue.queries()["human_sizes"](spark, str(tmp_path))
+    assert rows(got.select("p_partkey", "shown").collect()) == rows(con.sql(catalogue.oracle_sql()["human_sizes"]).fetchall())
+
+
 def test_fifo_replay(spark):
     from cairnstore.operators import caches
 
