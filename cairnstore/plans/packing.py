@@ -98,8 +98,9 @@ def single_object_split(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {LOCATORS_SQL} SELECT chunk_id, region, substr(container, 1, 1) <> '0' AS ok FROM locators""")
 def scrub(spark, sf_dir):
-    """Reads every chunk back and checks its hash; the containers whose id begins with 0 are damaged on purpose."""
-    damaged = F.when(F.col("container").startswith("0"), F.unhex(F.regexp_replace(F.hex("bytes"), "..", "2A"))).otherwise(F.col("bytes"))
+    """Reads every chunk back and checks its hash; in the containers whose id begins with 0 every bit is flipped on purpose."""
+    flipped = F.unhex(F.translate(F.hex("bytes"), "0123456789ABCDEF", "FEDCBA9876543210"))
+    damaged = F.when(F.col("container").startswith("0"), flipped).otherwise(F.col("bytes"))
     found = P.scrub(locators(spark, sf_dir), containers(spark, sf_dir).withColumn("bytes", damaged))
     return found.select("chunk_id", "region", "ok")
 

@@ -134,6 +134,16 @@ def test_sizes_past_a_tebibyte_match_the_oracle(spark, tmp_path):
     assert rows(got.select("p_partkey", "shown").collect()) == rows(con.sql(catalogue.oracle_sql()["human_sizes"]).fetchall())
 
 
+def test_scrub_finds_damage_in_any_bytes(spark, tmp_path):
+    """The first container of language a is a damaged one, whatever its chunks hold."""
+    docs = [(1, "*", "a", "src0"), (2, "*" * 1500, "a", "src0"), (3, "\xd5 text", "a", "src0"), (4, "*", "en", "src0")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.queries()["scrub"](spark, str(tmp_path)).select("chunk_id", "region", "ok").collect()
+    assert rows(got) == rows(con.sql(catalogue.oracle_sql()["scrub"]).fetchall()) and {r.ok for r in got if r.region == "a"} == {False}
+
+
 def test_fifo_replay(spark):
     from cairnstore.operators import caches
 
