@@ -201,7 +201,7 @@ def _stream(spark, sf_dir, name, states, files_at_once=None):
 
 @query(f"WITH {_T} SELECT holder, object, seq, trusted FROM leased")
 def stream_lease_state(spark, sf_dir):
-    """The log as a stream, keyed state for each holder and object; the same as ``lease_trusted`` finds in batch."""
+    """The log as a stream, keyed state for holders' leases of objects; the same as ``lease_trusted`` finds in batch."""
     return _stream(spark, sf_dir, "leases", lambda log: leases.lease_state(log, WEEK))
 
 

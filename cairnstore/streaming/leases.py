@@ -2,20 +2,29 @@
 
 The log has a watermark: events come in order but for its delay, state whose last lease and deadline the
 watermark has passed is dropped, and so are events behind it.  Within a batch events are put in order.
+
+State of leases is a table of the grants that an event still to come can touch, as the bytes of an array.  A
+batch is worked off column by column: its cost is that of sorting it, whatever the number of keys.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.operators.coherence import BUMPS
+from cairnstore.operators.gc import HOUR
 
 OUT = "holder long, object long, seq long, trusted boolean"
 RECALLS = "object long, m_seq long, holder long, acked boolean"
+#: Groups of state that the keys of leases share: a batch costs a call for each group, not for each key.
+BUCKETS = 1024
+#: A time after all others, for lookups that have none.
+NEVER = 1 << 62
 
 
 def _expire(state, micros: int) -> None:
@@ -23,29 +32,76 @@ def _expire(state, micros: int) -> None:
     state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
-def _trust(lease: int):
+def _with_held(state, frames: Iterable[pd.DataFrame], columns: tuple[str, ...]) -> np.ndarray:
+    """The events held and those that came, a row for each column."""
+    came = pd.concat(list(frames))
+    new = np.stack([came[c].to_numpy(np.int64) for c in columns])
+    if not state.exists:
+        return new
+    return np.concatenate([np.frombuffer(state.get[0], np.int64).reshape(len(columns), -1), new], axis=1)
+
+
+def _hold(state, events: np.ndarray, until: np.ndarray, horizon: int) -> None:
+    """Keep the events that matter until ``horizon`` or later."""
+    kept = until >= horizon
+    if kept.any():
+        state.update((events[:, kept].tobytes(),))
+        _expire(state, int(until[kept].max()))
+    elif state.exists:
+        state.remove()
+
+
+def _horizon(state, at: np.ndarray, delay: int) -> int:
+    """No event before this time comes in a later batch.  The watermark counts in milliseconds."""
+    now = at[at < NEVER].max(initial=0)
+    return max(int(now) - delay - 1000, state.getCurrentWatermarkMs() * 1000)
+
+
+def _trust(lease: int, delay: int):
+    columns = ("kind", "holder", "object", "at", "seq")
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # no event that may still come finds the lease unexpired
             state.remove()
             return
-        granted = state.get[0] if state.exists else None
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
-            if r.op == "grant":
-                granted = r.at
-            elif r.op == "lookup":
-                rows.append((key[0], key[1], r.seq, granted is not None and r.at <= granted + lease))
-        yield pd.DataFrame(rows, columns=["holder", "object", "seq", "trusted"])
-        if granted is not None:
-            state.update((int(granted),))
-            _expire(state, int(granted) + lease)
+        log = _with_held(state, frames, columns)
+        nulls = log[0] >> 1
+        log = log[:, np.lexsort((log[4], log[3], log[2], log[1], nulls & 3))]
+        kind, holder, object_, at, seq = log
+        granted, nulls = (kind & 1) == 1, kind >> 1
+        who, place = np.stack([nulls & 3, holder, object_]), np.arange(len(at))
+        first = np.append(True, (who[:, 1:] != who[:, :-1]).any(axis=0))
+        begin = np.maximum.accumulate(np.where(first, place, 0))
+        last = np.maximum.accumulate(np.where(granted, place, -1))
+        trusted = (last >= begin) & (at - at[last] <= lease)
+        asked = ~granted
+        shown = {c: pd.arrays.IntegerArray(v[asked].copy(), (nulls[asked] >> n & 1) > 0) for n, (c, v) in enumerate((("holder", holder), ("object", object_), ("seq", seq)))}
+        yield pd.DataFrame(shown | {"trusted": trusted[asked]})
+        # A grant counts until its lease ends, or until the key's next grant is behind the horizon.
+        horizon, grants, who = _horizon(state, at, delay), log[:, granted], who[:, granted]
+        ends = grants[3] + lease
+        followed = np.append((who[:, 1:] == who[:, :-1]).all(axis=0), False)[: len(ends)]
+        ends = np.where(followed, np.minimum(ends, np.append(grants[3][1:], 0)[: len(ends)]), ends)
+        _hold(state, grants, ends, horizon)
 
     return run
 
 
-def lease_state(log: DataFrame, lease: int) -> DataFrame:
-    """For each lookup of a stream (holder, object, op, at, seq): whether the holder's last grant still holds."""
-    return log.groupBy("holder", "object").applyInPandasWithState(_trust(lease), OUT, "granted long", "append", "EventTimeTimeout")
+def lease_state(log: DataFrame, lease: int, delay: int = HOUR) -> DataFrame:
+    """For each lookup of a stream (holder, object, op, at, seq): whether the holder's last grant still holds.
+
+    Keys are dealt into ``BUCKETS`` groups; a group's state holds each key's grants that may still be asked for.
+    ``delay`` is the watermark's, in microseconds.
+    """
+    known = log.where("op = 'lookup' OR op = 'grant' AND at IS NOT NULL")
+    kind = (F.col("op") == "grant").cast("long")
+    for n, c in enumerate(("holder", "object", "seq")):
+        kind = kind + F.col(c).isNull().cast("long") * (2 << n)
+    whole = lambda c, other: F.coalesce(c, F.lit(other).cast("long")).alias(c)
+    known = known.select(
+        F.pmod(F.xxhash64("holder", "object"), F.lit(BUCKETS)).alias("bucket"), "ts", kind.alias("kind"), whole("holder", 0), whole("object", 0), whole("at", NEVER), whole("seq", NEVER)
+    )
+    return known.groupBy("bucket").applyInPandasWithState(_trust(lease, delay), OUT, "held binary", "append", "EventTimeTimeout")
 
 
 def _recalls(lease: int, deadline: int):

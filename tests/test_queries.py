@@ -1,6 +1,8 @@
 """Every query against its oracle, and the order-dependent ones against replays."""
 
 import os
+import time
+from datetime import datetime, timezone
 
 import duckdb
 import pytest
@@ -53,6 +55,62 @@ def test_stream_over_several_batches_equals_batch(spark, tmp_path):
     assert rows(got.select("holder", "object", "seq", "trusted").collect()) == rows(want.collect()) and got.count() > 0
 
 
+def _small_log(rng, n, holders, objects):
+    ops = rng.choices(["grant", "lookup", "commit", "unlink"], k=n)
+    return [(rng.randrange(holders), rng.randrange(objects), op, (1 + rng.randrange(n // 2)) * 60_000_000, i) for i, op in enumerate(ops)]
+
+
+def _as_stream(spark, batches, path, states):
+    """The rows that ``states`` makes of these batches as a stream, and each batch's progress of the state."""
+    for n, batch in enumerate(batches):
+        rows = [(*r, datetime.fromtimestamp(r[3] / 1e6, timezone.utc)) for r in batch]
+        spark.createDataFrame(rows, "holder long, object long, op string, at long, seq long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{path}/log")
+        if n + 1 < len(batches):
+            time.sleep(1.1)  # files are read in the order of their times
+    schema = "holder long, object long, op string, at long, seq long, ts timestamp"
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log").withWatermark("ts", "1 hour")
+    told = states(log)
+    run = told.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}/out").collect(), [p.stateOperators[0] for p in run.recentProgress if p.stateOperators]
+
+
+def test_stream_of_many_keys_has_few_states(spark, tmp_path):
+    """A batch costs a call for each group of keys, not for each key: 4,000 holders with a grant and a lookup each."""
+    from cairnstore.streaming import leases
+
+    log = [(h, 7, op, 1_000_000 + n, 2 * h + n) for h in range(4000) for n, op in enumerate(("grant", "lookup"))]
+    got, states = _as_stream(spark, [log], tmp_path, lambda log: leases.lease_state(log, 5))
+    assert sorted(r.seq for r in got) == [2 * h + 1 for h in range(4000)] and all(r.trusted for r in got)
+    assert max(s.numRowsUpdated for s in states) <= 1024
+
+
+def test_stream_keeps_nulls_apart(spark, tmp_path):
+    from cairnstore.streaming import leases
+
+    log = [(None, 1, "grant", 5, 0), (0, 1, "lookup", 6, 1), (None, 1, "lookup", 6, 2), (0, None, "lookup", 6, 3)]
+    got, _ = _as_stream(spark, [log], tmp_path, lambda log: leases.lease_state(log, 5))
+    assert rows(got) == rows([(0, 1, 1, False), (None, 1, 2, True), (0, None, 3, False)])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leases_of_late_events_within_the_delay(spark, tmp_path, seed):
+    """Lookups that come up to an hour late find the grants that were before them."""
+    import random
+
+    from cairnstore.streaming import leases
+
+    rng, lease = random.Random(seed), 40 * 60_000_000
+    log = sorted(_small_log(rng, 400, 4, 3), key=lambda r: (r[3] + (rng.randrange(3000) * 1_000_000 if r[2] == "lookup" else 0), r[4]))
+    got, _ = _as_stream(spark, [log[:150], log[150:300], log[300:]], tmp_path, lambda log: leases.lease_state(log, lease))
+    want = []
+    for h, o, op, at, seq in log:
+        if op == "lookup":
+            before = [(g[3], g[4]) for g in log if g[:3] == (h, o, "grant") and (g[3], g[4]) < (at, seq)]
+            want.append((h, o, seq, bool(before) and at <= max(before)[0] + lease))
+    assert rows(got) == rows(want) and {w[3] for w in want} == {True, False}
+
+
 def test_lookups_do_not_see_settings_changed(spark):
     before = spark.conf.get("spark.sql.streaming.statefulOperator.checkCorrectness.enabled")
     catalogue.queries()["stream_lease_state"](spark, SF)
