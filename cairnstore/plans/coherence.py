@@ -209,5 +209,5 @@ def stream_lease_state(spark, sf_dir):
 def stream_recall(spark, sf_dir):
     """Recalls of a stream, keyed state for each object; the same as ``recall_outcome`` finds in batch."""
     told = _stream(spark, sf_dir, "recalls", lambda log: leases.recall_state(log, WEEK, 24 * HOUR))
-    acked, started = F.count_if("acked"), F.count_if(~F.col("acked"))
+    acked, started = F.sum("acked"), F.sum("started")
     return told.groupBy("m_seq").agg(acked.alias("acked"), (started - acked).alias("timed_out"))

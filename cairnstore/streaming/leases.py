@@ -3,13 +3,12 @@
 The log has a watermark: events come in order but for its delay, state whose last lease and deadline the
 watermark has passed is dropped, and so are events behind it.  Within a batch events are put in order.
 
-State of leases is a table of the grants that an event still to come can touch, as the bytes of an array.  A
-batch is worked off column by column: its cost is that of sorting it, whatever the number of keys.
+State is a table of the events that one still to come can touch, as the bytes of an array.  A batch is
+worked off column by column: its cost is that of sorting it, whatever the number of keys and holders.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,11 +19,12 @@ from cairnstore.operators.coherence import BUMPS
 from cairnstore.operators.gc import HOUR
 
 OUT = "holder long, object long, seq long, trusted boolean"
-RECALLS = "object long, m_seq long, holder long, acked boolean"
+RECALLS = "object long, m_seq long, started long, acked long"
 #: Groups of state that the keys of leases share: a batch costs a call for each group, not for each key.
 BUCKETS = 1024
 #: A time after all others, for lookups that have none.
 NEVER = 1 << 62
+GRANT, LOOKUP, BUMP = range(3)
 
 
 def _expire(state, micros: int) -> None:
@@ -104,40 +104,63 @@ def lease_state(log: DataFrame, lease: int, delay: int = HOUR) -> DataFrame:
     return known.groupBy("bucket").applyInPandasWithState(_trust(lease, delay), OUT, "held binary", "append", "EventTimeTimeout")
 
 
-def _recalls(lease: int, deadline: int):
-    """State of an object, as JSON: each holder's lease, and the recalls that wait for an answer."""
+def counts(kind: np.ndarray, holder: np.ndarray, at: np.ndarray, lease: int, deadline: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each mutation of one object: the other holders that it recalls, and those that answer in time.
+
+    The sums of ``coherence.recalls``: leases, and the times from which a lookup would be in time, are
+    intervals; what their ends change, summed over holders, is read off at the mutations.
+    """
+    g, a, m = (kind == k for k in (GRANT, LOOKUP, BUMP))
+    n_g, n_a, n_m = g.sum(), a.sum(), m.sum()
+    one = lambda *signs: np.repeat(np.array(signs, np.int64), (n_g, n_g, n_a, n_a, n_m))
+    who = np.concatenate([holder[g], holder[g], holder[a], holder[a], holder[m]])
+    t = np.concatenate([at[g], at[g] + lease + 1, at[a] - deadline, at[a], at[m]])
+    told = one(0, 0, 0, 0, 1)
+    order = np.lexsort((told, t, who))
+    held = np.cumsum(one(1, -1, 0, 0, 0)[order]) > 0  # each holder's sums end at zero
+    heard = held & (np.cumsum(one(0, 0, 1, -1, 0)[order]) > 0)
+    by_time = np.lexsort((told[order], t[order]))
+    found = told[order][by_time] == 1
+    place = order[by_time][found] - (len(t) - n_m)
+    out = []
+    for own in (held.astype(np.int64), heard.astype(np.int64)):
+        every = np.cumsum(np.diff(own, prepend=0)[by_time]) - own[by_time]
+        counted = np.empty(n_m, np.int64)
+        counted[place] = every[found]
+        out.append(counted)
+    return out[0], out[1]
+
+
+def _recalls(lease: int, deadline: int, delay: int):
+    columns = ("kind", "holder", "at", "seq", "started", "acked")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        leases, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
-        log, rows = pd.concat(list(frames)), []
-        log["later"] = log["op"] != "grant"  # a grant of the same moment is recalled too
-        for r in log.sort_values(["at", "later", "seq"]).itertuples():
-            holder, at = int(r.holder), int(r.at)
-            waiting = [w for w in waiting if w[2] + deadline >= at]  # a later answer counts for nothing
-            if r.op == "grant":
-                leases[str(holder)] = at + lease
-            elif r.op == "lookup":
-                rows += [(key[0], w[0], holder, True) for w in waiting if w[1] == holder and at > w[2]]
-                waiting = [w for w in waiting if w[1] != holder or at <= w[2]]
-            elif r.op in BUMPS:
-                leases = {h: expiry for h, expiry in leases.items() if expiry >= at}
-                recalled = [int(h) for h in leases if int(h) != holder]
-                waiting += [[int(r.seq), h, at] for h in recalled]
-                rows += [(key[0], int(r.seq), h, False) for h in recalled]
-        state.update((json.dumps([leases, waiting]),))
-        _expire(state, max([0, *leases.values(), *(w[2] + deadline for w in waiting)]))
-        yield pd.DataFrame(rows, columns=["object", "m_seq", "holder", "acked"])
+        log = _with_held(state, frames, columns)
+        kind, holder, at, seq = log[:4]
+        bumps = np.flatnonzero(kind == BUMP)
+        now = np.stack(counts(kind, holder, at, lease, deadline))
+        more = now - log[4:, bumps]
+        log[4:, bumps] = now
+        new = more.any(axis=0)
+        yield pd.DataFrame({"object": np.full(new.sum(), key[0], np.int64), "m_seq": seq[bumps][new], "started": more[0][new], "acked": more[1][new]})
+        # Mutations wait for answers until their deadline; leases and answers count as long as such a mutation does.
+        until = at + np.array([lease + deadline, deadline, deadline])[kind]
+        _hold(state, log, until, _horizon(state, at, delay))
 
     return run
 
 
-def recall_state(log: DataFrame, lease: int, deadline: int) -> DataFrame:
-    """The recalls that a stream's mutations start (acked false), and their answers in time (acked true).
+def recall_state(log: DataFrame, lease: int, deadline: int, delay: int = HOUR) -> DataFrame:
+    """How many recalls a stream's mutations start, and how many are answered in time: what each batch adds, to be summed.
 
-    A recall without an answer has timed out once the deadline has passed.  An object's state holds
-    unexpired leases and open recalls only.
+    A recall without an answer has timed out once the deadline has passed.  An object's state holds the
+    mutations whose deadline hasn't passed, with what was told of them, and the grants and lookups that touch them.
     """
-    return log.groupBy("object").applyInPandasWithState(_recalls(lease, deadline), RECALLS, "held string", "append", "EventTimeTimeout")
+    kind = F.when(F.col("op") == "grant", GRANT).when(F.col("op") == "lookup", LOOKUP).when(F.col("op").isin(*BUMPS), BUMP).cast("long")
+    none = F.lit(0).cast("long")
+    known = log.withColumn("kind", kind).where("kind IS NOT NULL AND object IS NOT NULL AND holder IS NOT NULL AND at IS NOT NULL")
+    known = known.select("ts", "object", "kind", "holder", "at", "seq", none.alias("started"), none.alias("acked"))
+    return known.groupBy("object").applyInPandasWithState(_recalls(lease, deadline, delay), RECALLS, "held binary", "append", "EventTimeTimeout")
