@@ -1,6 +1,7 @@
 """Shared helpers of the corpus operators."""
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -71,6 +72,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed but its allocators hold on to; on other C libraries than glibc only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def own_names_apart(stage: Callable) -> Callable:
     """A stage whose own columns begin with ``_cs_``: such columns of ``docs`` get other names on the way through."""
 

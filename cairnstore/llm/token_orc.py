@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cairnstore.llm.bpe import default_tokenizer, encoder
-from cairnstore.llm.common import fresh_path, text_or_empty
+from cairnstore.llm.common import fresh_path, give_back, text_or_empty
 
 END_ID = 2
 #: Rows that go to a Python worker at once while the files are written.
@@ -41,26 +41,33 @@ OPTIONS = {
 }
 
 
+def encoded(batches: Iterable[pa.RecordBatch], tokens: str, end_id: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` for a part's documents.  Six processes share an executor's memory: what a slice took goes back after it."""
+    row, start = 0, 0
+    for batch in batches:
+        for low, high, ids, at in encoder(tokens).slices(batch.column("_cs_text")):
+            ids = np.insert(ids, at[1:], end_id).view(np.int32)
+            offsets = at + np.arange(len(at))
+            for a in range(0, high - low, 256):
+                own = offsets[a : a + 257]
+                n = len(own) - 1
+                columns = [
+                    batch.column("doc_id").slice(low + a, n), pa.array(np.full(n, part, np.int32)),
+                    pa.array(row + np.arange(n)), pa.array(start + own[:-1] - own[0]), pa.array(np.diff(own)),
+                    pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(ids[own[0] : own[-1]])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"])
+                row, start = row + n, start + int(own[-1] - own[0])
+            del ids, columns
+            give_back()
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode every row's whole text, append ``end_id`` and write the ids to ``path``."""
     tokens = tokenizer or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, start = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            for low, high, ids, at in encoder(tokens).slices(batch.column("_cs_text")):
-                ids = np.insert(ids, at[1:], end_id).view(np.int32)
-                offsets = at + np.arange(len(at))
-                for a in range(0, high - low, 256):
-                    own = offsets[a : a + 257]
-                    n = len(own) - 1
-                    columns = [
-                        batch.column("doc_id").slice(low + a, n), pa.array(np.full(n, part, np.int32)),
-                        pa.array(row + np.arange(n)), pa.array(start + own[:-1] - own[0]), pa.array(np.diff(own)),
-                        pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(ids[own[0] : own[-1]])),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"])
-                    row, start = row + n, start + int(own[-1] - own[0])
+        yield from encoded(batches, tokens, end_id, TaskContext.get().partitionId())
 
     picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("_cs_text"))
     picked = picked.withColumn("_cs_hash", F.xxhash64("_cs_text"))

@@ -480,3 +480,30 @@ def test_base_columns_against_sql(spark):
     assert same(found, r"""SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')),
       len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255)),
       len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) FROM d""")
+
+
+MEMORY = """
+import numpy as np, pyarrow as pa
+from cairnstore.llm import bpe, token_orc
+
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) >> 8
+words = ["".join(w) for w in np.array(list("abcdefghijklmnopqrstuvwxyz"))[np.random.default_rng(1).integers(0, 26, (1_000_000, 7))]]
+texts = pa.array([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+del words
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "_cs_text"])
+most = max(rss() for _ in token_orc.encoded(iter([batch]), bpe.default_tokenizer(), 2, 0))
+print("MEMORY", most, rss())
+"""
+
+
+def test_token_memory_goes_back_after_each_slice():
+    """Six processes share an executor: what encoding took isn't held by its allocators."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    said = subprocess.run(["timeout", "200", sys.executable, "-c", MEMORY], env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True)
+    most, after = map(int, said.stdout.split("MEMORY")[1].split())
+    assert after < most - 60
