@@ -6,7 +6,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import numpy as np
@@ -80,6 +80,32 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(run: Callable) -> Callable:
+    """A function of record batches whose worker gives its memory back when a task ends."""
+
+    @wraps(run)
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python workers ``BATCH_BYTES`` at a time at most.
+
+    Spark fills batches by rows, 10,000 of them: of whole texts these are 50 MB, which the executor's JVM holds
+    beside its heap, with as much again while a buffer grows, and the worker once more, for each core.
+    """
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES))) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
 def own_names_apart(stage: Callable) -> Callable:
     """A stage whose own columns begin with ``_cs_``: such columns of ``docs`` get other names on the way through."""
 

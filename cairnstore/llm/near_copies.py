@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm import simhash
-from cairnstore.llm.common import connected_components, discard, numbered, own_names_apart, release, staged, text_or_empty, without_rows
+from cairnstore.llm.common import connected_components, discard, lean, numbered, own_names_apart, release, staged, text_or_empty, without_rows
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, AGREE = 40, 5, 125
@@ -111,7 +111,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
             found = [np.unique(simhash.shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(found, pa.binary())], names=["content", "shingles"])
 
-    return texts.select("content", "text").mapInArrow(run, "content long, shingles binary")
+    return texts.select("content", "text").mapInArrow(lean(run), "content long, shingles binary")
 
 
 def _blocks(crossing: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _proposed(buckets: DataFrame, propose) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -190,7 +190,7 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_cs_row", "content", "fp", "bands", "sketch"])
 
     picked = rows.select(F.col("doc_id").cast("long"), "_cs_row", text_or_empty().alias("_cs_text"))
-    return picked.mapInArrow(run, "doc_id long, _cs_row long, content long, fp long, bands array<long>, sketch binary")
+    return picked.mapInArrow(lean(run), "doc_id long, _cs_row long, content long, fp long, bands array<long>, sketch binary")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -220,7 +220,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(lean(run), "a long, b long")
 
 
 def _by_simhash(classes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstore.llm.bpe import default_tokenizer, text_lengths
-from cairnstore.llm.common import numbered, staged, text_or_empty
+from cairnstore.llm.common import lean, numbered, staged, text_or_empty
 
 CAPACITY, SHARD = 4096, 32_768
 
@@ -110,7 +110,7 @@ def measured(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "source", "cluster", "length"])
 
     picked = numbered(docs).select(F.col("doc_id").cast("long"), "uid", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty().alias("_cs_text"))
-    return picked.mapInArrow(run, "doc_id long, uid long, source string, cluster long, length long")
+    return picked.mapInArrow(lean(run), "doc_id long, uid long, source string, cluster long, length long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnstore.llm.common import connected_components, discard, numbered, own_names_apart, staged, text_or_empty
+from cairnstore.llm.common import connected_components, discard, lean, numbered, own_names_apart, staged, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (first bit, number of bits, radius of the ball)
@@ -184,7 +184,7 @@ def link(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> D
     if max_bits > MAX_BITS:
         raise ValueError(f"the tables find up to {MAX_BITS} differing bits")
     entries = _blocks(_entries(distinct), block)
-    return entries.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linker(max_bits), "a long, b long")
+    return entries.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(_linker(max_bits)), "a long, b long")
 
 
 def components(marked: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnstore.llm.common import discard, numbered, own_names_apart, release, staged
+from cairnstore.llm.common import discard, lean, numbered, own_names_apart, release, staged
 
 LENGTH, GRAM = 400, 96
 #: In words.
@@ -191,7 +191,7 @@ def _runs_table(docs: DataFrame, length: int, gram: int, unit: str) -> DataFrame
                     arrays += [pa.array(start), pa.array(size.astype(np.int32)), pa.array(file.view(np.int64)), pa.array(context.view(np.int64)), pa.array(recurs)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, start long, size int, file long, context long, recurs boolean")
+    return docs.mapInArrow(lean(run), "uid long, doc_id long, start long, size int, file long, context long, recurs boolean")
 
 
 _DEALT = "file long, way int, context long, doc_id long, uid long, start long, size int, data binary, prints binary, places binary"
@@ -356,8 +356,8 @@ def repeated(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-positions // TASK))
     needs = contexts.join(several, "file")
     needs = needs.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("context", "file", "ways", F.col("first.start").alias("start"), "size")).alias("needs"))
-    dealt = rows.join(needs, "uid").mapInArrow(_dealer(length, unit), _DEALT)
-    compared = dealt.repartition(parts, "file", "way").sortWithinPartitions("file", "way").mapInArrow(_comparer(length, keep, unit), "context long, own array<struct<a:int,b:int>>")
+    dealt = rows.join(needs, "uid").mapInArrow(lean(_dealer(length, unit)), _DEALT)
+    compared = dealt.repartition(parts, "file", "way").sortWithinPartitions("file", "way").mapInArrow(lean(_comparer(length, keep, unit)), "context long, own array<struct<a:int,b:int>>")
     compared = staged(compared, "compared")
     release(spark)
     own = compared.groupBy("context").agg(F.flatten(F.collect_list("own")).alias("own"))
@@ -422,7 +422,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
     joined = rows.join(found.join(passages, "uid", "full"), "uid", "left").select("doc_id", "text", "spans", "passages")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
 def _length(spans: list[tuple[int, int]]) -> int:
@@ -461,5 +461,5 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
             yield batch.set_column(place, field, pa.array(texts, field.type)).select(list(range(batch.num_columns - 1)))
 
     joined = rows.join(found, "_cs_uid", "left").select(*docs.columns, "_cs_spans")
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnstore.llm import near_copies, packing, pii, quality_rules, suffix_dedup
-from cairnstore.llm.common import documents, staged
+from cairnstore.llm.common import documents, small_batches, staged
 
 #: Near copies have this Jaccard similarity or more, on shingles of this many words.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -24,21 +24,25 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return near_copies.keep_first(docs, SHINGLE, SIMILARITY)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated passages."""
+    small_batches(spark)
     return suffix_dedup.remove(docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM, keep="first", unit="words")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in training sequences."""
+    small_batches(spark)
     return packing.pack(docs).drop("source", "cluster")
 
 

@@ -129,3 +129,39 @@ def test_stages_keep_clashing_columns_and_take_empty_tables(spark):
         assert docs.count() and not nothing.count(), name
     last = corpus_pipeline.STAGES[-1][1]
     assert {r.doc_id for r in last(spark, docs, "").collect()} == {r.doc_id for r in docs.collect()} and not last(spark, nothing, "").count()
+
+
+def test_stages_hand_rows_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+
+    from cairnstore.llm import common
+
+    docs = staged(spark.range(4000).selectExpr("id AS doc_id", "repeat(concat(id, ' '), 1000) AS text").coalesce(1), "wide")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    before = spark.conf.get(common._BYTES)
+    try:
+        corpus_pipeline.personal_data(spark, docs, "")
+        found = docs.select("text").mapInArrow(common.lean(sizes), "n long, size long").collect()
+    finally:
+        spark.conf.set(common._BYTES, before)
+    assert sum(r.n for r in found) == 4000
+    assert max(r.size for r in found) < 1.5 * common.BATCH_BYTES and len(found) > 3
+
+
+def test_stages_agree_whatever_the_size_of_batches(spark):
+    from cairnstore.llm import common
+
+    docs = staged(spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 120), x -> concat('w', x * (1 + id div 2)))) AS text").coalesce(1), "copies")
+    stage = lambda: sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    before, size, found = spark.conf.get(common._BYTES), common.BATCH_BYTES, []
+    try:
+        for common.BATCH_BYTES in (size, 1 << 11):
+            found.append(stage())
+    finally:
+        common.BATCH_BYTES = size
+        spark.conf.set(common._BYTES, before)
+    assert found[0] == found[1] == list(range(0, 60, 2))
