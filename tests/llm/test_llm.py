@@ -507,3 +507,24 @@ def test_token_memory_goes_back_after_each_slice():
     said = subprocess.run(["timeout", "200", sys.executable, "-c", MEMORY], env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True)
     most, after = map(int, said.stdout.split("MEMORY")[1].split())
     assert after < most - 60
+
+
+def test_windows_repeat_few_characters():
+    assert pii.WINDOW - pii.STRIDE == 48 and 20 * (pii.WINDOW - pii.STRIDE) <= pii.WINDOW
+
+
+def test_the_decoder_reads_as_the_trained_cells_do():
+    rng = np.random.default_rng(8)
+    for scale in (1, 30):  # the second drives cells and gates to their ends
+        tagger = pii.Tagger(rng)
+        for k in ("xf", "xb", "bf", "bb"):
+            tagger.p[k] *= np.float32(scale)
+        codes, sizes = rng.integers(1, 98, (5, 90)), np.array([90, 90, 40, 90, 1])
+        e = np.zeros((90, len(pii.LABELS), 5), np.float32)
+        order = np.argsort(-sizes, kind="stable")
+        active = [int(np.count_nonzero(sizes > t)) for t in range(90)]
+        for d in "fb":
+            tagger._scan(np.ascontiguousarray(codes[order].T), active, d, e)
+        for place, n in enumerate(order.tolist()):
+            want = tagger.emissions(codes[n : n + 1, : sizes[n]])[0][:, 0] - tagger.p["out_b"]
+            assert np.allclose(e[: sizes[n], :, place], want, atol=1e-4), (scale, n)
