@@ -6,7 +6,8 @@ in some unusual forms, among words, dates, prices, marks and hexadecimal keys);
 text is cut into windows of 1,024 characters that overlap by 48, and every window is decoded with the CRF's
 best path.  The paths of a text's windows are joined where both give the same label, nearest to the middle of
 their overlap, so a span may go on over any number of windows.  What follows from the joined path is
-reconciled over the whole text, leftmost first, and never overlaps a pattern's span.
+reconciled over the whole text, leftmost first, and never overlaps a pattern's span.  The trained cells are read
+by ONNX Runtime, which executors need.
 
 A tagger's span counts only if it can be what it is called: an address has ``@`` inside, a number seven digits.
 
@@ -18,7 +19,7 @@ Texts are tagged some at a time, which changes no result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -31,8 +32,10 @@ from cairnstore.llm.common import lean, own_names_apart, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE, BATCH = 1024, 976, 640
-#: A cell's exponents go as far as this either way; in 32 bits a sigmoid or a tangent is 0, 1 or -1 long before.
-EXPONENT = 40
+#: Times that are read at once.
+TIMES = 128
+#: A gate's sigmoid at minus this is 0 in 32 bits, beside any hidden state.
+SHUT = 1000
 #: Characters of texts that are tagged together.
 SLICE = 1 << 20
 SENTENCE, HIDDEN, EMBEDDING, SENTENCES, EPOCHS, SEED = 96, 12, 12, 2000, 18, 7
@@ -183,53 +186,20 @@ class Tagger:
     def _scan(self, codes: np.ndarray, active: list[int], d: str, out: np.ndarray) -> None:
         """Adds what a reading of codes [time, window] gives each label to ``out`` [time, label, window].
 
-        The same cells as in :meth:`_lstm`, laid out by window, from one power of e for each: with u = exp(-x) a
-        sigmoid is 1 / (1 + u), with u = exp(-2x) a tangent is (1 - u) / (1 + u), and products of them share a
-        division.  At each time the first ``active`` windows go on; hidden states aren't kept.
+        The same cells as in :meth:`_lstm`, run by :func:`_reader` some times at once.  At each time the first
+        ``active`` windows go on; in the others the gates are shut, which leaves a state of zeros.
         """
         p, size = self.p, HIDDEN
-        sign = np.repeat(np.array([-1, -1, -1, -2], np.float32), size)
-        table = np.ascontiguousarray(((p["emb"] @ p[f"x{d}"] + p[f"b{d}"]) * sign).T)
-        w = (p[f"h{d}"] * sign).T
-        label = p["out"][:size].T if d == "f" else p["out"][size:].T
-        both = np.ascontiguousarray(np.concatenate([w, label]))  # one product gives the next cells' and this time's labels' part
-        wide = (np.abs(table).max(axis=1) + np.abs(w).sum(axis=1)).max() > EXPONENT  # else no cell gets there
-        time, batch = codes.shape
-        h, c = np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
-        flat = [np.empty(rows * batch, np.float32) for rows in (len(both), 4 * size, size)]
-        last, reach = -1, 0.0
-        for at, t in enumerate(range(time) if d == "f" else range(time - 1, -1, -1)):
-            n, before = active[t], active[last] if last >= 0 else 0
-            product, x, v = (room[: rows * m].reshape(rows, m) for room, rows, m in zip(flat, (len(both), 4 * size, size), (max(n, before), n, n)))
-            np.matmul(both, h[:, : max(n, before)], out=product)  # windows that end later begin with zeros
-            if last >= 0:
-                out[last, :, :before] += product[4 * size :, :before]
-            z = product[: 4 * size, :n]
-            z += np.take(table, codes[t, :n], axis=1, mode="clip", out=x)
-            if wide:
-                np.clip(z, -EXPONENT, EXPONENT, out=z)
-            np.exp(z, out=z)
-            z += 1
-            i, f, o, g = (z[k * size : (k + 1) * size] for k in range(4))
-            own = c[:, :n]
-            own /= f
-            i *= g
-            np.subtract(2, g, out=g)
-            g /= i
-            own += g
-            if at % 16 == 0:
-                reach = float(np.abs(own).max(initial=0)) + 16  # a cell moves by 1 at most
-            np.multiply(own, -2, out=v)
-            if reach > EXPONENT:
-                np.minimum(v, 2 * EXPONENT, out=v)
-            np.exp(v, out=v)
-            v += 1
-            o *= v
-            np.subtract(2, v, out=v)
-            np.divide(v, o, out=h[:, :n])
-            last = t
-        if last >= 0:
-            out[last, :, : active[last]] += label @ h[:, : active[last]]
+        table = (p["emb"] @ p[f"x{d}"] + p[f"b{d}"]).astype(np.float32)
+        table[0] = np.repeat(np.array([-SHUT, -SHUT, -SHUT, 0], np.float32), size)
+        label = (p["out"][:size] if d == "f" else p["out"][size:]).T
+        on, turn = np.asarray(active), 1 if d == "f" else -1
+        h, c = (np.zeros((codes.shape[1], size), np.float32) for _ in range(2))
+        for a in range(0, len(codes), TIMES)[::turn]:
+            n = active[a]
+            some = np.where(np.arange(n) < on[a : a + TIMES, None], codes[a : a + TIMES, :n], 0)
+            h[:n], c[:n], every = _reader()(None, {"table": table, "w": p[f"h{d}"], "h": h[:n], "c": c[:n], "codes": some[::turn]})
+            out[a : a + TIMES, :, :n] += label @ every[::turn].transpose(0, 2, 1)
 
     def decode(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The best label path [window, time] of each row of codes, of which the first ``sizes`` count."""
@@ -258,6 +228,61 @@ class Tagger:
         return out
 
 
+def _message(*fields: tuple[int, int | str | bytes]) -> bytes:
+    """A protocol buffer of (number, value): integers, or strings and messages with their length."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@lru_cache(1)
+def _reader() -> Callable[[None, dict[str, np.ndarray]], list[np.ndarray]]:
+    """Runs the cells over codes [time, window] in ONNX Runtime: the last states, and the hidden ones of each time.
+
+    The weights are inputs, so it fits any tagger.  Numpy takes more than twice as long, mostly for exponentials.
+    """
+    import onnxruntime
+
+    real, whole = 1, 7  # ONNX's numbers for 32-bit floats and 64-bit integers
+
+    def value(name: str, kind: int, *shape: int | str) -> bytes:
+        dims = [(1, _message((1 if isinstance(n, int) else 2, n))) for n in shape]
+        return _message((1, name), (2, _message((1, _message((1, kind), (2, _message(*dims)))))))
+
+    def node(op: str, takes: str, gives: str, *attributes: bytes) -> bytes:
+        return _message(*((1, n) for n in takes.split()), *((2, n) for n in gives.split()), (4, op), *((5, a) for a in attributes))
+
+    def number(name: str, n: int) -> bytes:
+        return _message((1, name), (3, n), (20, 2))
+
+    state = [value(n, real, "window", HIDDEN) for n in ("h", "c", "h_next", "c_next", "h_kept")]
+    cell = [
+        node("Gather", "table code", "x", number("axis", 0)), node("Gemm", "h w x", "z"), node("Split", "z sizes", "zi zf zo zg", number("axis", 1)),
+        node("Sigmoid", "zi", "i"), node("Sigmoid", "zf", "f"), node("Sigmoid", "zo", "o"), node("Tanh", "zg", "g"),
+        node("Mul", "f c", "old"), node("Mul", "i g", "new"), node("Add", "old new", "c_next"), node("Tanh", "c_next", "t"), node("Mul", "o t", "h_next"), node("Identity", "h_next", "h_kept"),
+    ]
+    body = _message(*((1, n) for n in cell), (2, "cell"), *((11, v) for v in (*state[:2], value("code", whole, "window"))), *((12, v) for v in state[2:]))
+    sizes = _message((1, 4), (2, whole), (8, "sizes"), (9, np.full(4, HIDDEN, "<i8").tobytes()))
+    scan = node("Scan", "h c codes", "h_last c_last every", _message((1, "body"), (6, body), (20, 5)), number("num_scan_inputs", 1))
+    takes = (value("table", real, 98, 4 * HIDDEN), value("w", real, HIDDEN, 4 * HIDDEN), *state[:2], value("codes", whole, "time", "window"))
+    gives = (value("h_last", real, "window", HIDDEN), value("c_last", real, "window", HIDDEN), value("every", real, "time", "window", HIDDEN))
+    graph = _message((1, scan), (2, "reader"), (5, sizes), *((11, v) for v in takes), *((12, v) for v in gives))
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1  # tasks run side by side
+    options.enable_cpu_mem_arena = False  # an arena keeps what it once took
+    model = _message((1, 8), (7, graph), (8, _message((1, ""), (2, 14))))
+    return onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"]).run
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))

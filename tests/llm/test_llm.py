@@ -528,3 +528,41 @@ def test_the_decoder_reads_as_the_trained_cells_do():
         for place, n in enumerate(order.tolist()):
             want = tagger.emissions(codes[n : n + 1, : sizes[n]])[0][:, 0] - tagger.p["out_b"]
             assert np.allclose(e[: sizes[n], :, place], want, atol=1e-4), (scale, n)
+
+
+def test_windows_that_end_at_any_time_are_read_whole():
+    rng, most = np.random.default_rng(9), 2 * pii.TIMES + 50
+    sizes = np.array([most, 2 * pii.TIMES + 1, 2 * pii.TIMES, pii.TIMES + 1, pii.TIMES, pii.TIMES - 1, 1])
+    codes, e = rng.integers(1, 98, (len(sizes), most)), np.zeros((most, len(pii.LABELS), len(sizes)), np.float32)
+    tagger = pii.Tagger(rng)
+    for d in "fb":
+        tagger._scan(np.ascontiguousarray(codes.T), [int(np.count_nonzero(sizes > t)) for t in range(most)], d, e)
+    for n, size in enumerate(sizes.tolist()):
+        assert np.allclose(e[:size, :, n], tagger.emissions(codes[n : n + 1, :size])[0][:, 0] - tagger.p["out_b"], atol=1e-4), size
+
+
+def test_reading_takes_no_longer_than_bare_cells_in_numpy():
+    """What numpy takes for the products, exponentials and divisions of as many cells, and for nothing else."""
+    import time
+
+    rng, times, size = np.random.default_rng(4), 256, pii.HIDDEN
+    tagger, codes = pii.Tagger(rng), rng.integers(1, 98, (times, pii.BATCH))
+    real = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    w, table, h, x, z = real(4 * size, size), real(4 * size, 98), real(size, pii.BATCH), real(4 * size, pii.BATCH), real(4 * size, pii.BATCH)
+    e, took = np.zeros((times, len(pii.LABELS), pii.BATCH), np.float32), {}
+
+    def bare():
+        for t in range(times):
+            np.take(table, codes[t], axis=1, mode="clip", out=x)
+            x.__iadd__(np.matmul(w, h, out=z))
+            np.exp(x, out=z)
+            np.exp(h, out=z[:size])
+            for k in range(3):
+                np.divide(h, x[:size], out=z[k * size : (k + 1) * size])
+
+    for _ in range(5):
+        for name, run in (("read", lambda: tagger._scan(codes, [pii.BATCH] * times, "f", e)), ("bare", bare)):
+            began = time.thread_time()
+            run()
+            took[name] = min(took.get(name, 99.0), time.thread_time() - began)
+    assert took["read"] < took["bare"], took
